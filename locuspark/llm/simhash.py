@@ -27,11 +27,11 @@ from locuspark.llm.components import connected_components
 #: Fingerprints that the driver fits the tree on, whatever the size of the table.
 SAMPLE = 4096
 #: Distinct fingerprints that a shard should hold.
-SHARD_ROWS = 16384
+SHARD_ROWS = 1 << 16
 #: Bound on the shards, and so on the tree that every task gets.
 MAX_SHARDS = 4096
 #: Comparisons that one task of a shard should make before pruning.
-TASK_PAIRS = 1 << 31
+TASK_PAIRS = 1 << 33
 _SEED = 42
 _BLOCK = 1 << 22
 _UNSIGNED = np.uint64
