@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locuspark.llm import simhash
+from locuspark.llm import secrets, simhash, spm, topk, warc
 from locuspark.llm.common import bound_arrow_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Vocabulary file of the token queries; its path is a parameter of the operators.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and class of every document; see ``simhash.near_duplicate_classes``."""
@@ -20,9 +23,68 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of every document's ids, and whether they decode to its text; see ``spm``."""
+    bound_arrow_batches(spark)
+    model = spm.read_model(PIECE_MODEL)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = spm.decode(spm.encode(docs, model, packed=True), model)
+    return rows.select(
+        "doc_id",
+        (F.coalesce(F.octet_length("ids"), F.lit(0)) / 4).cast("long").alias("n_tokens"),
+        F.sha2(F.coalesce("ids", F.lit(b"")), 256).alias("ids_sha256"),
+        F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"),
+    )
+
+
+def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives of all pages say of each; see ``warc.archive_and_read``."""
+    bound_arrow_batches(spark)
+    return warc.archive_and_read(table(spark, sf_dir, "pages"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document; see ``secrets.scan``."""
+    bound_arrow_batches(spark)
+    return secrets.span_digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each query vector's five best; see ``topk.search_ids``."""
+    bound_arrow_batches(spark)
+    return topk.search_ids(table(spark, sf_dir, "embeddings"))
+
+
+SQL = {
+    "op5_warc_revisits": """
+        with payloads as (
+            select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as payload_digest
+            from pages),
+        known as (
+            select *, case when payload_bytes >= 1000 then max(page_id) over (partition by payload_digest) else page_id end as original
+            from payloads)
+        select page_id, cast(payload_bytes as bigint) as payload_bytes, payload_digest,
+               case when page_id = original then 'response' else 'revisit' end as record_type,
+               case when page_id = original then null else original end as refers_to
+        from known""",
+    "op9_topk_search": """
+        with points as (
+            select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as q
+            from embeddings
+            where vec_id is not null and embedding is not null
+              and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        scored as (
+            select a.vec_id as query_id, b.vec_id, cast(list_inner_product(a.q, b.q) as bigint) as score
+            from points a join points b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+        ranked as (
+            select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
+        select query_id, cast(rank as integer) as rank, vec_id, score from ranked where rank <= 5""",
+}
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_simhash_near_dedup": op1_simhash_near_dedup}
+    return {name: value for name, value in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
