@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Segments, and words within them, whose ids a worker remembers, twice.
-CACHE_SEGMENTS = 250_000
-_CACHE_PAIRS = 2_000_000
+CACHE_SEGMENTS = 150_000
+_CACHE_PAIRS = 400_000
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 _UNIGRAM, _BPE = 1, 2
 _SPACE = "▁"
