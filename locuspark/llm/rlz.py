@@ -35,7 +35,7 @@ from locuspark.llm.common import materialise, scratch_path
 #: Bytes of text in a block; what a task holds at once is a small multiple of it.
 BLOCK_BYTES = 8 << 20
 #: Blocks whose anchors one index gets, on average.
-BLOCKS_PER_INDEX = 4
+BLOCKS_PER_INDEX = 2
 #: Words of the sequences that compete to be a window's anchor.
 ANCHOR_WORDS = 4
 _CHUNK_WORDS = 1 << 18
@@ -203,7 +203,8 @@ def duplicate_spans(blocks: DataFrame, length: int = 20) -> DataFrame:
     spread = blocks.repartition(n_blocks)
     anchors = spread.mapInArrow(send_anchors, "index int, block long, anchors binary, often binary")
     shared = anchors.groupBy("index").applyInPandas(repeated, "block long, anchors binary")
-    wanted = blocks.join(shared.groupBy("block").agg(F.collect_list("anchors").alias("anchors")), "block")
+    # Planned sizes of what Python makes are guesses: these joins must not broadcast it.
+    wanted = blocks.join(shared.groupBy("block").agg(F.collect_list("anchors").alias("anchors")).hint("merge"), "block")
 
     def send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,7 +232,7 @@ def duplicate_spans(blocks: DataFrame, length: int = 20) -> DataFrame:
     schema = "index int, block long, doc_id binary, row binary, start binary, size binary, anchor binary, window binary"
     sent = wanted.repartition(n_blocks).mapInArrow(send_windows, schema)
     spans = sent.groupBy("index").applyInPandas(factors, "block long, spans binary")
-    return blocks.join(spans.groupBy("block").agg(F.collect_list("spans").alias("spans")), "block", "left")
+    return blocks.join(spans.groupBy("block").agg(F.collect_list("spans").alias("spans")).hint("merge"), "block", "left")
 
 
 def _ints(data: bytes) -> np.ndarray:
