@@ -103,6 +103,11 @@ class SpellingModels:
             return 0, 0.0, 0.0
         known, evidence = self._words, self.evidence
         values = np.array([known[w] if w in known else evidence(w) for w in words])
+        # A word that a window holds again adds nothing: the same word has the same evidence.
+        again = np.zeros(len(values), bool)
+        for lag in range(1, min(self.window, len(values))):
+            again[lag:] |= values[lag:] == values[:-lag]
+        values[again] = 0.0
         sums = np.concatenate(([0.0], np.cumsum(values)))
         if len(words) <= self.window:
             peak = sums[-1]
