@@ -361,7 +361,7 @@ _PAIRS = """ select a.marker_idx as i, b.marker_idx as j, {dist} round(case when
     from g a join g b on a.sample = b.sample and {on} group by 1, 2{more}"""
 
 
-@query(_PAIRS.format(dist="", on="a.marker_idx <= b.marker_idx and b.marker_idx + 0 < 40", more=""), X.DENSE)
+@query(_PAIRS.format(dist="", on="a.snp <= b.snp and b.snp in (select snp from markers order by snp limit 40)", more=""), X.DENSE)
 def ld_matrix(spark, d):
     return ld.ld_matrix(X.genotype(spark, d, X.DENSE), 40).select("i", "j", r6("r2", "r2"))
 
