@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,37 +115,76 @@ def _in_order(frame: DataFrame, name: str) -> DataFrame:
     return tagged.withColumn(name, (base[part] + within).cast("int")).drop("_id")
 
 
+#: Markers of a block of the transpose.
+BLOCK_MARKERS = 1024
+
+
 def read_numeric(spark: SparkSession, gd_path: str, gm_path: str, impute_method: str = "middle") -> Genotype:
     """Numeric genotype text (taxa rows) and its marker map, as a packed genotype.
 
-    Lines are split and exploded in the scan, never made into thousands of
-    columns, and transposed by one shuffle on the marker.
+    Each line is parsed where it is read and cut into blocks of markers; one
+    shuffle brings the samples' parts of a block together, and they are
+    turned there.  No cell is ever a row, no marker a column of a plan.
     """
     markers = marker_map(spark.read.option("sep", "\t").option("header", True).csv(gm_path))
-    lines = spark.read.text(gd_path).withColumn("fields", _fields(F.col("value")))
-    header = lines.select("fields").first()
+    lines = spark.read.text(gd_path)
+    header = lines.first()
     if header is None:
         raise ValueError("the genotype file is empty")
-    names = header["fields"][1:]
+    names = _line_fields(header["value"])[1:]
     # Names are one line of the file; they must agree with the map in order.
     listed = [r[0] for r in markers.orderBy("marker_idx").select("snp").collect()]
     if names != listed:
         raise ValueError("the genotype's markers and the map differ in names or order")
-    body = _in_order(lines.select("fields"), "line").where("line > 0 and size(fields) > 1")
-    wrong = body.where(F.size("fields") != len(names) + 1).limit(1).count()
-    if wrong:
-        raise ValueError("a genotype row has another number of fields than the header")
-    taxa = [r[0] for r in body.orderBy("line").select(F.col("fields")[0]).collect()]
+    body = _in_order(lines, "line").where("line > 0 and trim(value) <> ''").select("line", "value")
+    m = len(names)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for line, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                taxon, *fields = _line_fields(text.as_py())
+                if len(fields) != m:
+                    raise ValueError("a genotype row has another number of fields than the header")
+                values = _numbers(fields)
+                starts = range(0, m, BLOCK_MARKERS)
+                blocks = [values[s : s + BLOCK_MARKERS].tobytes() for s in starts]
+                n = len(blocks)
+                columns = [pa.array(range(n), pa.int32()), pa.array([line] * n, pa.int32()), pa.array([taxon] + [None] * (n - 1), pa.string()), pa.array(blocks, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["block", "line", "taxon", "cells"])
+
+    parts = body.mapInArrow(cut, "block int, line int, taxon string, cells binary").persist()
+    order = {r["line"]: (i, r["taxon"]) for i, r in enumerate(parts.where("block = 0").select("line", "taxon").orderBy("line").collect())}
+    taxa = [t for _, t in order.values()]
     check_taxa(taxa)
-    cells = body.select((F.col("line") - 1).alias("sample_idx"), F.posexplode(F.slice("fields", 2, len(names))).alias("marker_idx", "text"))
-    cells = cells.select("sample_idx", "marker_idx", number(F.col("text")).alias("dosage"))
-    return impute(from_long(cells, markers, taxa), impute_method)
+    n = len(taxa)
+
+    def turn(rows: pa.Table) -> pa.Table:
+        at = np.argsort(np.asarray(rows.column("line")))
+        cells = rows.column("cells").to_pylist()
+        block = np.stack([np.frombuffer(cells[i]) for i in at]).T
+        first = rows.column("block")[0].as_py() * BLOCK_MARKERS
+        dosages = pa.ListArray.from_arrays(pa.array(np.arange(len(block) + 1) * n, pa.int32()), pa.array(np.ascontiguousarray(block).ravel(), from_pandas=True))
+        return pa.table({"marker_idx": pa.array(np.arange(first, first + len(block)), pa.int32()), "dosages": dosages})
+
+    turned = parts.select("block", "line", "cells").groupBy("block").applyInArrow(turn, "marker_idx int, dosages array<double>")
+    packed = markers.join(turned.hint("merge"), "marker_idx").select("marker_idx", "snp", "chromosome", "position", "dosages")
+    return impute(Genotype(packed, tuple(taxa)), impute_method)
 
 
-def _fields(line: Column) -> Column:
+def _line_fields(line: str) -> list[str]:
     """Tab-separated fields, quotes around a field removed and doubled quotes halved."""
-    bare = lambda f: F.regexp_replace(F.regexp_replace(f, '^"|"$', ""), '""', '"')
-    return F.transform(F.split(line, "\t"), lambda f: F.when(f.rlike('^".*"$'), bare(f)).otherwise(f))
+    fields = line.split("\t")
+    if '"' in line:
+        fields = [f[1:-1].replace('""', '"') if len(f) > 1 and f[0] == f[-1] == '"' else f for f in fields]
+    return fields
+
+
+def _numbers(fields: list[str]) -> np.ndarray:
+    """Numbers, NaN where a field stands for a missing one; other text is an error."""
+    try:
+        return np.array(fields, float)
+    except ValueError:
+        return np.array([np.nan if f.strip() in NUMERIC_NA else float(f) for f in fields])
 
 
 def numeric_from_frame(frame: DataFrame, gm: DataFrame, impute_method: str = "middle") -> Genotype:
