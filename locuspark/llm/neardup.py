@@ -40,6 +40,7 @@ _SEEDS = tuple(np.uint64(s) for s in (0, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9,
 _MULTIPLIER = np.uint64(0xD6E8FEB86659FD93)
 _SHIFT = np.uint64(32)
 _PAIRS = 1 << 20
+_STEP = 64
 
 
 def radius_for(similarity: float, bits: int, deviations: float = 3.5) -> int:
@@ -164,6 +165,11 @@ def _near(home: np.ndarray, other: np.ndarray, radius: int, narrow: int) -> Iter
                 yield x[keep], y[keep], d[keep]
 
 
+def _similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared >= similarity * (len(a) + len(b) - shared) - 1e-9
+
+
 def near_duplicate_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, block_rows: int = BLOCK_ROWS, broadcast_keys: int = BROADCAST_KEYS
 ) -> DataFrame:
@@ -217,12 +223,14 @@ def near_duplicate_groups(
                 ok = np.minimum(hs[x], qs[y]) >= similarity * np.maximum(hs[x], qs[y]) - 1e-9
                 x, y, d = x[ok], y[ok], d[ok]
                 order = np.argsort(d, kind="stable")
-                for a, b in zip(x[order].tolist(), y[order].tolist()):
-                    if forest.label[hi[a]] == forest.label[qi[b]]:
-                        continue
-                    shared = len(np.intersect1d(hm[a], qm[b], assume_unique=True))
-                    if shared >= similarity * (len(hm[a]) + len(qm[b]) - shared) - 1e-9:
-                        forest.union(hi[a : a + 1], qi[b : b + 1])
+                x, y = x[order], y[order]
+                while len(x):
+                    # The closest pairs that are still apart; what they link need not be looked at.
+                    apart = forest.label[hi[x]] != forest.label[qi[y]]
+                    x, y = x[apart], y[apart]
+                    linked = [_similar(hm[a], qm[b], similarity) for a, b in zip(x[:_STEP].tolist(), y[:_STEP].tolist())]
+                    forest.union(hi[x[:_STEP][linked]], qi[y[:_STEP][linked]])
+                    x, y = x[_STEP:], y[_STEP:]
             linked = forest.label != np.arange(len(keys))
             src, dst = keys[linked], keys[forest.label[linked]]
         return pd.DataFrame({"src": src.astype(np.int64), "dst": dst.astype(np.int64)})
