@@ -66,8 +66,7 @@ def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the shards of all documents' ids hold, read in slot order; see ``training_order``."""
     bound_arrow_batches(spark)
     data = spm.read_model(PIECE_MODEL)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    tokens = spm.encode(docs, data, packed=True).select("doc_id", "ids")
+    tokens = training_order.tokenise(table(spark, sf_dir, "documents"), data)
     rows = training_order.materialise_order(tokens, SEQUENCE, key="epoch-0", end_id=spm.PieceModel(data).end_id())
     return rows.select("slot", "doc_id", "part", "n_ids", F.sha2("ids", 256).alias("ids_sha256"))
 

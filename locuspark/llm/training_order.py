@@ -18,13 +18,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from sentencepiece import SentencePieceProcessor
 
 from locuspark.llm import files
 from locuspark.llm.common import materialise, scratch_path
 
-#: Bytes of ids in a block, and rows of a shard: what tasks hold at once.
+#: Bytes of records that a task deals at once, and rows of a shard.
 BLOCK_BYTES = 16 << 20
-SHARD_ROWS = 1 << 16
+SHARD_ROWS = 1 << 15
 ROUNDS = 6
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -78,53 +79,68 @@ def record_type(sequence: int, id_bytes: int) -> np.dtype:
     return np.dtype([("doc_id", "<i8"), ("part", "<i4"), ("n", "<i4"), ("ids", f"<u{id_bytes}", (sequence,))])
 
 
-def _write_blocks(tokens: DataFrame, path: str, end_id: int | None, sequence: int, id_bytes: int) -> DataFrame:
-    """A row per document with its block, file, row there and number of sequences; the ids go to the file."""
-    top = 1 << 8 * id_bytes
+def tokenise(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
+    """``doc_id`` and packed ``ids`` by the SentencePiece library, the quick way to the ids of ``spm``.  Null texts have null ids."""
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, made = TaskContext.get().partitionId(), 0
-        held: list[tuple[int | None, np.ndarray]] = []
-
-        def flush() -> pa.RecordBatch:
-            nonlocal made
-            block, name = task << 20 | made, f"{path}/ids-{task:07d}-{made:05d}.arrow"
-            ids = pa.array([d for d, _ in held], pa.int64())
-            files.write_block(name, pa.table({"doc_id": ids, "ids": pa.array([x.tobytes() for _, x in held], pa.binary())}))
-            sizes = [-(-len(x) // sequence) for _, x in held]
-            rows = pa.RecordBatch.from_arrays(
-                [pa.array([block] * len(held), pa.int64()), pa.array([name] * len(held)), pa.array(range(len(held)), pa.int32()), ids, pa.array(sizes, pa.int64())],
-                ["block", "file", "row", "doc_id", "sequences"],
-            )
-            made += 1
-            held.clear()
-            return rows
-
-        size = 0
+        library = SentencePieceProcessor(model_proto=model)
         for batch in batches:
-            for doc, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.frombuffer(packed.as_py() or b"", "<i4")
-                if len(ids) and int(ids.max()) >= top:
-                    raise ValueError(f"an id needs more than {id_bytes} bytes")
-                if end_id is not None and packed.is_valid:
-                    ids = np.append(ids, end_id)
-                held.append((doc, ids.astype(f"<u{id_bytes}")))
-                size += held[-1][1].nbytes
-                if size >= BLOCK_BYTES:
-                    yield flush()
-                    size = 0
-        if held:
-            yield flush()
-
-    source = tokens.select(F.col("doc_id").cast("long").alias("doc_id"), "ids")
-    return materialise(source.mapInArrow(run, "block long, file string, row int, doc_id long, sequences long"), "order-docs")
+            texts = batch.column(1).to_pylist()
+            found = library.encode([t or "" for t in texts], num_threads=1)
+            ids = [None if t is None else np.array(x, "<i4").tobytes() for t, x in zip(texts, found)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+
+    return source.mapInArrow(run, "doc_id long, ids binary")
+
+
+def _sequences(tokens: DataFrame) -> DataFrame:
+    return tokens.select(F.col("doc_id").cast("long").alias("doc_id"), "ids")
+
+
+def _ids(packed: pa.Scalar, end_id: int | None, id_bytes: int) -> np.ndarray:
+    ids = np.frombuffer(packed.as_py() or b"", "<i4")
+    if len(ids) and int(ids.max()) >= 1 << 8 * id_bytes:
+        raise ValueError(f"an id needs more than {id_bytes} bytes")
+    if end_id is not None and packed.is_valid:
+        ids = np.append(ids, end_id)
+    return ids.astype(f"<u{id_bytes}")
+
+
+def _counted(tokens: DataFrame, end_id: int | None, sequence: int) -> DataFrame:
+    """A row per document: its partition, its row there, and its number of sequences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, row = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            sizes = [-(-(len(x.as_py()) // 4 + (end_id is not None)) // sequence) if x.is_valid else 0 for x in batch.column(1)]
+            n = batch.num_rows
+            columns = [pa.array([task] * n, pa.int32()), pa.array(range(row, row + n), pa.int64()), batch.column(0), pa.array(sizes, pa.int64())]
+            row += n
+            yield pa.RecordBatch.from_arrays(columns, ["block", "row", "doc_id", "sequences"])
+
+    return materialise(_sequences(tokens).mapInArrow(run, "block int, row long, doc_id long, sequences long"), "order-docs")
+
+
+def _write_firsts(numbered: DataFrame, path: str) -> int:
+    """A file for each partition of the tokens: its documents in order, and the index of each one's first sequence."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, listed in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rows = pa.Table.from_struct_array(listed.values).sort_by("row")
+                files.write_block(f"{path}/{block:07d}.arrow", rows)
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32())], ["block"])
+
+    listed = numbered.groupBy("block").agg(F.collect_list(F.struct("row", "doc_id", "first")).alias("rows"))
+    return materialise(listed.mapInArrow(run, "block int"), "order-firsts").count()
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, int]:
     """Documents with ``first``, the index of their first sequence, by document id, and the number of sequences."""
     parts = max(1, docs.count() // 500_000)
     order = [F.asc_nulls_last("doc_id"), "block", "row"]
-    ranged = materialise(docs.drop("file").repartitionByRange(parts, *order).withColumn("piece", F.spark_partition_id()), "order-ranges")
+    ranged = materialise(docs.repartitionByRange(parts, *order).withColumn("piece", F.spark_partition_id()), "order-ranges")
     # One row for each range.
     sums = dict(ranged.groupBy("piece").agg(F.sum("sequences")).collect())
     starts, total = {}, 0
@@ -148,40 +164,54 @@ def write_shards(
     the end.  A null doc_id counts as the largest and is stored as -1.  A
     shard that is there in full is left as it is, so a job can be resumed
     under the same path.
+
+    ``tokens`` is run twice, to count and to write, so that ids are never
+    stored but in shards.  It must give the same rows in the same partitions,
+    as scans do; documents that differ are an error.
     """
-    docs = _write_blocks(tokens, f"{path}/blocks", end_id, sequence, id_bytes)
-    numbered, total = _numbered(docs)
-    blocks = docs.groupBy("block").agg(F.first("file").alias("file"))
-    firsts = numbered.groupBy("block").agg(F.collect_list(F.struct("row", "first")).alias("firsts"))
-    work = blocks.join(firsts, "block").repartition(max(1, blocks.count()))
+    numbered, total = _numbered(_counted(tokens, end_id, sequence))
+    firsts = scratch_path(tokens.sparkSession, "order-firsts")
+    _write_firsts(numbered, firsts)
     record, order = record_type(sequence, id_bytes), SlotPermutation(total, key)
 
+    def packed(records: list[np.ndarray], index: list[np.ndarray]) -> pa.RecordBatch:
+        slots, made = order.slots(np.concatenate(index)), np.concatenate(records)
+        shard = slots // shard_rows
+        by = np.argsort(shard, kind="stable")
+        cuts = np.nonzero(np.diff(shard[by], prepend=-1))[0]
+        rows = []
+        for a, b in zip(cuts, [*cuts[1:], len(by)]):
+            at = by[a:b]
+            rows.append((int(shard[by[a]]), len(at), pa.Codec("zstd").compress(slots[at].tobytes() + made[at].tobytes(), asbytes=True)))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary()))], ["shard", "n", "data"])
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, at = None, 0
+        records, index, held = [], [], 0
         for batch in batches:
-            for file, firsts in zip(batch.column("file").to_pylist(), batch.column("firsts").to_pylist()):
-                block, first = files.read_block(file), {x["row"]: x["first"] for x in firsts}
-                out, index = [], []
-                for row, (doc, ids) in enumerate(zip(block.column("doc_id").to_pylist(), block.column("ids"))):
-                    values = np.frombuffer(ids.as_py(), f"<u{id_bytes}")
-                    n = -(-len(values) // sequence)
-                    made = np.zeros(n, record)
-                    made["doc_id"], made["part"] = -1 if doc is None else doc, np.arange(n)
-                    made["n"] = np.minimum(sequence, len(values) - sequence * np.arange(n))
-                    made["ids"] = np.pad(values, (0, n * sequence - len(values))).reshape(n, sequence)
-                    out.append(made)
-                    index.append(first[row] + np.arange(n))
-                slots, records = order.slots(np.concatenate(index)), np.concatenate(out)
-                shard = slots // shard_rows
-                by = np.argsort(shard, kind="stable")
-                cuts = np.nonzero(np.diff(shard[by], prepend=-1))[0]
-                pack = pa.Codec("zstd").compress
-                rows = []
-                for a, b in zip(cuts, [*cuts[1:], len(by)]):
-                    at = by[a:b]
-                    data = slots[at].tobytes() + records[at].tobytes()
-                    rows.append((int(shard[by[a]]), len(at), pack(data, asbytes=True)))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["shard", "n", "data"])
+            if known is None and batch.num_rows:
+                rows = files.read_block(f"{firsts}/{TaskContext.get().partitionId():07d}.arrow")
+                known = rows.column("doc_id").to_pylist(), rows.column("first").to_pylist()
+            for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if at >= len(known[0]) or known[0][at] != doc:
+                    raise ValueError("the tokens differ from those that were counted; write them to a table first")
+                values, first = _ids(ids, end_id, id_bytes), known[1][at]
+                at += 1
+                n = -(-len(values) // sequence)
+                if not n:
+                    continue
+                made = np.zeros(n, record)
+                made["doc_id"], made["part"] = -1 if doc is None else doc, np.arange(n)
+                made["n"] = np.minimum(sequence, len(values) - sequence * np.arange(n))
+                made["ids"] = np.pad(values, (0, n * sequence - len(values))).reshape(n, sequence)
+                records.append(made)
+                index.append(first + np.arange(n))
+                held += made.nbytes
+                if held >= BLOCK_BYTES:
+                    yield packed(records, index)
+                    records, index, held = [], [], 0
+        if records:
+            yield packed(records, index)
 
     def write(rows: pd.DataFrame) -> pd.DataFrame:
         shard = int(rows["shard"].iloc[0])
@@ -200,7 +230,7 @@ def write_shards(
                 to.write(out.tobytes())
         return pd.DataFrame({"shard": [shard], "file": [name], "first_slot": [first], "records": [size]})
 
-    dealt = work.select("file", "firsts").mapInArrow(deal, "shard long, n int, data binary") if total else tokens.sparkSession.createDataFrame([], "shard long, n int, data binary")
+    dealt = _sequences(tokens).mapInArrow(deal, "shard long, n int, data binary") if total else tokens.sparkSession.createDataFrame([], "shard long, n int, data binary")
     return materialise(dealt.groupBy("shard").applyInPandas(write, "shard long, file string, first_slot long, records long"), "order-shards")
 
 
