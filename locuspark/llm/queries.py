@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 #: Vocabulary file of the token queries; its path is a parameter of the operators.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+BYTE_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Ids of a training sequence.
 SEQUENCE = 256
 #: Share of the documents that importance resampling draws.
@@ -65,9 +66,9 @@ def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the shards of all documents' ids hold, read in slot order; see ``training_order``."""
     bound_arrow_batches(spark)
-    data = spm.read_model(PIECE_MODEL)
-    tokens = training_order.tokenise(table(spark, sf_dir, "documents"), data)
-    rows = training_order.materialise_order(tokens, SEQUENCE, key="epoch-0", end_id=spm.PieceModel(data).end_id())
+    ranks = training_order.read_ranks(BYTE_RANKS)
+    tokens = training_order.tokenise(table(spark, sf_dir, "documents"), ranks)
+    rows = training_order.materialise_order(tokens, SEQUENCE, key="epoch-0", end_id=training_order.vocabulary_size(ranks))
     return rows.select("slot", "doc_id", "part", "n_ids", F.sha2("ids", 256).alias("ids_sha256"))
 
 

@@ -475,3 +475,14 @@ def test_gumbel_is_standard(spark):
 
 def test_let(spark):
     assert spark.range(1).select(let(F.lit(3), lambda x: x * x)).first()[0] == 9
+
+
+@pytest.mark.skipif(not os.path.exists("/opt/tokenizers/byte_bpe_50k.tiktoken"), reason="no vocabulary file")
+def test_byte_level_ids_decode_to_the_text(spark):
+    ranks = training_order.read_ranks("/opt/tokenizers/byte_bpe_50k.tiktoken")
+    pieces = {int(r): base64.b64decode(p) for p, r in (line.split() for line in ranks.splitlines())}
+    assert training_order.vocabulary_size(ranks) == len(pieces) == max(pieces) + 1
+    texts = ["", None, "Hello  world\n\n tab\tend ", "émoji 😀 <|endoftext|>", "a" * 3000]
+    rows = training_order.tokenise(docs(spark, list(enumerate(texts))), ranks).collect()
+    found = [None if r["ids"] is None else b"".join(pieces[i] for i in np.frombuffer(r["ids"], "<i4")).decode() for r in sorted(rows)]
+    assert found == texts
