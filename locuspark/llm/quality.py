@@ -21,6 +21,8 @@ from locuspark.llm.common import materialise
 
 #: Hash buckets of the models; each task counts into two arrays of this size.
 BUCKETS = 1 << 16
+#: Rows of the target model, those with the smallest id hashes; the raw model counts all rows.
+MAX_TARGET_ROWS = 50_000
 #: N-grams of the length that weights are brought to.
 STANDARD_LENGTH = 64
 #: Weight of the raw model in the target model, as a number of n-grams.
@@ -39,37 +41,44 @@ def _buckets(text: str | None, buckets: int) -> np.ndarray:
     return (both % np.uint64(buckets)).astype(np.int64)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", buckets: int = BUCKETS) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", buckets: int = BUCKETS, max_rows: int = MAX_TARGET_ROWS) -> np.ndarray:
     """Log ratio of each bucket's probability: rows labelled 1 over all rows.
 
     All rows count as raw, labelled or not; null and empty texts add nothing.
     The target model starts from the raw one, so little evidence says little.
-    Of contradicting labels of an id the larger holds.
+    Of contradicting labels of an id the larger holds.  The target model counts
+    ``max_rows`` rows at most.
     """
     good = labels.where(F.col(label_col) == 1).select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    chosen = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).withColumn("target", F.lit(True))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    raw = _counts(rows.select("text"), buckets)
-    target = _counts(rows.join(good, "doc_id", "left_semi").select("text"), buckets)
+    # At most max_rows ids go to all tasks; texts stay where they are.
+    marked = rows.join(F.broadcast(chosen), "doc_id", "left").select(F.coalesce("target", F.lit(False)).alias("target"), "text")
+    raw, target = _counts(marked, buckets)
     q = (raw + 0.5) / (raw.sum() + 0.5 * buckets)
     p = (target + PRIOR * q) / (target.sum() + PRIOR)
     return np.log(p) - np.log(q)
 
 
-def _counts(texts: DataFrame, buckets: int) -> np.ndarray:
+def _counts(rows: DataFrame, buckets: int) -> np.ndarray:
+    """N-grams by bucket of all rows, and of those marked as target."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(buckets, np.int64)
+        counts = np.zeros((2, buckets), np.int64)
         for batch in batches:
-            found = [_buckets(text.as_py(), buckets) for text in batch.column(0)]
-            if found:
-                counts += np.bincount(np.concatenate(found), minlength=buckets)
-        at = np.nonzero(counts)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["bucket", "n"])
-
-    found = np.zeros(buckets)
+            found = [_buckets(text.as_py(), buckets) for text in batch.column(1)]
+            good = [f for f, t in zip(found, batch.column(0).to_pylist()) if t]
+            for k, part in enumerate((found, good)):
+                if part:
+                    counts[k] += np.bincount(np.concatenate(part), minlength=buckets)
+        at = np.nonzero(counts[0])[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[0, at]), pa.array(counts[1, at])], ["bucket", "raw", "target"])
+
+    out = np.zeros((2, buckets))
     # At most one row a bucket.
-    for bucket, n in texts.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n")).collect():
-        found[bucket] = n
-    return found
+    for bucket, raw, target in rows.mapInArrow(run, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect():
+        out[:, bucket] = raw, target
+    return out
 
 
 def log_weights(docs: DataFrame, ratio: np.ndarray, text_col: str = "text", out_col: str = "log_weight") -> DataFrame:
