@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from locuspark.operators.qc import impute
 from locuspark.sources.genotype import Genotype, from_long
 
-#: Samples of the dense models, whatever the scale.
+#: Bound of the customer keys of LD and folds, as in their SQL.
 DENSE = 200
 
 

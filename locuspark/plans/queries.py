@@ -155,19 +155,19 @@ def kinship_zhang(spark, d):
 
 @query()
 def pca_eigenvalues(spark, d):
-    found = G.pca(X.genotype(spark, d, X.DENSE), 3)
+    found = G.pca(X.genotype(spark, d), 3)
     return spark.createDataFrame([(i, float(v), float(e)) for i, (v, e) in enumerate(zip(found.eigenvalues, found.explained))], "component int, eigenvalue double, explained double")
 
 
 @query()
 def pca_scores_abs(spark, d):
-    found = G.pca(X.genotype(spark, d, X.DENSE), 3)
+    found = G.pca(X.genotype(spark, d), 3)
     return spark.createDataFrame([(i, *[abs(float(v)) for v in row]) for i, row in enumerate(found.scores)], "sample_idx int, pc1 double, pc2 double, pc3 double")
 
 
 @query()
 def pca_loadings_abs(spark, d):
-    found = G.pca(X.genotype(spark, d, X.DENSE), 3)
+    found = G.pca(X.genotype(spark, d), 3)
     return found.loadings.select("marker_idx", *[F.abs(F.col("loadings")[i]).alias(f"pc{i + 1}") for i in range(3)])
 
 
@@ -189,6 +189,10 @@ def _y(spark, d, below=None) -> np.ndarray:
     return np.array(list(X.phenotype(spark, d, below).values()), float)
 
 
+def _every(g: Genotype) -> list[int]:
+    return [r[0] for r in g.packed.select("marker_idx").orderBy("marker_idx").collect()]  # 150 at most
+
+
 def _ones(n: int) -> np.ndarray:
     return np.ones((n, 1))
 
@@ -224,13 +228,13 @@ def glm_scan_cov(spark, d):
 
 @query()
 def glm_cofactor_scan(spark, d):
-    y = _y(spark, d, X.DENSE)
-    return S.glm(X.genotype(spark, d, X.DENSE), y, _ones(len(y)), [3, 17])
+    y = _y(spark, d)
+    return S.glm(X.genotype(spark, d), y, _ones(len(y)), [3, 17])
 
 
 @query()
 def reward_update(spark, d):
-    y, g = _y(spark, d, X.DENSE), X.genotype(spark, d, X.DENSE).persist()
+    y, g = _y(spark, d), X.genotype(spark, d).persist()
     return S.reward(g, S.glm(g, y, _ones(len(y)), [3, 17]), y, _ones(len(y)), [3, 17])
 
 
@@ -373,17 +377,22 @@ def ld_decay(spark, d):
 
 @query()
 def ld_prune(spark, d):
-    g = X.genotype(spark, d, X.DENSE)
-    return spark.createDataFrame([(i,) for i in ld.ld_prune(g.markers(range(100)), 0.15)], "marker_idx int")
+    g = X.genotype(spark, d)
+    return spark.createDataFrame([(i,) for i in ld.ld_prune(g.markers(_every(g)), 0.15)], "marker_idx int")
 
 
 # Models.
 
 
+def _whole(spark, d) -> tuple[Genotype, np.ndarray, np.ndarray]:
+    y = _y(spark, d)
+    return X.genotype(spark, d).persist(), y, _ones(len(y))
+
+
 def _dense(spark, d) -> tuple[Genotype, np.ndarray, np.ndarray, np.ndarray]:
-    g = X.genotype(spark, d, X.DENSE).persist()
-    y = _y(spark, d, X.DENSE)
-    return g, y, _ones(len(y)), G.vanraden(g)
+    """With the kinship of all samples; more than ``MAX_SAMPLES`` are refused."""
+    g, y, x = _whole(spark, d)
+    return g, y, x, G.vanraden(g)
 
 
 @query()
@@ -404,13 +413,13 @@ def mlmm_scan(spark, d):
 
 @query()
 def farmcpu_scan(spark, d):
-    g, y, x, _ = _dense(spark, d)
+    g, y, x = _whole(spark, d)
     return M.farmcpu(g, y, x, bin_size=500_000, threshold=0.05).rows
 
 
 @query()
 def blink_scan(spark, d):
-    g, y, x, _ = _dense(spark, d)
+    g, y, x = _whole(spark, d)
     return M.blink(g, y, x, threshold=0.05).rows
 
 
@@ -448,14 +457,14 @@ def predict_new(spark, d):
 
 @query()
 def rrblup_effects(spark, d):
-    g, y, _, _ = _dense(spark, d)
+    g, y, _ = _whole(spark, d)
     return P.rrblup(g, y).effects
 
 
 @query()
 def bayesb(spark, d):
-    g, y, _, _ = _dense(spark, d)
-    return P.bayes_b_chains(spark, y, g.markers(range(40)), [1, 2], iterations=60, burn_in=20)
+    g, y, _ = _whole(spark, d)
+    return P.bayes_b_chains(spark, y, g.markers(_every(g)), [1, 2], iterations=60, burn_in=20)
 
 
 @query("select sample_idx, ntile(5) over (order by sample_idx) - 1 as fold from samples", X.DENSE)
@@ -466,7 +475,7 @@ def cv_folds(spark, d):
 
 @query()
 def cv_grouped_folds(spark, d):
-    who = X.samples(spark, d, X.DENSE).orderBy("sample_idx").collect()
+    who = X.samples(spark, d).orderBy("sample_idx").collect()
     found = P.folds(len(who), 4, groups=[r["nation"] for r in who])
     return spark.createDataFrame([(r["sample_idx"], int(f)) for r, f in zip(who, found)], "sample_idx int, fold int")
 
@@ -477,7 +486,7 @@ def _validated(spark, cv: P.CrossValidation) -> DataFrame:
 
 @query()
 def rrblup_cv(spark, d):
-    g, y, _, _ = _dense(spark, d)
+    g, y, _ = _whole(spark, d)
     return _validated(spark, P.cross_validate_rrblup(g, y))
 
 
@@ -489,7 +498,7 @@ def gblup_cv(spark, d):
 
 @query()
 def simulate_phenotype(spark, d):
-    g = X.genotype(spark, d, X.DENSE)
+    g = X.genotype(spark, d)
     return spark.createDataFrame([(t, float(v)) for t, v in zip(g.taxa, P.simulate_phenotype(g))], "taxon string, y double")
 
 
@@ -512,9 +521,9 @@ def pipeline_glm(spark, d):
 
 @query()
 def pipeline_multi_trait(spark, d):
-    who = X.samples(spark, d, X.DENSE).orderBy("sample_idx").collect()
+    who = X.samples(spark, d).orderBy("sample_idx").collect()
     traits = {"balance": {str(r["sample"]): r["y"] for r in who}, "holes": {str(r["sample"]): None if r["sample"] % 13 == 0 else r["y"] for r in who}}
-    results = run(traits, X.genotype(spark, d, X.DENSE), ["GLM", "MLM", "FarmCPU"], pca_total=2, predict=True, p_threshold=0.05)
+    results = run(traits, X.genotype(spark, d), ["GLM", "MLM", "FarmCPU"], pca_total=2, predict=True, p_threshold=0.05)
     out = None
     for name, r in results.items():
         part = r.gwas.select(F.lit(name).alias("run"), F.col("SNP").alias("snp"), F.col("`P.value`").alias("p_value"), "effect")
