@@ -34,16 +34,33 @@ LEAST_COUNT = 2
 _CACHE_WORDS = 400_000
 _WORD = re.compile(r"[^\W_]+")
 _EVIDENCE_BOUND = 20.0
+#: Longer runs of letters and digits are scored in pieces of about a word's length, each after the history before it.
+LONGEST_WORD = 64
+PIECE = 8
 
 
 def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def _grams(word: str, order: int) -> list[str]:
-    """Each character of the word and its end, after the history that the models use."""
-    marked = f"^{word[:64]}$"
-    return [marked[max(0, i - order + 1) : i + 1] for i in range(1, len(marked))]
+def _units(text: str | None, order: int) -> list[str | tuple[str, int]]:
+    """The words of a text; of a long run its pieces, as the history with the piece and the length of the history."""
+    units: list[str | tuple[str, int]] = []
+    for word in words_of(text):
+        if len(word) <= LONGEST_WORD:
+            units.append(word)
+            continue
+        marked = f"^{word}$"
+        for at in range(1, len(word) + 1, PIECE):
+            begin, end = max(0, at - order + 1), at + PIECE if at + PIECE <= len(word) else len(marked)
+            units.append((marked[begin:end], at - begin))
+    return units
+
+
+def _grams(unit: str | tuple[str, int], order: int) -> Iterator[str]:
+    """Each character of a word and its end, or of a piece, after the history that the models use."""
+    marked, first = (f"^{unit}$", 1) if isinstance(unit, str) else unit
+    return (marked[max(0, i - order + 1) : i + 1] for i in range(first, len(marked)))
 
 
 @dataclass
@@ -56,7 +73,7 @@ class SpellingModels:
     window: int = WINDOW
     weights: tuple[float, float, float] = (0.0, 1.0, 0.0)  # of the constant, the peak and the mean
     prior: float = 0.5
-    _words: dict[str, float] = field(default_factory=dict, repr=False)
+    _words: dict[str | tuple[str, int], float] = field(default_factory=dict, repr=False)
 
     @classmethod
     def fit(cls, counts: dict[str, tuple[int, int]], order: int = ORDER, window: int = WINDOW, discount: float = DISCOUNT) -> SpellingModels:
@@ -82,8 +99,8 @@ class SpellingModels:
             unseen[history] = math.log(backoff(1, history)) - math.log(backoff(0, history))
         return cls(seen, unseen, order, window)
 
-    def evidence(self, word: str) -> float:
-        """Log-likelihood of the word under the toxic model less that under the ordinary one."""
+    def evidence(self, word: str | tuple[str, int]) -> float:
+        """Log-likelihood of the word, or piece of a long run, under the toxic model less that under the ordinary one."""
         known = self._words.get(word)
         if known is None:
             seen, unseen, known = self.seen, self.unseen, 0.0
@@ -97,8 +114,8 @@ class SpellingModels:
         return known
 
     def features(self, text: str | None) -> tuple[int, float, float]:
-        """Words, the largest mean evidence of a window, and the mean evidence of the text."""
-        words = words_of(text)
+        """Words and pieces of long runs, the largest mean evidence of a window, and the mean evidence of the text."""
+        words = _units(text, self.order)
         if not words:
             return 0, 0.0, 0.0
         known, evidence = self._words, self.evidence

@@ -192,6 +192,18 @@ def test_toxicity_learns_and_holds_out(spark):
     assert all(r["score"] < 0.5 for r in toxicity.score(frame, empty).collect())
 
 
+def test_toxicity_scores_long_runs_whole():
+    models = toxicity.SpellingModels({"axq": 9.0, "xqa": 3.0, "qaa": 1.0}, {}, order=3)
+    run = "a" * 200
+    assert models.features(run)[1:] == (0.0, 0.0)
+    for at in (10, 61, 63, 64, 69, 70, 71, 150, 199):
+        found = models.features(run[:at] + "xq" + run[at:])
+        assert found[0] == 26 and found[1] == pytest.approx((13 if at < 199 else 12) / 8), at
+    grams = lambda u: list(toxicity._grams(u, 5))
+    mixed = "".join(map(str, range(200)))
+    assert [g for u in toxicity._units(mixed, 5) for g in grams(u)] == grams(mixed) and len(grams(mixed)) == len(mixed) + 1
+
+
 # 4: SentencePiece.
 
 
