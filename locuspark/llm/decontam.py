@@ -7,7 +7,8 @@ The windows around these marks get SimHash fingerprints.  A multi-index of
 Hamming blocks then finds every item of the window's size within the radius:
 split into more blocks than half the radius, some block differs in one bit at
 most.  Candidates are verified by exact weighted Jaccard similarity of their
-shingles, counted with repeats.
+shingles, counted with repeats.  A document with fewer shingles than an item is
+one window itself; it is verified wherever it shares a shingle with the item.
 """
 
 from __future__ import annotations
@@ -80,7 +81,8 @@ def contaminated(
     """``doc_id``, ``item_id``, ``start``, ``n_words``, ``similarity``: each item that a document holds.
 
     ``start`` is the first word of the most similar window, the earliest of
-    equals.  Items of fewer than five words are one shingle, and so must occur
+    equals; ``n_words`` are its words, fewer than the item's only where the
+    document has fewer.  Items of fewer than five words are one shingle, and so must occur
     whole.  Items without words or id find nothing; rows that repeat an id
     are searched each, and answered once an id; null ids are answered as null.
     """
@@ -146,9 +148,13 @@ def _matches(rows: DataFrame, items: DataFrame, k: int, similarity: float, radiu
     close = close.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select("n", "fp", "item_id").distinct()
     pairs = windows.join(close, ["n", "fp"]).join(items.select("item_id", "n", "item_hashes"), ["item_id", "n"])
     score = _weighted_jaccard(F.col("window"), F.col("item_hashes"))
-    return pairs.withColumn("similarity", score).where(F.col("similarity") >= similarity - 1e-12).select(
-        "doc_id", "item_id", "start", F.col("n").alias("n_words"), F.round("similarity", 6).alias("similarity")
-    )
+    pairs = pairs.withColumn("similarity", score).select("doc_id", "item_id", "start", F.col("n").alias("n_words"), "similarity")
+    # Documents with fewer shingles than the item: whole, without fingerprints, as small sets have wide distances.
+    short = hits.join(by_hash, "hash").where((F.col("total") < m) & (F.col("total") >= similarity * m - 1e-9)).select("row", "item_id", "n").distinct()
+    short = short.join(rows.select("row", "doc_id", "hashes"), "row").join(items.select("item_id", "n", "item_hashes"), ["item_id", "n"])
+    whole = short.withColumn("similarity", _weighted_jaccard(F.col("hashes"), F.col("item_hashes")))
+    whole = whole.select("doc_id", "item_id", F.lit(0).alias("start"), (F.size("hashes") + (k - 1)).alias("n_words"), "similarity")
+    return pairs.unionByName(whole).where(F.col("similarity") >= similarity - 1e-12).withColumn("similarity", F.round("similarity", 6))
 
 
 def _weighted_jaccard(a: Column, b: Column) -> Column:

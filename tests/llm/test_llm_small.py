@@ -152,6 +152,17 @@ def test_native_simhash_equals_the_plain_one(spark):
     assert found & (2**64 - 1) == simhash._majority(np.array(h, np.int64).view(np.uint64))
 
 
+def test_decontamination_finds_items_without_their_ends(spark):
+    rng = np.random.default_rng(8)
+    bodies = [prose(rng, n).split() for n in (30, 9, 30, 30)]
+    items = [(i, " ".join(b)) for i, b in enumerate(bodies)]
+    rows = [(1, " ".join(bodies[0][:28])), (2, " ".join(bodies[1][1:])), (3, " ".join(bodies[2][:25])), (4, " ".join(bodies[3][:20] + ["x"] + bodies[3][20:28]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for sent in (50_000, 0):
+        found = {tuple(r) for r in decontam.contaminated(docs(spark, rows), bench, sent_shingles=sent).collect()}
+        assert found == {(1, 0, 0, 28, round(24 / 26, 6)), (2, 1, 0, 8, 0.8), (3, 2, 0, 25, round(21 / 26, 6))}
+
+
 # 3: toxicity.
 
 
