@@ -7,7 +7,8 @@ have 256 bits, and links are verified on the shingle sets themselves.
 The first vantage point is the empty set: sets of similarity s have sizes
 within a factor s, so sizes are cut into rings of that factor, and a document
 meets its own ring and visits the next.  Within a ring the pairs are searched
-by vantage points in Hamming space.  A first pass finds the documents that
+by vantage points in Hamming space, and those of small sets, whose distances
+are wide, by shingles that they share.  A first pass finds the documents that
 have a candidate at all; only their shingle sets are shuffled, and a second
 pass verifies candidates, closest first, as long as they are not yet linked.
 It answers with stars, which star contraction joins into groups.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -41,6 +43,13 @@ _MULTIPLIER = np.uint64(0xD6E8FEB86659FD93)
 _SHIFT = np.uint64(32)
 _PAIRS = 1 << 20
 _STEP = 64
+#: Pairs of sets of which one has at most this many shingles are found by shared shingles, not by fingerprints.
+SMALL = 64
+_SMALL_PAIRS = 1 << 14
+#: Share of the pairs at exactly the similarity, larger than SMALL, whose fingerprints may differ in more bits than allowed.
+MISS = 1e-7
+#: Unions of sets up to this size are looked at for the worst case; beyond it ties weigh less and less.
+_UNION = 256
 
 
 def radius_for(similarity: float, bits: int, deviations: float = 3.5) -> int:
@@ -49,6 +58,41 @@ def radius_for(similarity: float, bits: int, deviations: float = 3.5) -> int:
     return math.ceil(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
 
 
+def _binomial(n: int) -> np.ndarray:
+    logs = np.array([math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) for k in range(n + 1)])
+    return np.exp(logs - n * math.log(2))
+
+
+def _bit_differs(a_only: int, b_only: int, shared: int) -> float:
+    """Probability that a fingerprint bit of two sets differs; a tie of a set is 0."""
+    ones = np.arange(shared + 1)
+
+    def one(own: int) -> np.ndarray:
+        above = np.append(np.cumsum(_binomial(own)[::-1])[::-1], 0.0)
+        least = (own + shared) // 2 + 1 - ones
+        return np.where(least <= 0, 1.0, above[np.clip(least, 0, own + 1)])
+
+    pa, pb = one(a_only), one(b_only)
+    return float(_binomial(shared) @ (pa * (1 - pb) + pb * (1 - pa)))
+
+
+@lru_cache
+def worst_radius(similarity: float, bits: int, small: int = SMALL, miss: float = MISS) -> int:
+    """Bits in which the fingerprints of two sets of this similarity, both larger than ``small``, differ at most, but for a share of ``miss``."""
+    p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    for union in range(small + 1, _UNION + 1):
+        shared = math.ceil(similarity * union - 1e-9)
+        for a_only in range((union - shared) // 2 + 1):
+            if shared + a_only > small:
+                p = max(p, _bit_differs(a_only, union - shared - a_only, shared))
+    tail = 0.0
+    for r in range(bits, -1, -1):
+        tail += math.comb(bits, r) * p**r * (1 - p) ** (bits - r)
+        if tail > miss:
+            return r
+    return 0
+
+
 def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of the word shingles of a text, A-Z lower-cased; of a shorter text, the whole."""
     words = (text or "").encode().lower().split()
@@ -165,6 +209,59 @@ def _near(home: np.ndarray, other: np.ndarray, radius: int, narrow: int) -> Iter
                 yield x[keep], y[keep], d[keep]
 
 
+def _sharing(home: list[np.ndarray], other: list[np.ndarray], similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of all pairs that can have the similarity, some more than once.
+
+    Of a set's n members in a common order, rare ones first, similar sets share
+    one of the first n - ceil(similarity * n) + 1 each.
+    """
+    sets = home + other
+    sizes = np.array([len(m) for m in sets], np.int64)
+    if not sizes.sum():
+        return
+    _, member, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.lexsort((member, counts[member], owner))
+    member, owner = member[order], owner[order]
+    rank = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    first = rank <= sizes[owner] - np.ceil(similarity * sizes[owner] - 1e-9)
+    member, owner = member[first], owner[first]
+    mine = owner < len(home)
+    hm, ho, qm, qo = member[mine], owner[mine], member[~mine], owner[~mine] - len(home)
+    order = np.argsort(qm, kind="stable")
+    qm, qo = qm[order], qo[order]
+    begin, end = np.searchsorted(qm, hm, "left"), np.searchsorted(qm, hm, "right")
+    held = end > begin
+    ho, begin, lengths = ho[held], begin[held], (end - begin)[held]
+    stops = np.cumsum(lengths)
+    for at in range(0, int(stops[-1]) if len(stops) else 0, _SMALL_PAIRS):
+        pair = np.arange(at, min(at + _SMALL_PAIRS, int(stops[-1])))
+        k = np.searchsorted(stops, pair, "right")
+        yield ho[k], qo[begin[k] + pair - (stops[k] - lengths[k])]
+
+
+def _pairs(home: pd.DataFrame, query: pd.DataFrame, radius: int, narrow: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Positions and distances of pairs whose sizes allow the similarity; where one is small all of them, else those within the radius."""
+    hp, qp = _prints(home["print"]), _prints(query["print"])
+    hs, qs = home["size"].to_numpy(), query["size"].to_numpy()
+    fits = lambda x, y: np.minimum(hs[x], qs[y]) >= similarity * np.maximum(hs[x], qs[y]) - 1e-9
+    hl, ql = np.flatnonzero(hs > SMALL), np.flatnonzero(qs > SMALL)
+    for x, y, d in _near(hp[hl], qp[ql], radius, narrow):
+        x, y = hl[x], ql[y]
+        ok = fits(x, y)
+        yield x[ok], y[ok], d[ok]
+    most = SMALL / similarity + 1e-9
+    hl, ql = np.flatnonzero(hs <= most), np.flatnonzero(qs <= most)
+    if not len(hl) or not len(ql) or min(hs.min(), qs.min()) > SMALL:
+        return
+    members = lambda rows, at: [np.frombuffer(m, np.uint32) for m in rows["members"].iloc[at]]
+    for x, y in _sharing(members(home, hl), members(query, ql), similarity):
+        x, y = hl[x], ql[y]
+        ok = fits(x, y) & (np.minimum(hs[x], qs[y]) <= SMALL)
+        x, y = x[ok], y[ok]
+        yield x, y, np.bitwise_count(hp[x] ^ qp[y]).sum(axis=1)
+
+
 def _similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     shared = len(np.intersect1d(a, b, assume_unique=True))
     return shared >= similarity * (len(a) + len(b) - shared) - 1e-9
@@ -179,9 +276,10 @@ def near_duplicate_groups(
     one class as well, which links to no other.  Null ids keep their rows; a
     group whose ids are all null has a null component.
     """
-    radius, narrow = radius_for(similarity, 64 * WORDS), radius_for(similarity, 64, 5.0)
+    radius, narrow = worst_radius(similarity, 64 * WORDS), worst_radius(similarity, 64)
     marked = _marked(docs, id_col, text_col, shingle)
-    classes = marked.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("size").alias("size"), F.first("print").alias("print"))
+    few = F.when(F.col("size") <= SMALL / similarity + 1e-9, F.col("members"))
+    classes = marked.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("size").alias("size"), F.first("print").alias("print"), F.first(few).alias("members"))
     classes = materialise(classes, "neardup-classes")
     at = ["ring", "home", "query", "near"]
 
@@ -195,33 +293,30 @@ def near_duplicate_groups(
         home, query = found(rows)
         hit_h, hit_q = np.zeros(len(home), bool), np.zeros(len(query), bool)
         if len(home) and len(query):
-            hs, qs, hk, qk = home["size"].to_numpy(), query["size"].to_numpy(), home["key"].to_numpy(), query["key"].to_numpy()
-            for x, y, _ in _near(_prints(home["print"]), _prints(query["print"]), radius, narrow):
-                ok = (np.minimum(hs[x], qs[y]) >= similarity * np.maximum(hs[x], qs[y]) - 1e-9) & (hk[x] != qk[y])
+            hk, qk = home["key"].to_numpy(), query["key"].to_numpy()
+            for x, y, _ in _pairs(home, query, radius, narrow, similarity):
+                ok = hk[x] != qk[y]
                 hit_h[x[ok]] = True
                 hit_q[y[ok]] = True
         return pd.DataFrame({"key": np.unique(np.concatenate([home["key"].to_numpy()[hit_h], query["key"].to_numpy()[hit_q]])).astype(np.int64)})
 
-    first = _dealt(classes, similarity, block_rows, []).groupBy(*at).applyInPandas(candidates, "key long")
+    first = _dealt(classes, similarity, block_rows, ["members"]).groupBy(*at).applyInPandas(candidates, "key long")
     wanted = materialise(first.distinct(), "neardup-wanted")
     small = wanted.count() <= broadcast_keys
     sets = marked.select("key", "members").join(F.broadcast(wanted) if small else wanted, "key", "left_semi")
     sets = sets.groupBy("key").agg(F.first("members").alias("members"))
-    held = classes.join(sets, "key").select("key", "size", "print", "members")
+    held = classes.drop("members").join(sets, "key").select("key", "size", "print", "members")
     held = materialise(held, "neardup-held")
 
     def verified(rows: pd.DataFrame) -> pd.DataFrame:
         home, query = found(rows)
         src, dst = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if len(home) and len(query):
-            hs, qs = home["size"].to_numpy(), query["size"].to_numpy()
             keys, inverse = np.unique(np.concatenate([home["key"].to_numpy(), query["key"].to_numpy()]), return_inverse=True)
             hi, qi = inverse[: len(home)], inverse[len(home) :]
             hm, qm = ([np.frombuffer(m, np.uint32) for m in s["members"]] for s in (home, query))
             forest = _Forest(len(keys))
-            for x, y, d in _near(_prints(home["print"]), _prints(query["print"]), radius, narrow):
-                ok = np.minimum(hs[x], qs[y]) >= similarity * np.maximum(hs[x], qs[y]) - 1e-9
-                x, y, d = x[ok], y[ok], d[ok]
+            for x, y, d in _pairs(home, query, radius, narrow, similarity):
                 order = np.argsort(d, kind="stable")
                 x, y = x[order], y[order]
                 while len(x):

@@ -73,6 +73,20 @@ def test_one_of_each_group_stays(spark):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([*{i for i, _ in rows if i is not None} - gone, None, None], key=str)
 
 
+def test_small_sets_lose_no_link(spark):
+    rows = []
+    for i in range(600):
+        words = [f"d{i}x{k}" for k in range(9)]
+        rows += [(2 * i, " ".join(words[:8])), (2 * i + 1, " ".join(words))]
+    found = neardup.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string"), block_rows=500).collect()
+    assert all(r["component_id"] == r["doc_id"] // 2 * 2 for r in found) and len(found) == 1200
+
+
+def test_radius_of_the_worst_case():
+    assert neardup._bit_differs(0, 1, 4) == pytest.approx(0.1875) and neardup._bit_differs(0, 0, 7) == pytest.approx(0)
+    assert neardup.worst_radius(1.0, 256) == 0 and neardup.worst_radius(0.8, 256) > neardup.radius_for(0.8, 256)
+
+
 def test_size_rings_and_radius():
     assert neardup.radius_for(1.0, 256) == 0 and 50 < neardup.radius_for(0.8, 256) < 64
     assert len(neardup.shingle_hashes("a b c")) == 1 and len(neardup.shingle_hashes("a b c d e f")) == 2 and len(neardup.shingle_hashes(None)) == 0
