@@ -76,8 +76,8 @@ class SlotPermutation:
 
 
 def record_type(sequence: int, id_bytes: int) -> np.dtype:
-    """A record: the document, the sequence's place in it, its number of ids, the ids and zeros."""
-    return np.dtype([("doc_id", "<i8"), ("part", "<i4"), ("n", "<i4"), ("ids", f"<u{id_bytes}", (sequence,))])
+    """A record: the document and whether it has an id, the sequence's place in it, its number of ids, the ids and zeros."""
+    return np.dtype([("doc_id", "<i8"), ("named", "u1"), ("part", "<i4"), ("n", "<i4"), ("ids", f"<u{id_bytes}", (sequence,))])
 
 
 #: Fixed value: how byte-level vocabularies of this kind cut texts before merging.
@@ -175,9 +175,9 @@ def write_shards(
 
     A document's ids, with ``end_id`` after them, are cut into sequences; the
     last is padded with zeros.  Null ids give none, and empty ones none but
-    the end.  A null doc_id counts as the largest and is stored as -1.  A
-    shard that is there in full is left as it is, so a job can be resumed
-    under the same path.
+    the end.  A null doc_id counts as the largest, and its records are marked
+    as without an id.  A shard that is there in full is left as it is, so a job
+    can be resumed under the same path.
 
     ``tokens`` is run twice, to count and to write, so that ids are never
     stored but in shards.  It must give the same rows in the same partitions,
@@ -215,7 +215,7 @@ def write_shards(
                 if not n:
                     continue
                 made = np.zeros(n, record)
-                made["doc_id"], made["part"] = -1 if doc is None else doc, np.arange(n)
+                made["doc_id"], made["named"], made["part"] = doc or 0, doc is not None, np.arange(n)
                 made["n"] = np.minimum(sequence, len(values) - sequence * np.arange(n))
                 made["ids"] = np.pad(values, (0, n * sequence - len(values))).reshape(n, sequence)
                 records.append(made)
@@ -269,7 +269,7 @@ def read_slots(shards: DataFrame, sequence: int, id_bytes: int = 2, start: int =
                     while at < end:
                         got = np.frombuffer(stream.read(min(8192, end - at) * record.itemsize), record)
                         ids = [x["ids"][: x["n"]].tobytes() for x in got]
-                        doc = pa.array(got["doc_id"], mask=got["doc_id"] == -1)
+                        doc = pa.array(got["doc_id"], mask=got["named"] == 0)
                         slots = pa.array(np.arange(first + at, first + at + len(got)))
                         yield pa.RecordBatch.from_arrays([slots, doc, pa.array(got["part"]), pa.array(got["n"]), pa.array(ids, pa.binary())], ["slot", "doc_id", "part", "n_ids", "ids"])
                         at += len(got)
