@@ -1,9 +1,10 @@
 """WARC archives with revisit records for payloads that were seen before.
 
 Headers alone are shuffled by payload digest to find each repeated payload's
-original.  Pages then become response or revisit records in gzip members of
-archive files in the shared folder, and reading the archives joins revisits to
-the responses that they refer to.
+original; payloads never are.  What was decided goes back to each partition of
+the pages as a file, and a second scan writes response or revisit records, in
+gzip members of archive files in the shared folder.  Reading the archives joins
+revisits to the responses that they refer to.
 """
 
 from __future__ import annotations
@@ -25,17 +26,14 @@ from locuspark.llm.common import materialise, scratch_path
 LEAST_REVISIT_BYTES = 1000
 #: Compressed bytes after which a task starts another archive.
 ARCHIVE_BYTES = 64 << 20
-#: Originals up to this many are sent to all tasks (under 100 bytes each); beyond it the join shuffles.
-BROADCAST_ORIGINALS = 50_000
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL namespace of RFC 4122
-_EMPTY_SHA1 = hashlib.sha1(b"").hexdigest()
 
 RECORDS = "page_id long, url string, record_id string, record_type string, payload_digest string, payload_bytes long, refers_to_record string"
 
 
-def record_id(page_id: int | None, url: str | None, digest: str) -> str:
-    name = f"page:{page_id}" if page_id is not None else f"url:{url}:{digest}"
-    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, name)}>"
+def record_id(page_id: int | None, digest: str, row: int) -> str:
+    """Differs for every row, also of rows that repeat page and payload."""
+    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'page:{page_id}:{digest}:{row}')}>"
 
 
 def _header_value(text: str) -> str:
@@ -43,21 +41,21 @@ def _header_value(text: str) -> str:
     return "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in text)
 
 
-def encode_record(page_id: int | None, url: str | None, payload: bytes, digest: str, original: int | None, date: str) -> bytes:
-    """One gzip member: a response, or a revisit of the page ``original``."""
-    head = [b"WARC/1.1", b"WARC-Type: " + (b"response" if original is None else b"revisit")]
-    head.append(f"WARC-Record-ID: {record_id(page_id, url, digest)}".encode())
+def encode_record(page_id: int | None, url: str | None, payload: bytes, digest: str, name: str, refers_to: str | None, date: str) -> bytes:
+    """One gzip member: a response, or a revisit of the record ``refers_to``."""
+    head = [b"WARC/1.1", b"WARC-Type: " + (b"response" if refers_to is None else b"revisit")]
+    head.append(f"WARC-Record-ID: {name}".encode())
     head.append(f"WARC-Date: {date}".encode())
     if url is not None:
         head.append(f"WARC-Target-URI: {_header_value(url)}".encode())
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}".encode())
     head.append(f"WARC-Payload-Digest: sha1:{digest}".encode())
-    if original is None:
+    if refers_to is None:
         head.append(b"Content-Type: text/html; charset=utf-8")
     else:
         head.append(b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-        head.append(f"WARC-Refers-To: {record_id(original, None, digest)}".encode())
+        head.append(f"WARC-Refers-To: {refers_to}".encode())
         payload = b""
     head.append(f"Content-Length: {len(payload)}".encode())
     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
@@ -89,19 +87,25 @@ def decode_records(stream, chunk: int = 1 << 20) -> Iterator[tuple[dict[str, str
         yield headers, body[:n]
 
 
-def with_originals(pages: DataFrame, least_bytes: int = LEAST_REVISIT_BYTES, broadcast_rows: int = BROADCAST_ORIGINALS) -> DataFrame:
-    """Pages with payload, its digest and size, and ``original``, the page to refer to; null for responses."""
-    marked = pages.withColumn("payload_digest", F.sha1(F.col("payload"))).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    headers = marked.where(F.col("payload_bytes") >= least_bytes).select("payload_digest", "page_id")
-    repeated = materialise(
-        headers.groupBy("payload_digest").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1 and last is not null").drop("n"),
-        "warc-originals",
+def _write_decisions(rows: DataFrame, path: str, least_bytes: int) -> None:
+    """For each partition of the pages a file: its rows in order, their digests, and the page and row that a revisit refers to."""
+    headers = materialise(rows.select("row", "page_id", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("size")), "warc-headers")
+    long = headers.where(F.col("size") >= least_bytes).drop("size")
+    best = F.max(F.when(F.col("page_id").isNotNull(), F.struct("page_id", F.negative(F.col("row")).alias("row"))))
+    originals = long.groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1 and best is not null").drop("n")
+    revisit = F.col("best").isNotNull() & (F.col("size") >= least_bytes) & (F.col("page_id").isNull() | (F.col("page_id") != F.col("best.page_id")))
+    decided = headers.join(originals, "digest", "left").select(
+        F.shiftright("row", 33).alias("block"), "row", "digest", F.when(revisit, F.col("best.page_id")).alias("original"), F.when(revisit, F.negative(F.col("best.row"))).alias("original_row")
     )
-    if repeated.count() <= broadcast_rows:
-        repeated = F.broadcast(repeated)
-    joined = marked.join(repeated, "payload_digest", "left")
-    original = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("last")), F.col("last"))
-    return joined.withColumn("original", original).drop("last")
+    listed = decided.groupBy("block").agg(F.collect_list(F.struct("row", "digest", "original", "original_row")).alias("rows"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, found in zip(batch.column(0).to_pylist(), batch.column(1)):
+                files.write_block(f"{path}/{block:07d}.arrow", pa.Table.from_struct_array(found.values).sort_by("row"))
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64())], ["block"])
+
+    materialise(listed.mapInArrow(write, "block long"), "warc-decided").count()
 
 
 def write_archives(pages: DataFrame, path: str, date: str = "2000-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES, least_bytes: int = LEAST_REVISIT_BYTES) -> DataFrame:
@@ -109,24 +113,48 @@ def write_archives(pages: DataFrame, path: str, date: str = "2000-01-01T00:00:00
 
     Null html is an empty payload.  A null page_id can't be referred to: such
     rows revisit the largest id of their payload if there is one.  Rows that
-    repeat the largest id are responses all of them.  Other columns are left out.
+    repeat the largest id with the same payload are responses all of them, and
+    each has a record id of its own; rows that repeat an id with another
+    payload are judged by their own payload.  Other columns are left out.
+
+    ``pages`` is scanned twice, to decide and to write.  It must give the same
+    rows in the same partitions, as scans do; pages that differ are an error.
     """
-    source = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload")
+    rows = pages.select(
+        F.monotonically_increasing_id().alias("row"),
+        F.col("page_id").cast("long").alias("page_id"),
+        F.col("url").cast("string").alias("url"),
+        F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"),
     )
-    rows = with_originals(source, least_bytes).select("page_id", "url", "payload", "payload_digest", "original")
+    decisions = scratch_path(pages.sparkSession, "warc-decisions")
+    _write_decisions(rows, decisions, least_bytes)
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+        known, at = None, 0
+        for batch in batches:
+            for row, page, url, payload in zip(*(c.to_pylist() for c in batch.columns)):
+                if known is None:
+                    known = [c.to_pylist() for c in files.read_block(f"{decisions}/{row >> 33:07d}.arrow").columns]
+                payload = payload.encode()
+                digest = hashlib.sha1(payload).hexdigest()
+                if at >= len(known[0]) or (known[0][at], known[1][at]) != (row, digest):
+                    raise ValueError("the pages differ from those that were compared; write them to a table first")
+                original, original_row = known[2][at], known[3][at]
+                at += 1
+                refers_to = None if original is None else record_id(original, digest, original_row)
+                yield encode_record(page, url, payload, digest, record_id(page, digest, row), refers_to, date)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, part, written = TaskContext.get().partitionId(), 0, []
-        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
-        row = next(rows, None)
-        while row is not None:
+        made = encoded(batches)
+        record = next(made, None)
+        while record is not None:
             name, records = f"{path}/pages-{task:06d}-{part:04d}.warc.gz", 0
             with files.writing(name) as out:
-                while row is not None and out.tell() < archive_bytes:
-                    out.write(encode_record(row[0], row[1], row[2].encode(), row[3], row[4], date))
+                while record is not None and out.tell() < archive_bytes:
+                    out.write(record)
                     records += 1
-                    row = next(rows, None)
+                    record = next(made, None)
                 size = out.tell()
             written.append((name, records, size))
             part += 1
@@ -175,11 +203,11 @@ def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
     """``records`` with sizes, and for revisits ``refers_to``, from the responses that they refer to."""
-    responses = records.where("record_type = 'response' and page_id is not null").groupBy(F.col("record_id").alias("refers_to_record"))
-    responses = responses.agg(F.max("page_id").alias("refers_to"), F.max("payload_bytes").alias("whole_bytes"))
-    revisits = records.where("record_type = 'revisit'").join(responses, "refers_to_record", "left")
+    responses = records.where("record_type = 'response'")
+    referred = responses.select(F.col("record_id").alias("refers_to_record"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("whole_bytes"))
+    revisits = records.where("record_type = 'revisit'").join(referred, "refers_to_record", "left")
     columns = ["page_id", "payload_digest", "record_type"]
-    return records.where("record_type = 'response'").select(*columns, "payload_bytes", F.lit(None).cast("long").alias("refers_to")).union(
+    return responses.select(*columns, "payload_bytes", F.lit(None).cast("long").alias("refers_to")).union(
         revisits.select(*columns, F.col("whole_bytes").alias("payload_bytes"), "refers_to")
     )
 

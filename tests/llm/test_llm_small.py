@@ -276,6 +276,8 @@ def test_unigram_paths_maximise_the_sum():
 def test_archives_round_trip_and_revisit(spark):
     big, other, limit = "x" * 1500, "é" * 600, "y" * 999
     rows = [(1, "http://a/1", big), (9, "http://a/9", big), (4, "http://a/\r\nX-Evil: 1", big), (2, None, other), (3, "u", other), (5, "u", limit), (6, "u", limit), (7, "u", None), (8, "u", ""), (None, "n", big), (None, "n", "z" * 2000), (10, "d", other * 2), (10, "d", other * 2)]
+    # Ids that repeat with another payload, or with the same.
+    rows += [(70, "a", "A" * 2000), (70, "b", "B" * 5000), (33, "c", "A" * 2000), (33, "c", "A" * 2000), (71, "é" * 500, "é" * 20000)]
     pages = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, record_type string, file int")
     manifest = warc.write_archives(pages, scratch_path(spark, "test-warc"), archive_bytes=500)
     records = warc.read_records(manifest, payloads=True).persist()
@@ -288,6 +290,7 @@ def test_archives_round_trip_and_revisit(spark):
         original = max(same) if same and len(data) >= 1000 and page != max(same) else None
         expected.append((page, len(data), hashlib.sha1(data).hexdigest(), "revisit" if original is not None else "response", original))
     assert found == sorted(expected, key=str)
+    assert records.select("record_id").distinct().count() == len(rows)
     payloads = {r["payload_digest"]: r["payload"] for r in records.where("record_type = 'response'").collect()}
     assert all(hashlib.sha1(v).hexdigest() == k for k, v in payloads.items())
     assert warc.archive_and_read(pages.limit(0)).count() == 0
@@ -296,7 +299,7 @@ def test_archives_round_trip_and_revisit(spark):
 def test_damaged_archives_are_errors():
     import io
 
-    good = warc.encode_record(1, "u", b"hello", hashlib.sha1(b"hello").hexdigest(), None, "2000-01-01T00:00:00Z")
+    good = warc.encode_record(1, "u", b"hello", hashlib.sha1(b"hello").hexdigest(), "<urn:uuid:1>", None, "2000-01-01T00:00:00Z")
     assert [b for _, b in warc.decode_records(io.BytesIO(good * 3), chunk=7)] == [b"hello"] * 3
     for bad in (good[:-4], zlib.compress(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort\r\n\r\n", wbits=31)):
         with pytest.raises(ValueError):
@@ -318,13 +321,13 @@ def test_permutation(n):
 
 def test_shards(spark):
     rng = np.random.default_rng(6)
-    rows = [(int(i), rng.integers(0, 60000, int(n)).astype("<i4")) for i, n in zip(rng.permutation(40), rng.integers(0, 50, 40))] + [(None, np.array([5], "<i4")), (100, None), (7, np.array([1, 2], "<i4"))]
+    rows = [(int(i), rng.integers(0, 60000, int(n)).astype("<i4")) for i, n in zip(rng.permutation(40), rng.integers(0, 50, 40))] + [(None, np.array([5], "<i4")), (100, None), (7, np.array([1, 2], "<i4")), (-1, np.arange(20, dtype="<i4"))]
     frame = spark.createDataFrame([(i, None if x is None else bytearray(x.tobytes()), 3) for i, x in rows], "doc_id long, ids binary, slot int").repartition(3)
     path = scratch_path(spark, "test-order")
     shards = training_order.write_shards(frame, path, 8, "k", end_id=2, shard_rows=16)
     read = training_order.read_slots(shards, 8).orderBy("slot").collect()
     expected = []
-    for i, x in sorted((r for r in rows if r[1] is not None), key=lambda r: (r[0] is None, r[0] or 0, r[1].tolist() != [] and len(r[1]))):
+    for i, x in sorted((r for r in rows if r[1] is not None), key=lambda r: (r[0] is None, r[0] or 0, len(r[1]))):
         ids = np.append(x, 2)
         expected += [(i, part, ids[at : at + 8].tolist()) for part, at in enumerate(range(0, len(ids), 8))]
     got = [(r["doc_id"], r["part"], np.frombuffer(r["ids"], "<u2").tolist()) for r in read]
