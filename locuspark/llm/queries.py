@@ -157,15 +157,15 @@ SQL = {
         from known""",
     "op9_topk_search": """
         with points as (
-            select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as q
+            select row_number() over () as rid, vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as q
             from embeddings
             where vec_id is not null and embedding is not null
               and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
         scored as (
-            select a.vec_id as query_id, b.vec_id, cast(list_inner_product(a.q, b.q) as bigint) as score
-            from points a join points b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+            select a.rid, a.vec_id as query_id, b.vec_id, cast(list_inner_product(a.q, b.q) as bigint) as score
+            from points a join points b on a.vec_id % 50 = 0 and a.rid <> b.rid),
         ranked as (
-            select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
+            select *, row_number() over (partition by rid order by score desc, vec_id) as rank from scored)
         select query_id, cast(rank as integer) as rank, vec_id, score from ranked where rank <= 5""",
 }
 

@@ -449,29 +449,42 @@ def test_repeated_rows_lose_one_copy(spark):
 # 9: top-k search.
 
 
-@pytest.mark.parametrize("k, wave", [(5, 1 << 20), (3, 40), (500, 100)])
-def test_topk(spark, k, wave):
+@pytest.mark.parametrize("k, wave, block", [(5, 1 << 20, 1 << 20), (3, 40, 100), (500, 100, 1 << 20)])
+def test_topk(spark, k, wave, block):
     rng = np.random.default_rng(9)
     rows = [(i, rng.normal(size=12).tolist()) for i in range(300)]
     rows += [(300 + i, rows[7][1]) for i in range(9)]
     rows += [(400, None), (401, [1.0, None]), (402, [float("nan")] * 12), (403, [float("inf")] * 12), (None, rows[0][1]), (450, [0.5, 0.25]), (0, [9.0] * 12), (500, [])]
     frame = spark.createDataFrame([(i, v, 1.0) for i, v in rows], "vec_id long, embedding array<float>, score double").repartition(3)
     points = topk.quantised(frame).persist()
-    found = [tuple(r) for r in topk.search(points, points.where("vec_id % 50 = 0"), k, wave_values=wave).collect()]
-    q = {}
+    found = [tuple(r) for r in topk.search(points, points.where("vec_id % 50 = 0"), k, wave_values=wave, block_values=block).collect()]
+    q = []
     for i, v in rows:
         if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            quantised = [int(np.floor(256.0 * float(np.float32(x)))) for x in v]
-            q[i] = max(q.get(i, quantised), quantised)
+            q.append((i, [int(np.floor(256.0 * float(np.float32(x)))) for x in v]))
     expected = []
-    for i in q:
+    for row, (i, a) in enumerate(q):
         if i % 50 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(q[i], q[j])), j) for j in q if j != i)
+            scored = sorted((-sum(x * y for x, y in zip(a, b)), j) for other, (j, b) in enumerate(q) if other != row)
             expected += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scored[:k])]
     assert sorted(found) == sorted(expected)
     assert topk.search_ids(frame.limit(0)).count() == 0
 
 
+def test_topk_keeps_rows_that_repeat_an_id(spark):
+    rows = [(50, [1.0, 0.0]), (7, [5.0, 0.0]), (7, [0.0, 9.0]), (7, [3.0, 0.0]), (50, [2.0, 0.0])]
+    found = sorted(tuple(r) for r in topk.search_ids(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=3).collect())
+    unit = 256 * 256
+    assert found == sorted([(50, 1, 7, 5 * unit), (50, 2, 7, 3 * unit), (50, 3, 50, 2 * unit), (50, 1, 7, 10 * unit), (50, 2, 7, 6 * unit), (50, 3, 50, 2 * unit)])
+
+
+def test_topk_beyond_doubles(spark):
+    big = 1 << 27
+    points = spark.createDataFrame([(0, 50, [big, 1]), (1, 1, [big, 3]), (2, 2, [big, 2]), (3, 3, [big, 4]), (4, 4, [-big, 9])], "row long, vec_id long, q array<long>")
+    found = sorted(tuple(r) for r in topk.search(points, points.where("vec_id = 50"), 2, groups=2).collect())
+    assert found == [(50, 1, 3, (1 << 54) + 4), (50, 2, 1, (1 << 54) + 3)]
+
+
 # 10: quality.
 
 
