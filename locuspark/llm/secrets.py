@@ -3,8 +3,13 @@
 The base kinds ``assign``, ``access`` and ``hex`` are patterns alone.  Further
 kinds are reported only where a candidate decodes and its structure holds:
 ``jwt`` (a signed token whose header and claims are JSON objects), ``pem`` (an
-armoured private key), ``der`` (a bare base64 private key), ``ssh`` (an OpenSSH
-private key without armour) and ``hexder`` (the same in hexadecimal digits).
+armoured private key, plain or encrypted), ``der`` (a bare base64 private key),
+``ssh`` (an OpenSSH private key without armour) and ``hexder`` (a key in
+hexadecimal digits, adjacent or separated).
+
+Bare keys are looked for at every position, in lines that go on and within
+longer runs: the outer length of an encoding says how many characters it has,
+and these must decode to a key whose nested lengths agree.
 """
 
 from __future__ import annotations
@@ -31,11 +36,21 @@ _ASSIGN_HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ ){0,4}PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-_BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
-_HEXKEY = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{62,}(?![0-9A-Fa-f])")
+_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ ){0,4}PRIVATE KEY)-----((?:\s*[A-Za-z][A-Za-z0-9-]*:[^\r\n]*\r?\n)*)([A-Za-z0-9+/=\s]+)-----END \1-----")
+_DEK = re.compile(r"DEK-Info:\s*([A-Z0-9-]+)\s*,\s*([0-9A-Fa-f]+)\s*$", re.MULTILINE)
+# In base64 a sequence starts with M; C to H are lengths of one byte, I longer ones.
+_DER_START = re.compile(r"(?=(M[C-I][A-Za-z0-9+/]{10}|b3BlbnNzaC1rZXktdjE[A-Za-z0-9+/]{9}))")
+_DER_RUN = re.compile(r"[A-Za-z0-9+/]+")
+_LINE = re.compile(r"[ \t]*\r?\n[ \t]*")
+_HEX_START = re.compile(r"(?=(30(?:[0-7]|8[1-4]))(?:[0-9A-Fa-f]{14}))")
+_HEX_PAIRS = re.compile(r"(?<![0-9A-Fa-f])30(?:(?::|-|[ \t]|:?[ \t]*\r?\n[ \t]*)[0-9A-Fa-f]{2}){15,}")
+_NOT_HEX = re.compile(r"[^0-9A-Fa-f]+")
+
+_HEX_ONLY = re.compile(r"[0-9A-Fa-f]*")
 
 _SEQUENCE, _INTEGER, _OCTETS, _OID = 0x30, 0x02, 0x04, 0x06
+#: The object identifiers of PKCS 5 and of PKCS 12 schemes, by which keys are encrypted.
+_PASSWORD_OIDS = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 
 
 def _children(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] | None:
@@ -71,9 +86,13 @@ def private_key_encoding(data: bytes) -> str | None:
     if not top or len(top) != 1 or top[0][0] != _SEQUENCE:
         return None
     parts = _children(data, *top[0][1:])
-    if not parts or parts[0][0] != _INTEGER or parts[0][2] - parts[0][1] != 1:
+    if not parts:
         return None
     tags = [p[0] for p in parts]
+    if tags == [_SEQUENCE, _OCTETS]:
+        return "der" if _encrypted(data, parts) else None
+    if tags[0] != _INTEGER or parts[0][2] - parts[0][1] != 1:
+        return None
     version = data[parts[0][1]]
     if version in (0, 1) and len(tags) >= 3 and tags[1] == _SEQUENCE and tags[2] == _OCTETS:  # any algorithm, wrapped
         inner = _children(data, *parts[1][1:])
@@ -85,6 +104,137 @@ def private_key_encoding(data: bytes) -> str | None:
     return None
 
 
+def _encrypted(data: bytes, parts: list[tuple[int, int, int]]) -> bool:
+    """An encrypted key: an algorithm for encryption by password, with its parameters, and whole bytes that it made."""
+    algorithm = _children(data, *parts[0][1:])
+    if not algorithm or [a[0] for a in algorithm] != [_OID, _SEQUENCE] or parts[1][2] - parts[1][1] < 8:
+        return False
+    by_password = data[algorithm[0][1] : algorithm[0][2]].startswith(_PASSWORD_OIDS)
+    return by_password and _children(data, *algorithm[1][1:]) is not None
+
+
+def _encoded_size(data: bytes) -> int | None:
+    """Bytes of the encoding that starts with ``data``, where its first bytes are those of a key."""
+    if len(data) < 9 or data[0] != _SEQUENCE:
+        return None
+    n = data[1] - 0x80 if data[1] > 0x80 else 0
+    if n > 4 or data[1] == 0x80:
+        return None
+    size = int.from_bytes(data[2 : 2 + n], "big") if n else data[1]
+    start = 2 + n
+    version = data[start] == _INTEGER and data[start + 1] == 1 and data[start + 2] in (0, 1)
+    return start + size if version or data[start] == _SEQUENCE else None
+
+
+def _ssh_size(data: bytes) -> int | None:
+    """Bytes of an OpenSSH key at the start of ``data``, or None where its strings reach beyond it."""
+    at = len(b"openssh-key-v1\0")
+    for k in range(3):
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+        if at + 4 > len(data):
+            return None
+    keys = int.from_bytes(data[at : at + 4], "big")
+    at += 4
+    for _ in range(min(keys, 64) + 1):
+        if at + 4 > len(data):
+            return None
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+    return at if at <= len(data) else None
+
+
+def _run(text: str, start: int, wanted: int | None) -> tuple[str, list[int]]:
+    """Base64 characters from ``start``, over line breaks, as many as ``wanted`` if there are; and where each line starts and ends."""
+    parts, ends, at, n = [], [], start, 0
+    while (m := _DER_RUN.match(text, at)) and (wanted is None or n < wanted):
+        stop = m.end() if wanted is None else min(m.end(), at + wanted - n)
+        parts.append(text[at:stop])
+        ends += [at, stop]
+        n += stop - at
+        gap = _LINE.match(text, m.end())
+        if gap is None or stop < m.end():
+            break
+        at = gap.end()
+    return "".join(parts), ends
+
+
+def _end_of(ends: list[int], n: int) -> int:
+    """The text position after the first ``n`` characters of a run."""
+    for a, b in zip(ends[::2], ends[1::2]):
+        if n <= b - a:
+            return a + n
+        n -= b - a
+    return ends[-1]
+
+
+def _bare_keys(text: str, taken: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, str]]:
+    """Keys in base64 at any position outside the spans ``taken``; they don't overlap."""
+    free, skip = 0, sorted(taken)
+    for m in _DER_START.finditer(text):
+        start = m.start()
+        while skip and skip[0][1] <= start:
+            skip.pop(0)
+        if start < free or skip and skip[0][0] <= start:
+            continue
+        if m[1][0] == "M":
+            size = _encoded_size(base64.b64decode(m[1]))
+            if size is None or size > len(text) - start:
+                continue
+            chars, ends = _run(text, start, -(-size * 4 // 3))
+            if len(chars) * 3 // 4 < size:
+                continue
+            data = _decoded(chars)
+        else:
+            chars, ends = _run(text, start, None)
+            data = _decoded(chars[: len(chars) // 4 * 4]) if len(chars) % 4 == 1 else _decoded(chars)
+            size = _ssh_size(data) if data else None
+            if size is None:
+                continue
+            data = data[:size]
+        kind = private_key_encoding(data[:size]) if data else None
+        if kind:
+            free = _end_of(ends, -(-size * 4 // 3))
+            pad = -size % 3
+            if text.startswith("=" * pad, free):
+                free += pad
+            yield start, free, kind
+
+
+def _hex_keys(text: str) -> Iterator[tuple[int, int, str]]:
+    """Keys in hexadecimal digits, adjacent ones at any position, or pairs separated by colons, hyphens, blanks or lines."""
+    free = 0
+    for m in _HEX_START.finditer(text):
+        start = m.start()
+        if start < free:
+            continue
+        size = _encoded_size(bytes.fromhex(text[start : start + 16]) + bytes(2))
+        if size is None or start + 2 * size > len(text) or not _HEX_ONLY.fullmatch(text, start, start + 2 * size):
+            continue
+        if private_key_encoding(bytes.fromhex(text[start : start + 2 * size])):
+            free = start + 2 * size
+            yield start, free, "hexder"
+    for m in _HEX_PAIRS.finditer(text):
+        data = bytes.fromhex(_NOT_HEX.sub("", m[0]))
+        size = _encoded_size(data)
+        if size is not None and size <= len(data) and private_key_encoding(data[:size]):
+            pairs = re.finditer(r"[0-9A-Fa-f]{2}", m[0])
+            last = next(p for i, p in enumerate(pairs) if i == size - 1)
+            yield m.start(), m.start() + last.end(), "hexder"
+
+
+def _armoured(headers: str, body: str) -> bool:
+    """A key between armour lines: an encoding, or one that its headers say is encrypted, in whole blocks of the named cipher."""
+    data = _decoded("".join(body.split()))
+    if not data:
+        return False
+    if not headers.strip():
+        return private_key_encoding(data) is not None
+    if "Proc-Type: 4,ENCRYPTED" not in headers:
+        return private_key_encoding(data) is not None
+    dek = _DEK.search(headers)
+    block = len(dek[2]) // 2 if dek else 0
+    return block in (8, 16) and len(dek[2]) % 2 == 0 and len(data) >= 2 * block and len(data) % block == 0
+
+
 def _ssh_strings(data: bytes) -> bool:
     """Cipher, key derivation, its options, the number of keys, the public keys, the private part."""
     at = len(b"openssh-key-v1\0")
@@ -145,21 +295,10 @@ def find_secrets(text: str | None) -> list[tuple[int, int, str]]:
     spans += [(m.start(), m.end(), "hex") for m in _HEX.finditer(text)]
     if "eyJ" in text:
         spans += [(m.start(), m.end(), "jwt") for m in _JWT.finditer(text) if _signed_token(*m.groups())]
-    if "PRIVATE KEY-----" in text:
-        for m in _PEM.finditer(text):
-            data = _decoded("".join(m[2].split()))
-            if data is not None and private_key_encoding(data):
-                spans.append((m.start(), m.end(), "pem"))
-    armoured = [s for s in spans if s[2] == "pem"]
-    for m in _BASE64.finditer(text):
-        # Keys start with a sequence's tag and long length, or the OpenSSH mark.
-        if m[0].startswith(("MI", "MC", "MD", "ME", "MF", "MG", "MH", "b3BlbnNzaC1rZXktdjE")) and not any(a <= m.start() < b for a, b, _ in armoured):
-            data = _decoded(m[0])
-            if data is not None and (kind := private_key_encoding(data)):
-                spans.append((m.start(), m.end(), kind))
-    for m in _HEXKEY.finditer(text):
-        if len(m[0]) % 2 == 0 and private_key_encoding(bytes.fromhex(m[0])):
-            spans.append((m.start(), m.end(), "hexder"))
+    armoured = [(m.start(), m.end(), "pem") for m in _PEM.finditer(text) if _armoured(m[2], m[3])] if "PRIVATE KEY-----" in text else []
+    spans += armoured
+    spans += _bare_keys(text, armoured)
+    spans += _hex_keys(text)
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
 
 

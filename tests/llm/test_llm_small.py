@@ -390,6 +390,56 @@ def test_structure(key, kind):
     assert ([k for *_, k in secrets.find_secrets(text) if k in ("der", "ssh")] == [kind]) == (kind is not None)
 
 
+PBES2 = der(6, bytes.fromhex("2a864886f70d01050d")) + der(0x30, der(0x30, der(4, bytes(8))))
+ENCRYPTED = der(0x30, der(0x30, PBES2) + der(4, bytes(range(64))))
+
+
+def damaged(key):
+    """The key with a nested length that is too long."""
+    return key[:5] + bytes([key[5] ^ 0x40]) + key[6:]
+
+
+def wrapped(data, width=64):
+    text = base64.b64encode(data).decode()
+    return "\n".join(text[i : i + width] for i in range(0, len(text), width))
+
+
+def armour(label, body, headers=""):
+    return f"-----BEGIN {label}-----\n{headers}{body}\n-----END {label}-----"
+
+
+DEK = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n"
+SECRET_FORMS = [
+    ("pem", armour("ENCRYPTED PRIVATE KEY", wrapped(ENCRYPTED)), armour("ENCRYPTED PRIVATE KEY", wrapped(damaged(ENCRYPTED)))),
+    ("pem", armour("RSA PRIVATE KEY", wrapped(bytes(range(160))), DEK), armour("RSA PRIVATE KEY", wrapped(bytes(range(150))), DEK)),
+    ("pem", armour("RSA PRIVATE KEY", wrapped(RSA), "Comment: mine\n\n"), armour("RSA PRIVATE KEY", wrapped(damaged(RSA)), "Comment: mine\n\n")),
+    ("der", "key:\n" + wrapped(RSA) + "\nthe end", "key:\n" + wrapped(damaged(RSA)) + "\nthe end"),
+    ("der", "key:\r\n  " + wrapped(RSA, 76).replace("\n", "\r\n  ") + "\r\nthe", "key:\r\n  " + wrapped(damaged(RSA), 76).replace("\n", "\r\n  ")),
+    ("der", "some/path/" + base64.b64encode(PKCS8).decode() + "/andMore", "some/path/" + base64.b64encode(PKCS8[:-1]).decode().rstrip("=") + "\n"),
+    ("der", base64.b64encode(ENCRYPTED).decode(), base64.b64encode(damaged(ENCRYPTED)).decode()),
+    ("ssh", "b64 " + wrapped(SSH, 40) + "\n\nx", "b64 " + wrapped(SSH[:-1], 40) + "\n\nx"),
+    ("hexder", "fp " + RSA.hex(":"), "fp " + damaged(RSA).hex(":")),
+    ("hexder", "\n    ".join(PKCS8.hex(":")[i : i + 45] for i in range(0, 3 * len(PKCS8), 45)), damaged(PKCS8).hex(" ")),
+    ("hexder", "ff00" + PKCS8.hex() + "00ff", "ff00" + damaged(PKCS8).hex() + "00ff"),
+    ("hexder", PKCS8.hex().upper(), PKCS8.hex().upper()[:-2]),
+]
+
+
+@pytest.mark.parametrize("kind, text, twin", SECRET_FORMS)
+def test_forms_of_keys_and_their_damaged_twins(kind, text, twin):
+    found = [(s, e, k) for s, e, k in secrets.find_secrets(text) if k not in ("assign", "access", "hex")]
+    assert [k for *_, k in found] == [kind], found
+    assert not [k for *_, k in secrets.find_secrets(twin) if k not in ("assign", "access", "hex")]
+    around = secrets.find_secrets("é " * 50000 + text + " tail" * 50000)
+    assert [(s - 100000, e - 100000, k) for s, e, k in around if k == kind] == found
+    assert not [k for *_, k in secrets.find_secrets(secrets.redacted(text)) if k == kind]
+
+
+def test_span_of_a_bare_key():
+    body = base64.b64encode(PKCS8).decode()
+    assert [s for s in secrets.find_secrets("a/" + body + " z") if s[2] == "der"] == [(2, 2 + len(body), "der")]
+
+
 def test_confirmed_kinds():
     part = lambda v: base64.urlsafe_b64encode(json.dumps(v).encode()).decode().rstrip("=")
     token = f"{part({'alg': 'HS256', 'typ': 'JWT'})}.{part({'sub': 'me'})}.{'c2ln' * 8}"
