@@ -6,9 +6,11 @@ distribution that both classes share, made of continuation counts.  Where a
 class has not seen an expression, only its backoff weight speaks.  A word's
 evidence is the difference of its log-likelihoods under the two models.
 
-A document is as toxic as its worst passage: evidence is normalised by length
-over windows of words and over the whole text, and a logistic curve, fitted on
-rows that the models did not count, turns peak and mean into a probability.
+A document is as toxic as its worst passage: the two log-likelihoods are
+compared, normalised by length, over every window of words and over the whole
+text, and a logistic curve, fitted on rows that the models did not count, turns
+peak and mean into a probability.  A word that a window repeats counts once.
+All grams count, also those seen once, and all words of a text are scored.
 """
 
 from __future__ import annotations
@@ -29,11 +31,8 @@ MAX_ROWS_PER_CLASS = 12_000
 ORDER = 5
 WINDOW = 8
 DISCOUNT = 0.75
-#: Grams seen fewer times than this in both classes together count as unseen.
-LEAST_COUNT = 2
 _CACHE_WORDS = 400_000
 _WORD = re.compile(r"[^\W_]+")
-_EVIDENCE_BOUND = 20.0
 #: Longer runs of letters and digits are scored in pieces of about a word's length, each after the history before it.
 LONGEST_WORD = 64
 PIECE = 8
@@ -107,7 +106,6 @@ class SpellingModels:
             for gram in _grams(word, self.order):
                 value = seen.get(gram)
                 known += unseen.get(gram[:-1], 0.0) if value is None else value
-            known = max(-_EVIDENCE_BOUND, min(_EVIDENCE_BOUND, known))
             if len(self._words) >= _CACHE_WORDS:
                 self._words.clear()
             self._words[word] = known
@@ -120,10 +118,12 @@ class SpellingModels:
             return 0, 0.0, 0.0
         known, evidence = self._words, self.evidence
         values = np.array([known[w] if w in known else evidence(w) for w in words])
-        # A word that a window holds again adds nothing: the same word has the same evidence.
+        # A word that a window holds again adds nothing.
+        numbers: dict[str | tuple[str, int], int] = {}
+        same = np.array([numbers.setdefault(w, len(numbers)) for w in words])
         again = np.zeros(len(values), bool)
         for lag in range(1, min(self.window, len(values))):
-            again[lag:] |= values[lag:] == values[:-lag]
+            again[lag:] |= same[lag:] == same[:-lag]
         values[again] = 0.0
         sums = np.concatenate(([0.0], np.cumsum(values)))
         if len(words) <= self.window:
@@ -223,7 +223,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     counted = rows.where("fold < 4").select("label", "text").mapInArrow(count, "gram string, ordinary long, toxic long")
     counted = counted.groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
-    counted = counted.where(F.col("ordinary") + F.col("toxic") >= LEAST_COUNT)
     # The grams of a bounded number of texts.
     counts = {g: (a, b) for g, a, b in counted.toLocalIterator(prefetchPartitions=True)}
     models = SpellingModels.fit(counts)

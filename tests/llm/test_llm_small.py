@@ -179,6 +179,72 @@ def test_kneser_ney_of_the_formula():
     assert models.unseen["a"] == pytest.approx(np.log(0.5 / (0.5 * 2 / 3)))
 
 
+def brute_log_likelihoods(corpora, word, order, discount):
+    """Log-likelihood of a word under each class, straight from the texts' grams."""
+    grams = [[m[max(0, i - order + 1) : i + 1] for w in words for m in [f"^{w}$"] for i in range(1, len(m))] for words in corpora]
+    kinds = {g for part in grams for g in part}
+    levels = {order: kinds}
+    for n in range(order, 1, -1):
+        # Histories at the start of a word are short, and stand beside the shortened ones.
+        levels[n - 1] = {g for g in kinds if len(g) == n - 1} | {g[1:] for g in levels[n] if len(g) == n}
+    before = {}  # distinct characters before each shorter gram
+    for n in range(order, 1, -1):
+        for g in levels[n]:
+            if len(g) == n:
+                before.setdefault(g[1:], set()).add(g[0])
+
+    def shared(history, c):
+        lower = shared(history[1:], c) if history else 1 / (len({g for g in before if len(g) == 1}) + 1)
+        after = {g: len(b) for g, b in before.items() if g[:-1] == history and len(g) == len(history) + 1}
+        total = sum(after.values())
+        return (max(after.get(history + c, 0) - discount, 0) + discount * len(after) * lower) / total if total else lower
+
+    out = []
+    for part in grams:
+        value = 0.0
+        for g in [m[max(0, i - order + 1) : i + 1] for m in [f"^{word}$"] for i in range(1, len(m))]:
+            after = [x for x in part if x[:-1] == g[:-1]]
+            lower = shared(g[1:-1], g[-1])
+            p = lower if not after else max(after.count(g) - discount, 0) / len(after) + discount * len(set(after)) / len(after) * lower
+            value += np.log(p)
+        out.append(value)
+    return out
+
+
+@pytest.mark.parametrize("order", [2, 3, 5])
+def test_evidence_equals_brute_force_likelihoods(order):
+    rng = np.random.default_rng(order)
+    corpora = [["".join(rng.choice(list("abcd"), rng.integers(1, 7))) for _ in range(30)] for _ in range(2)]
+    counts = {}
+    for c in (0, 1):
+        for w in corpora[c]:
+            for g in toxicity._grams(w, order):
+                counts.setdefault(g, [0, 0])[c] += 1
+    models = toxicity.SpellingModels.fit({g: tuple(v) for g, v in counts.items()}, order=order)
+    for word in [*corpora[0][:5], *corpora[1][:5], "zz", "abz", "a", "dcbadcba"]:
+        ordinary, toxic = brute_log_likelihoods(corpora, word, order, toxicity.DISCOUNT)
+        assert models.evidence(word) == pytest.approx(toxic - ordinary), word
+
+
+def test_different_words_with_equal_evidence_all_count():
+    models = toxicity.SpellingModels({"^v$": 9.0, "^u$": 9.0, "^t$": 9.0, "v$": 9.0, "u$": 9.0, "t$": 9.0}, {}, order=3)
+    one, three, same = (models.features(t)[1] for t in ("v a b c", "v u t c", "v v v c"))
+    assert three == pytest.approx(3 * one) and same == pytest.approx(one)
+
+
+def test_tail_of_a_very_long_word_decides(spark):
+    rng = np.random.default_rng(5)
+    rows, labels = [], []
+    for i in range(400):
+        word = ("abcdefgh" * 3)[i % 8 :][:12]
+        rows.append((i, f"{prose(rng, 9, 60)} {word}{'zqxzqx' if i % 4 == 0 else ''}"))
+        labels.append((i, int(i % 4 == 0)))
+    models = toxicity.fit(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    plain = "abcdefgh" * 1250
+    scored = {r["doc_id"]: r["score"] for r in toxicity.score(docs(spark, [(1, plain), (2, plain + "zqxzqx")]), models).collect()}
+    assert scored[1] < 0.5 < scored[2]
+
+
 def test_toxicity_learns_and_holds_out(spark):
     rng = np.random.default_rng(0)
     rows, labels = [], []
