@@ -236,7 +236,7 @@ def test_tail_of_a_very_long_word_decides(spark):
     rng = np.random.default_rng(5)
     rows, labels = [], []
     for i in range(400):
-        word = ("abcdefgh" * 3)[i % 8 :][:12]
+        word = ("abcdefgh" * 3)[i // 4 % 8 :][:12]
         rows.append((i, f"{prose(rng, 9, 60)} {word}{'zqxzqx' if i % 4 == 0 else ''}"))
         labels.append((i, int(i % 4 == 0)))
     models = toxicity.fit(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
