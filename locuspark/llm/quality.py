@@ -2,9 +2,9 @@
 
 Two bag-of-n-grams models over the same hash buckets are counted: one of the
 target rows, one of all raw rows.  A text's log importance weight is the
-log-likelihood ratio of its n-grams, brought to a standard length.  Adding
-Gumbel noise and taking the k largest samples k documents without replacement
-in proportion to their weights.
+log-likelihood ratio of all its n-grams under the two models.  Adding Gumbel
+noise and taking the k largest samples k documents without replacement in
+proportion to their weights.
 """
 
 from __future__ import annotations
@@ -17,14 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locuspark.llm.common import materialise
+from locuspark.llm.common import materialise, unused
 
 #: Hash buckets of the models; each task counts into two arrays of this size.
 BUCKETS = 1 << 16
 #: Rows of the target model, those with the smallest id hashes; the raw model counts all rows.
 MAX_TARGET_ROWS = 50_000
-#: N-grams of the length that weights are brought to.
-STANDARD_LENGTH = 64
 #: Weight of the raw model in the target model, as a number of n-grams.
 PRIOR = 1000.0
 _BIGRAM = np.uint64(0x9E3779B97F4A7C15)
@@ -90,7 +88,7 @@ def log_weights(docs: DataFrame, ratio: np.ndarray, text_col: str = "text", out_
 
     def weight(text: str | None) -> float:
         found = _buckets(text, len(sent.value))
-        return float(sent.value[found].mean() * STANDARD_LENGTH) if len(found) else 0.0
+        return float(sent.value[found].sum())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,42 +104,66 @@ def gumbel(id_col: Column, seed: int = 0) -> Column:
     return -F.log(-F.log(uniform))
 
 
-def gumbel_top_k(weighted: DataFrame, fraction: float, id_col: str = "doc_id", weight_col: str = "log_weight", seed: int = 0) -> DataFrame:
-    """``weighted`` with ``gumbel_key`` and ``selected``: true for the k rows with the largest keys.
+def _kth_largest(rows: DataFrame, column: str, k: int, parts: int = 1024) -> tuple[object, int]:
+    """The k-th largest value of a column without nulls, and the number of rows above it.
 
-    k is ``fraction`` of the rows, rounded up.  The k-th key is found by
-    counting keys by their leading bits, a bounded number of rows a pass; of
-    rows with that very key, those with the smallest ids are taken, and rows
-    that also share the id are all taken or left by the first of them.
+    Rows are counted by which of ``parts`` equal pieces of the interval they
+    fall in, then the piece with the k-th is cut again: a bounded number of
+    counts a pass, whatever the ties.
     """
-    keyed = materialise(weighted.withColumn("gumbel_key", F.col(weight_col) + gumbel(F.col(id_col), seed)), "gumbel")
-    total = keyed.count()
-    k = min(total, -int(-total * fraction // 1))
-    if k <= 0:
-        return keyed.withColumn("selected", F.lit(False))
-    # Halve the interval of keys until the k-th is alone in it or shares its value.
-    key = F.col("gumbel_key")
-    low, high = keyed.agg(F.min(key), F.max(key)).first()
-    above = 0  # rows over the interval
-    parts = 1024
+    value = F.col(column)
+    whole = dict(rows.dtypes)[column] == "bigint"
+    low, high = rows.agg(F.min(value), F.max(value)).first()
+    above = 0
     while low < high:
-        width = (high - low) / parts
-        if width <= 0 or low + width == low:
-            break
-        part = F.least(F.floor((key - low) / width), F.lit(parts - 1)).cast("int")
-        counts = keyed.where((key >= low) & (key <= high)).groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("a"), F.max(key).alias("b")).collect()
-        for row in sorted(counts, key=lambda r: -r["part"]):
+        if whole:
+            width = -(-(high - low + 1) // parts)
+            part = F.floor((value.cast("decimal(38,0)") - F.lit(low).cast("decimal(38,0)")) / F.lit(width).cast("decimal(38,0)"))
+        else:
+            width = (high - low) / parts
+            if low + width == low or high - width == high:  # so few doubles are left that each is counted
+                part = value
+            else:
+                part = F.least(F.floor((value - F.lit(low)) / F.lit(width)), F.lit(parts - 1))
+        counts = rows.where((value >= F.lit(low)) & (value <= F.lit(high))).groupBy(part.alias("part"))
+        counts = counts.agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("a"), F.max(value).alias("b")).collect()
+        for row in sorted(counts, key=lambda r: r["a"], reverse=True):
             if above + row["n"] >= k:
                 break
             above += row["n"]
-        if (row["a"], row["b"]) == (low, high):
-            break
         low, high = row["a"], row["b"]
+    return low, above
+
+
+def gumbel_top_k(weighted: DataFrame, fraction: float, id_col: str = "doc_id", weight_col: str = "log_weight", seed: int = 0) -> DataFrame:
+    """``weighted`` with ``gumbel_key`` and ``selected``: true for the k rows with the largest keys.
+
+    k is ``fraction`` of the rows, rounded up, and exactly k rows are selected.
+    Of rows with the very key of the k-th, those with the smallest ids are
+    taken, null ids last; rows that share the id as well are taken in an order
+    that the stored table fixes.  Columns named as the two results are replaced.
+    """
+    key = "gumbel_key"
+    weighted = weighted.drop(key, "selected")
+    place, order = unused(weighted, "_place", "_order")
+    keyed = weighted.withColumn(key, F.col(weight_col) + gumbel(F.col(id_col), seed))
+    keyed = materialise(keyed.withColumn(order, F.bitwise_not(F.col(id_col).cast("long"))).withColumn(place, F.negative(F.monotonically_increasing_id())), "gumbel")
+    columns = [c for c in keyed.columns if c not in (place, order)]
+    total = keyed.count()
+    k = min(total, -int(-total * fraction // 1))
+    if k <= 0:
+        return keyed.select(*columns, F.lit(False).alias("selected"))
+    edge, above = _kth_largest(keyed, key, k)
+    selected, tied = F.col(key) > F.lit(edge), F.col(key) == F.lit(edge)
     needed = k - above
-    tied = keyed.where((key >= low) & (key <= high))
-    # What is left is a tie, or keys too close to part: rank them by key and id.
-    last = tied.orderBy(key.desc(), F.asc_nulls_last(id_col)).limit(needed).agg(F.min(F.struct(key, F.negative(F.col(id_col)))).alias("m")).first()["m"]
-    edge, edge_id = last[0], last[1]
-    chosen = key > F.lit(edge)
-    chosen = chosen | ((key == F.lit(edge)) & (F.lit(True) if edge_id is None else F.coalesce(F.col(id_col) <= F.lit(-edge_id), F.lit(False))))
-    return keyed.withColumn("selected", chosen)
+    named = keyed.where(tied & F.col(order).isNotNull())
+    n_named = named.count()
+    if needed <= n_named:
+        first, above = _kth_largest(named, order, needed)
+        selected, tied = selected | (tied & F.coalesce(F.col(order) > F.lit(first), F.lit(False))), tied & F.coalesce(F.col(order) == F.lit(first), F.lit(False))
+        needed -= above
+    else:
+        selected, tied = selected | (tied & F.col(order).isNotNull()), tied & F.col(order).isNull()
+        needed -= n_named
+    last, _ = _kth_largest(keyed.where(tied), place, needed)
+    return keyed.select(*columns, (selected | (tied & (F.col(place) >= F.lit(last)))).alias("selected"))

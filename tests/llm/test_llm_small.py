@@ -617,9 +617,22 @@ def test_importance_weights_and_gumbel(spark):
         chosen = sorted((r["gumbel_key"] for r in picked if r["selected"]), reverse=True)
         assert len(picked) == 43 and len(chosen) == n
         assert chosen == sorted((r["gumbel_key"] for r in picked), reverse=True)[:n]
+    # The weights are the ratios of the two models' likelihoods, by their definition.
+    bucket = lambda t: quality._buckets(t, len(ratio))
+    raw = np.bincount(np.concatenate([bucket(t) for _, t in rows]), minlength=len(ratio))
+    target = np.bincount(np.concatenate([bucket(t) for i, t in rows if i is not None and i < 20 and i % 2]), minlength=len(ratio))
+    q = (raw + 0.5) / (raw.sum() + 0.5 * len(raw))
+    p = (target + quality.PRIOR * q) / (target.sum() + quality.PRIOR)
+    for i, t in rows:
+        assert by[i] == pytest.approx(sum(np.log(p[b] / q[b]) for b in bucket(t)))
+    long = quality.log_weights(docs(spark, [(1, "good clean " * 100_000), (2, "good " + "x" * 500_000)]), ratio).orderBy("doc_id").collect()
+    assert long[0]["log_weight"] > 1000 and np.isfinite(long[1]["log_weight"])
+    repeated = spark.createDataFrame([(None, 1.0)] * 7 + [(5, 1.0)] * 6 + [(6, -50.0)] * 3, "doc_id long, log_weight double")
+    for n in (1, 6, 11, 13, 15):
+        assert quality.gumbel_top_k(repeated.withColumn("_place", F.lit("x")), n / 16).where("selected").count() == n
     ties = spark.createDataFrame([(i, 0.0) for i in range(20)], "doc_id long, log_weight double").withColumn("log_weight", -quality.gumbel(F.col("doc_id")))
     tied = quality.gumbel_top_k(ties, 0.5).collect()
-    assert sum(r["selected"] for r in tied) == 10
+    assert [r["doc_id"] for r in sorted(tied) if r["selected"]] == list(range(10))
     assert quality.gumbel_top_k(weighted.limit(0), 0.5).count() == 0
 
 
