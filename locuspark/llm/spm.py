@@ -8,10 +8,13 @@ last piece without the merges joining or splitting them.  So each position
 keeps one backpointer, as in any Viterbi search, and the ids are those of the
 merge procedure.
 
-The search keeps backpointers only since the last boundary on which all paths
-agree: where no piece that started before a position ends after it.  It commits
-the ids up to there and forgets them, so its window is bounded by piece length,
-not by the text.
+The search streams.  Pieces to come start at most the longest piece's length
+back, so only the paths to these last positions survive.  Their backpointers
+are followed until they meet on one boundary; the ids up to there are committed
+and forgotten.  What is retained is a small multiple of the longest piece, as
+soon as the surviving paths agree, whatever the text's length.  Between two
+characters that no piece holds side by side all paths meet at once; the
+stretches between such places are searched each, and short ones remembered.
 """
 
 from __future__ import annotations
@@ -26,14 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Segments, and words within them, whose ids a worker remembers, twice.
+#: Segments, and stretches within them, whose ids a worker remembers, twice, and their longest length.
 CACHE_SEGMENTS = 150_000
+REMEMBERED = 64
 _CACHE_PAIRS = 400_000
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 _UNIGRAM, _BPE = 1, 2
 _SPACE = "▁"
-#: Texts up to this length are one window.
-_WINDOW = 64
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -114,8 +116,6 @@ class PieceModel:
         self.bytes_of = [self._bytes(p, t) for p, t in zip(self.pieces, self.types)]
         self.byte_id = {b[0]: i for i, (b, t) in enumerate(zip(self.bytes_of, self.types)) if t == _BYTE}
         self._unknown = min(self.scores, default=0.0) - 10.0
-        # The last piece of the best path to the end of a start of a segment.
-        self._back: dict[str, str] = {}
         # Sizes of the pieces that end in given characters, longest first.
         sizes: dict[str, set[int]] = {}
         for p in self.id_of:
@@ -164,98 +164,79 @@ class PieceModel:
             known = self._pairs[left, right] = self._merged(left + right) == [left, right]
         return known
 
-    def paths(self, text: str) -> Iterator[list[str]]:
-        """Pieces of the best path, as lists that end at each boundary on which all paths agree."""
-        id_of, longest, scores = self.id_of, self.longest, self.scores
-        bpe = self.kind == _BPE
-        unknown, stands, pairs = self._unknown, self._whole, self._pairs
-        base, n = 0, len(text)
-        back: list[str] = [""]  # the last piece of the best path to base + i
-        sums: list[float] = [0.0]
-        reach = 0 if n > _WINDOW else n  # where the furthest piece ends that started before this position
-        for end in range(1, n + 1):
-            for stop in range(min(n, end - 1 + longest), max(reach, end - 1), -1):
-                if stop == end or text[end - 1 : stop] in id_of:
-                    reach = stop
-                    break
-            chosen, best = "", None
-            for start in range(max(base, end - longest), end):
-                piece = text[start:end]
-                found = id_of.get(piece)
-                if found is None and len(piece) > 1:
+    def _last_piece(self, text: str, end: int, base: int, last: list[str]) -> str:
+        """The piece that ends the merges' path to ``end``: the one that stands next to the path before it."""
+        id_of, whole, pairs = self.id_of, self._whole, self._pairs
+        for size in self._ends.get(text[end - 3 : end] if end > 2 else text[:end], (2, 1)):
+            start = end - size
+            if start < base:
+                continue
+            piece = text[start:end]
+            if size > 1:
+                if piece not in id_of:
                     continue
-                last = back[start - base]
-                if start > base and not last:
+                stands = whole.get(piece)
+                if not (self._stands(piece) if stands is None else stands):
                     continue
-                if bpe:
-                    whole = stands.get(piece)
-                    if (self._stands(piece) if whole is None else whole) or found is None:
-                        beside = not last or pairs.get((last, piece))
-                        if self._adjacent(last, piece) if beside is None else beside:
-                            chosen = piece
-                            break
-                else:
-                    total = sums[start - base] + (unknown if found is None else scores[found])
-                    if best is None or total > best:
-                        chosen, best = piece, total
-            back.append(chosen)
-            sums.append(best or 0.0)
-            if reach == end:
-                done, at = [], end
+            before = last[start - base]
+            if not before:
+                return piece
+            beside = pairs.get((before, piece))
+            if self._adjacent(before, piece) if beside is None else beside:
+                return piece
+        return text[end - 1]  # equal scores leave the merges' order open
+
+    def _best_piece(self, text: str, end: int, base: int, sums: list[float]) -> str:
+        """The piece that ends the path to ``end`` with the largest sum of scores, which is appended to ``sums``."""
+        chosen, best = "", None
+        for start in range(max(base, end - self.longest), end):
+            piece = text[start:end]
+            found = self.id_of.get(piece)
+            if found is None and len(piece) > 1:
+                continue
+            total = sums[start - base] + (self._unknown if found is None else self.scores[found])
+            if best is None or total > best:
+                chosen, best = piece, total
+        sums.append(best)
+        return chosen
+
+    def _meeting(self, base: int, end: int, last: list[str]) -> int:
+        """The latest boundary that is on the paths to all of the last positions, from which pieces may start."""
+        n = end - base
+        live = ((1 << min(self.longest, n + 1)) - 1) << max(0, n + 1 - self.longest)
+        while live & (live - 1):
+            at = live.bit_length() - 1
+            live ^= 1 << at
+            live |= 1 << (at - len(last[at]))
+        return base + live.bit_length() - 1
+
+    def paths(self, text: str) -> Iterator[list[str]]:
+        """Pieces of the best path, as lists that end at each boundary on which all surviving paths were found to agree.
+
+        ``last`` holds, for the committed boundary ``base`` and each position
+        after it, the last piece of the best path to there: the backpointers.
+        """
+        bpe, step = self.kind == _BPE, 2 * self.longest
+        base, last, sums, look, n = 0, [""], [0.0], step, len(text)
+        for end in range(1, n + 1):
+            last.append(self._last_piece(text, end, base, last) if bpe else self._best_piece(text, end, base, sums))
+            if end == look or end == n:
+                to = end if end == n else self._meeting(base, end, last)
+                look = end + self.longest
+                done, at = [], to
                 while at > base:
-                    piece = back[at - base]
-                    if not piece:  # no piece stands here: equal scores leave the merges' order open
-                        done, at = self._merged(text[base:end])[::-1], base
-                        break
-                    done.append(piece)
-                    at -= len(piece)
-                yield done[::-1]
-                base, back, sums = end, [""], [0.0]
-
-    def _path(self, text: str) -> list[str]:
-        """Pieces of a short text.  Texts that start alike share the backpointers of their common start."""
-        back, id_of, stands, pairs, ends = self._back, self.id_of, self._whole, self._pairs, self._ends
-        if len(back) > CACHE_SEGMENTS:
-            back.clear()
-        n = known = len(text)
-        while known and text[:known] not in back:
-            known -= 1
-        for end in range(known + 1, n + 1):
-            start = text[:end]
-            chosen = ""
-            for size in ends.get(start[-3:], (2, 1)):
-                piece = start[-size:]
-                if size > 1:
-                    if size > end or piece not in id_of:
-                        continue
-                    whole = stands.get(piece)
-                    if not (self._stands(piece) if whole is None else whole):
-                        continue
-                if size >= end:
-                    chosen = piece
-                    break
-                last = back[start[:-size]]
-                if last:
-                    beside = pairs.get((last, piece))
-                    if self._adjacent(last, piece) if beside is None else beside:
-                        chosen = piece
-                        break
-            back[start] = chosen
-        out = []
-        while text:
-            piece = back[text]
-            if not piece:  # no piece stands here: equal scores leave the merges' order open
-                return self._merged(text) + out[::-1]
-            out.append(piece)
-            text = text[: -len(piece)]
-        return out[::-1]
+                    done.append(last[at - base])
+                    at -= len(done[-1])
+                if done:
+                    yield done[::-1]
+                    del last[: to - base], sums[: to - base]
+                    base = to
 
     def _ids(self, text: str) -> bytes:
-        out = []
-        short = self.kind == _BPE and len(text) <= _WINDOW
-        for pieces in [self._path(text)] if short else self.paths(text):
+        out, id_of = [], self.id_of
+        for pieces in self.paths(text):
             for piece in pieces:
-                found = self.id_of.get(piece)
+                found = id_of.get(piece)
                 out += [found] if found is not None else [self.byte_id[b] for b in piece.encode()]
         return struct.pack(f"<{len(out)}i", *out)
 
@@ -271,13 +252,13 @@ class PieceModel:
             ids = known[segment]
             if ids is None:
                 ids = self._segment_ids(segment)
-                if len(segment) <= _WINDOW:
+                if len(segment) <= REMEMBERED:
                     known.keep(segment, ids)
             out.append(ids)
         return b"".join(out)
 
     def _segment_ids(self, segment: str) -> bytes:
-        """Ids of a segment, searched between the characters that no piece joins."""
+        """Ids of a segment, searched between the characters that no piece holds side by side."""
         within, known, out, start = self._within, self._words, [], 0
         for end in range(1, len(segment) + 1):
             if end == len(segment) or segment[end - 1 : end + 1] not in within:
@@ -285,7 +266,7 @@ class PieceModel:
                 ids = known[part]
                 if ids is None:
                     ids = self._ids(part)
-                    if len(part) <= _WINDOW:
+                    if len(part) <= REMEMBERED:
                         known.keep(part, ids)
                 out.append(ids)
         return b"".join(out)

@@ -310,10 +310,42 @@ def test_pieces_equal_the_library_and_come_back(spark):
 
 
 @needs_pieces
-def test_stream_commits_within_a_bounded_window():
+@pytest.mark.parametrize("text", ["=" * 80_000, "a" * 80_000, " " * 5000, "ab ç " * 5000, "thetionation" * 4000, "aab" * 9000, "=-" * 9000, "日本語" * 3000, "ing" * 9000 + "x" * 9000])
+def test_stream_commits_within_a_bounded_window(text):
+    """What is retained is a small multiple of the longest piece, and the ids are the library's."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    model = spm.PieceModel(spm.read_model(PIECES))
+    parts = list(model.paths(" " + text))
+    assert "".join(p for part in parts for p in part) == " " + text
+    assert max(sum(map(len, part)) for part in parts) <= 4 * model.longest
+    found = [i for part in parts for p in part for i in ([model.id_of[p]] if p in model.id_of else [model.byte_id[b] for b in p.encode()])]
+    assert found == model.encode(text) == library.encode(text)
+    assert model.decode(found) == text
+
+
+@needs_pieces
+def test_random_streams_equal_the_library():
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     model = spm.PieceModel(spm.read_model(PIECES))
-    sizes = [sum(map(len, part)) for part in model.paths("ab ç " * 5000)]
-    assert sum(sizes) == 25000 and max(sizes) < 64
+    rng = np.random.default_rng(0)
+    some = [p for p in model.id_of if len(p) > 1]
+    for n in [*range(40), 200, 3000]:
+        for t in (" " * n, "x" + " " * n + "y", "".join(rng.choice(some, n)), "".join(rng.choice(list("=-a.\n 0"), n))):
+            found = [i for part in model.paths(" " + t) for p in part for i in ([model.id_of[p]] if p in model.id_of else [model.byte_id[b] for b in p.encode()])]
+            assert found == library.encode(t) if t else found, repr(t[:50])
+
+
+def test_meeting_of_backpointers():
+    model = spm.PieceModel.__new__(spm.PieceModel)
+    model.longest = 3
+    # Positions 0 to 6; the paths to the last three go 6 -> 4 -> 1, 5 -> 4, 4 -> 1.
+    assert model._meeting(10, 16, ["", "a", "bb", "c", "ddd", "e", "ff"]) == 14
+    assert model._meeting(10, 16, ["", "a", "bb", "cc", "ddd", "ee", "ff"]) == 11
+    assert model._meeting(10, 16, ["", "a", "bb", "cc", "dd", "ee", "ff"]) == 10
 
 
 def test_unigram_paths_maximise_the_sum():
@@ -331,9 +363,18 @@ def test_unigram_paths_maximise_the_sum():
             return 0.0
         return max(score[p] + best(text[len(p) :]) for p in score if text.startswith(p))
 
-    for text in ("ababab", "bbaab", "aba", "b"):
+    for text in ("ababab", "bbaab", "aba", "b", "abaab" * 3):
         found = [p for part in model.paths(text) for p in part]
         assert "".join(found) == text and sum(score[p] for p in found) == pytest.approx(best(text))
+    # A long text in commits, against a search that keeps everything.
+    rng = np.random.default_rng(1)
+    text = "".join(rng.choice(["a", "b", " "], 20_000))
+    sums = [0.0]
+    for end in range(1, len(text) + 1):
+        sums.append(max(sums[end - len(p)] + v for p, v in ((p.replace("▁", " "), v) for p, v in score.items()) if text.endswith(p, 0, end)))
+    parts = list(model.paths(text))
+    assert sum(score[p.replace(" ", "▁")] for part in parts for p in part) == pytest.approx(sums[-1])
+    assert len(parts) > 1000 and max(sum(map(len, part)) for part in parts) < 40
 
 
 # 5: WARC.
