@@ -4,16 +4,18 @@ Texts are kept in blocks in the shared folder.  A window is ``length``
 consecutive words of a document; its anchor is the smallest hash of the short
 word sequences within it, so equal windows have equal anchors.  Anchors deal
 the text to reference indexes: first the anchors alone, which shows those that
-occur once and whose windows cannot repeat; then the windows of the others.
-
-Each index orders what it gets by document and position and parses it against
-itself: a fragment is cut greedily into factors that continue at consecutive
-positions of an earlier fragment.  As windows overlap, a factor of one window
-or more is a duplicate span of ``length`` words or more, and the windows that
-straddle two factors are looked up as well, so nothing is lost at factor
-boundaries.  Factors go back to their blocks as spans of words.
-
-Within a block, a window that repeats is decided there: an index gets one copy
+occur once and whose windows cannot repeat; then the text of the others.
+
+A block is parsed against itself, and each index parses the text it gets,
+ordered by document and position, against what comes earlier.  The parse is
+greedy: the first window that occurs earlier is looked up, and the copy is
+followed word by word as far as it goes, which is a factor.  A factor of
+``length`` words or more is a duplicate span.  The window across its end is
+looked up next and may start another factor, so nothing is lost at factor
+boundaries.  Hashes only find candidates: words are compared, by numbers that a
+dictionary of the words themselves gives.  Factors go back to their blocks.
+
+What a block holds twice is a factor within the block: an index gets one copy
 of a window from each block, however often a passage occurs.
 """
 
@@ -114,14 +116,13 @@ def write_blocks(docs: DataFrame, path: str, id_col: str, text_col: str, block_b
     return materialise(source.mapInArrow(run, "block long, file string"), "rlz-blocks")
 
 
-def _chunks(file: str, length: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """For the documents of a block, some at a time: row, start, anchor, its place, and hash of every window."""
+def _chunks(file: str, length: int) -> Iterator[tuple]:
+    """For the documents of a block, some at a time: their words; and row, start, anchor, its place, and word number of every window."""
     digest = xxhash.xxh3_64_intdigest
-    texts = read_texts(file)
-    row, hashes, sizes, first = 0, [], [], 0
+    row, words, sizes, first = 0, [], [], 0
 
-    def windows() -> tuple[np.ndarray, ...]:
-        flat = np.array(hashes, np.uint64)
+    def windows() -> tuple:
+        flat = np.fromiter(map(digest, words), np.uint64, len(words))
         n = np.array(sizes, np.int64)
         ends = np.cumsum(n)
         count = np.maximum(n - length + 1, 0)
@@ -129,17 +130,17 @@ def _chunks(file: str, length: int) -> Iterator[tuple[np.ndarray, ...]]:
         start = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
         at = (ends - n)[of] + start
         anchors, places = _rolling_min(_rolling(flat, ANCHOR_WORDS), length - ANCHOR_WORDS + 1)
-        return first + of, start, anchors[at], places[at], _rolling(flat, length)[at]
+        return words, first + of, start, anchors[at], places[at], at
 
-    for text in texts:
-        words = text.split() if text else []
-        sizes.append(len(words))
-        hashes += [digest(w) for w in words]
+    for text in read_texts(file):
+        found = text.split() if text else []
+        sizes.append(len(found))
+        words += found
         row += 1
-        if len(hashes) >= _CHUNK_WORDS:
+        if len(words) >= _CHUNK_WORDS:
             yield windows()
-            hashes, sizes, first = [], [], row
-    if hashes:
+            words, sizes, first = [], [], row
+    if words:
         yield windows()
 
 
@@ -159,16 +160,67 @@ def _changes(*columns: np.ndarray, steps: np.ndarray) -> np.ndarray:
     return np.nonzero(new)[0]
 
 
-def _first_of(anchor: np.ndarray, window: np.ndarray) -> np.ndarray:
-    """For each entry, the position of the first entry with its anchor and hash."""
-    order = np.lexsort((window, anchor))  # stable
+def _first_of(values: np.ndarray) -> np.ndarray:
+    """For each entry, the position of the first entry with its value."""
+    order = np.argsort(values, kind="stable")
     new = np.ones(len(order), bool)
-    new[1:] = (anchor[order][1:] != anchor[order][:-1]) | (window[order][1:] != window[order][:-1])
+    new[1:] = values[order][1:] != values[order][:-1]
     first = np.empty(len(order), np.int64)
     first[order] = order[np.nonzero(new)[0]][np.cumsum(new) - 1]
     return first
 
 
+def _numbered(words: list[bytes]) -> np.ndarray:
+    """A number for each word, the same for the same word alone."""
+    return np.asarray(pa.array(words, pa.binary()).dictionary_encode().indices).astype(np.int64)
+
+
+def _common(words: np.ndarray, a: int, b: int, limit: int, step: int = 64) -> int:
+    """How many words from a and from b are the same, up to a limit."""
+    n = 0
+    while n < limit:
+        m = min(step, limit - n)
+        differs = words[a + n : a + n + m] != words[b + n : b + n + m]
+        at = int(differs.argmax())
+        if differs[at]:
+            return n + at
+        n += m
+        step *= 2
+    return limit
+
+
+def parse(words: np.ndarray, at: np.ndarray, stop: np.ndarray, length: int, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Factors of ``length`` words or more: the first window of each, and its number of windows.
+
+    Windows come in order: ``at`` is a window's first word, ``stop`` the end of
+    the text that it is part of, up to where the windows listed are consecutive.
+    """
+    if hashes is None:
+        mixed = _mix(words.astype(np.uint64), words.astype(np.uint64))
+        hashes = _rolling(mixed, length)[at]
+    source = _first_of(hashes)
+    again = np.nonzero(source < np.arange(len(at)))[0]
+    first, size, k = [], [], 0
+    while k < len(again):
+        here = int(again[k])
+        copied = _copied(words, at, stop, here, int(source[here]))
+        if copied < length:  # another window with this hash
+            same = np.nonzero(hashes[:here] == hashes[here])[0].tolist()
+            copied = max((_copied(words, at, stop, here, s) for s in same), default=0)
+        if copied < length:
+            k += 1
+            continue
+        first.append(here)
+        size.append(copied - length + 1)
+        k = k + 1 if size[-1] == 1 else int(np.searchsorted(again, here + size[-1]))
+    return np.array(first, np.int64), np.array(size, np.int64)
+
+
+def _copied(words: np.ndarray, at: np.ndarray, stop: np.ndarray, here: int, source: int) -> int:
+    a, b = int(at[here]), int(at[source])
+    return _common(words, a, b, min(int(stop[here]) - a, int(stop[source]) - b))
+
+
 def duplicate_spans(blocks: DataFrame, length: int = 20) -> DataFrame:
     """``block``, ``file`` and ``spans`` of every block: rows, starts and numbers of windows that occur earlier."""
     if length < ANCHOR_WORDS:
@@ -180,7 +232,7 @@ def duplicate_spans(blocks: DataFrame, length: int = 20) -> DataFrame:
         for batch in batches:
             for block, file in zip(*(c.to_pylist() for c in batch.columns)):
                 found = []
-                for row, start, anchor, place, _ in _chunks(file, length):
+                for _, row, start, anchor, place, _ in _chunks(file, length):
                     # Windows that share one occurrence of their anchor differ; only other occurrences can repeat them.
                     found.append(anchor[_changes(row, place, steps=start)])
                 if not found:
@@ -212,24 +264,25 @@ def duplicate_spans(blocks: DataFrame, length: int = 20) -> DataFrame:
                 many = np.sort(np.frombuffer(b"".join(lists), np.uint64))
                 if not len(many):
                     continue
-                kept = []
-                for row, start, anchor, _, window in _chunks(file, length):
-                    at = np.minimum(np.searchsorted(many, anchor), len(many) - 1)
-                    hit = many[at] == anchor
-                    kept.append((row[hit], start[hit], anchor[hit], window[hit]))
-                row, start, anchor, window = (np.concatenate(c) for c in zip(*kept))
+                words, kept = [], []
+                for some, row, start, anchor, _, at in _chunks(file, length):
+                    near = np.minimum(np.searchsorted(many, anchor), len(many) - 1)
+                    hit = many[near] == anchor
+                    kept.append((row[hit], start[hit], anchor[hit], at[hit] + len(words)))
+                    words += some
+                row, start, anchor, at = (np.concatenate(c) for c in zip(*kept))
                 ids = files.read_block(file).column("doc_id").to_pandas().astype("Int64").fillna(_LAST_ID).to_numpy(np.int64)
-                yield _fragments(block, ids, row, start, anchor, window, n_index)
+                yield _fragments(block, ids, words, row, start, anchor, at, n_index, length)
 
     def factors(rows: pd.DataFrame) -> pd.DataFrame:
-        decided = rows[rows["window"].str.len() == 0]
+        decided = rows[rows["text"].str.len() == 0]
         out = [(b, _triples(r, s, n)) for b, r, s, n in zip(decided["block"], *(decided[c].map(_ints) for c in ("row", "start", "size")))]
-        rows = rows[rows["window"].str.len() > 0]
+        rows = rows[rows["text"].str.len() > 0]
         if len(rows):
-            out += _parse(rows)
+            out += _parsed(rows, length)
         return pd.DataFrame(out, columns=["block", "spans"])
 
-    schema = "index int, block long, doc_id binary, row binary, start binary, size binary, anchor binary, window binary"
+    schema = "index int, block long, doc_id binary, row binary, start binary, size binary, text binary"
     sent = wanted.repartition(n_blocks).mapInArrow(send_windows, schema)
     spans = sent.groupBy("index").applyInPandas(factors, "block long, spans binary")
     return blocks.join(spans.groupBy("block").agg(F.collect_list("spans").alias("spans")).hint("merge"), "block", "left")
@@ -243,49 +296,48 @@ def _triples(row: np.ndarray, start: np.ndarray, size: np.ndarray) -> bytes:
     return np.stack([row, start, size], axis=1).astype(np.int32).tobytes()
 
 
-def _fragments(block: int, ids: np.ndarray, row: np.ndarray, start: np.ndarray, anchor: np.ndarray, window: np.ndarray, n_index: int) -> pa.RecordBatch:
-    """What a block sends: to each index the windows that are first within the block, and the spans of the rest."""
-    new = _first_of(anchor, window) == np.arange(len(row))
+def _fragments(block: int, ids: np.ndarray, words: list[bytes], row: np.ndarray, start: np.ndarray, anchor: np.ndarray, at: np.ndarray, n_index: int, length: int) -> pa.RecordBatch:
+    """What a block sends: the spans of its factors against itself, and to each index the text of the other windows."""
+    runs = _changes(row, steps=start)
+    lengths = np.diff(np.append(runs, len(row)))
+    stop = np.repeat(at[runs] + lengths + length - 1, lengths)
+    first, size = parse(_numbered(words), at, stop, length)
     out = []
-    r, s = row[~new], start[~new]
-    if len(r):
-        cut = _changes(r, steps=s)
-        out.append((n_index + block % n_index, b"", r[cut].astype(np.int32).tobytes(), s[cut].astype(np.int32).tobytes(), np.diff(np.append(cut, len(r))).astype(np.int32).tobytes(), b"", b""))
-    row, start, anchor, window = row[new], start[new], anchor[new], window[new]
+    if len(first):
+        out.append((n_index + block % n_index, b"", row[first].astype(np.int32).tobytes(), start[first].astype(np.int32).tobytes(), size.astype(np.int32).tobytes(), b""))
+    covered = np.zeros(len(row) + 1, np.int64)
+    covered[first] += 1
+    np.subtract.at(covered, first + size, 1)
+    new = np.cumsum(covered[:-1]) == 0
+    row, start, anchor, at = row[new], start[new], anchor[new], at[new]
     cut = _changes(row, anchor, steps=start)
     size = np.diff(np.append(cut, len(row)))
     index = ((anchor[cut] >> _S32) % np.uint64(n_index)).astype(np.int64)
-    by_window = np.repeat(index, size)
+    begin, end = at[cut].tolist(), (at[cut] + size + length - 1).tolist()
     for i in np.unique(index).tolist():
-        c = cut[index == i]
-        out.append((i, ids[row[c]].tobytes(), row[c].astype(np.int32).tobytes(), start[c].astype(np.int32).tobytes(), size[index == i].astype(np.int32).tobytes(), anchor[c].tobytes(), window[by_window == i].tobytes()))
-    columns = [pa.array([o[0] for o in out], pa.int32()), pa.array([block] * len(out), pa.int64())] + [pa.array([o[k] for o in out], pa.binary()) for k in range(1, 7)]
-    return pa.RecordBatch.from_arrays(columns, ["index", "block", "doc_id", "row", "start", "size", "anchor", "window"])
+        mine = np.nonzero(index == i)[0]
+        c = cut[mine]
+        text = b" ".join([w for k in mine.tolist() for w in words[begin[k] : end[k]]])
+        out.append((i, ids[row[c]].tobytes(), row[c].astype(np.int32).tobytes(), start[c].astype(np.int32).tobytes(), size[mine].astype(np.int32).tobytes(), text))
+    columns = [pa.array([o[0] for o in out], pa.int32()), pa.array([block] * len(out), pa.int64())] + [pa.array([o[k] for o in out], pa.binary()) for k in range(1, 6)]
+    return pa.RecordBatch.from_arrays(columns, ["index", "block", "doc_id", "row", "start", "size", "text"])
 
 
-def _parse(rows: pd.DataFrame) -> list[tuple[int, bytes]]:
+def _parsed(rows: pd.DataFrame, length: int) -> list[tuple[int, bytes]]:
     """Factors of an index's fragments, as spans for each block."""
     row, start, size = (np.concatenate([_ints(x) for x in rows[c]]) for c in ("row", "start", "size"))
     ids = np.concatenate([np.frombuffer(x, np.int64) for x in rows["doc_id"]])
-    anchor = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["anchor"]])
-    window = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["window"]])
+    words = _numbered(b" ".join(rows["text"]).split(b" "))
     block = np.repeat(rows["block"].to_numpy(), rows["row"].str.len() // 4)
-    order = np.lexsort((start, row, block, ids))
-    begin = np.cumsum(size) - size
+    begin = np.cumsum(size + length - 1) - (size + length - 1)
     # The reference: all fragments, by document and position.
-    n = size[order]
-    fragment = np.repeat(np.arange(len(order)), n)
+    order = np.lexsort((start, row, block, ids))
+    n = size[order].astype(np.int64)
+    fragment = np.repeat(order, n)
     within = np.arange(len(fragment)) - np.repeat(np.cumsum(n) - n, n)
-    text = window[np.repeat(begin[order], n) + within]
-    source = _first_of(anchor[order][fragment], text)
-    here = np.arange(len(text))
-    copied = np.nonzero(source < here)[0]
-    # A factor goes on while its source does.
-    cut = _changes(fragment[copied], source[copied] - copied, steps=copied)
-    length = np.diff(np.append(cut, len(copied)))
-    at = copied[cut]
-    of = order[fragment[at]]
-    spans = pd.DataFrame({"block": block[of], "row": row[of], "start": start[of] + within[at], "size": length})
+    first, count = parse(words, begin[fragment] + within, begin[fragment] + size[fragment] + length - 1, length)
+    of = fragment[first]
+    spans = pd.DataFrame({"block": block[of], "row": row[of], "start": start[of] + within[first], "size": count})
     return [(b, _triples(g["row"].to_numpy(), g["start"].to_numpy(), g["size"].to_numpy())) for b, g in spans.groupby("block")]
 
 

@@ -597,6 +597,52 @@ def test_substring_dedup(spark, block_bytes, partitions, length):
     assert rlz.deduplicate(docs(spark, [])).count() == 0
 
 
+def brute_factors(texts, length):
+    """Windows, as (text, start), whose words occur earlier."""
+    seen, out = set(), set()
+    for i, text in enumerate(texts):
+        for s in range(len(text) - length + 1):
+            window = tuple(text[s : s + length])
+            if window in seen:
+                out.add((i, s))
+            seen.add(window)
+    return out
+
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_parse_finds_every_window_that_occurs_earlier(collide):
+    rng = np.random.default_rng(3)
+    for round_ in range(60):
+        length = int(rng.integers(1, 6))
+        passage = rng.integers(0, 50, 30).tolist()
+        texts = [rng.integers(0, 3, rng.integers(length, 30)).tolist() + passage[: rng.integers(0, 30)] for _ in range(12)]
+        words = np.array([w for t in texts for w in t])
+        begin = np.cumsum([0] + [len(t) for t in texts])
+        at = np.array([b + s for b, t in zip(begin, texts) for s in range(len(t) - length + 1)])
+        stop = np.array([b + len(t) for b, t in zip(begin, texts) for s in range(len(t) - length + 1)])
+        owner = [(i, s) for i, t in enumerate(texts) for s in range(len(t) - length + 1)]
+        hashes = np.array([sum(words[a : a + length]) % 3 for a in at]) if collide else None
+        first, size = rlz.parse(words, at, stop, length, hashes)
+        found = {owner[w] for f, n in zip(first.tolist(), size.tolist()) for w in range(f, f + n)}
+        assert found == brute_factors(texts, length)
+        assert all(b >= a + n for a, n, b in zip(first, size, first[1:]))  # greedy: factors start where the last one ends
+
+
+def test_factors_go_on_to_the_end_of_the_copy():
+    words = np.array([1, 2, 3, 4, 5, 6, 7, 9, 1, 2, 3, 4, 5, 6, 8])
+    at = np.arange(len(words) - 2)
+    first, size = rlz.parse(words, at, np.full(len(at), len(words)), 3)
+    assert (first.tolist(), size.tolist()) == ([8], [4])
+
+
+def test_substring_dedup_of_very_long_texts(spark):
+    rng = np.random.default_rng(9)
+    passage = prose(rng, 60)
+    rows = [(1, prose(rng, 60_000)), (2, "x" * 300_000 + " " + passage), (3, prose(rng, 20_000) + " " + passage + " " + "é" * 200_000), (4, "same " * 50_000)]
+    found = sorted(tuple(r) for r in rlz.deduplicate(docs(spark, rows), block_bytes=100_000).collect())
+    assert found == brute_removal(rows, 20)
+
+
 def test_repeated_rows_lose_one_copy(spark):
     text = prose(np.random.default_rng(1), 30)
     found = [tuple(r) for r in rlz.deduplicate(docs(spark, [(1, text), (1, text)])).collect()]
