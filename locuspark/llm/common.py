@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from locuspark.llm import files
+
 _LOCAL_SCRATCH: dict[str, str] = {}
 
 #: Bytes of an Arrow batch sent to a Python worker; long texts make record counts a poor bound.
@@ -50,6 +55,72 @@ def materialise(df: DataFrame, name: str, **options: object) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_SCANS = {"FileScan", "Scan", "BatchScan", "ColumnarToRow", "Project", "Filter", "WholeStageCodegen", "InputAdapter", "AdaptiveSparkPlan"}
+
+
+def stable(df: DataFrame, name: str) -> DataFrame:
+    """``df`` itself where it only scans files, which gives the same rows in the same partitions each time; else a table with its rows."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    nodes = set(re.findall(r"^[\s:+*|-]*(?:\(\d+\) )?([A-Za-z]+)", plan, re.MULTILINE))
+    return df if nodes <= _SCANS and nodes & {"FileScan", "BatchScan"} else materialise(df, name)
+
+
+def write_by_partition(rows: DataFrame, path: str) -> None:
+    """A file for each partition of the table that ``row``, a monotonically increasing id, was made on.
+
+    It holds the partition's rows of ``rows`` in order, so a second scan of the
+    table finds what was decided of its rows without a shuffle of the table.
+    """
+    listed = rows.groupBy(F.shiftright("row", 33).alias("block")).agg(F.collect_list(F.struct(*rows.columns)).alias("rows"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, found in zip(batch.column(0).to_pylist(), batch.column(1)):
+                files.write_block(f"{path}/{block:07d}.arrow", pa.Table.from_struct_array(found.values).sort_by("row"))
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64())], ["block"])
+
+    materialise(listed.mapInArrow(write, "block long"), "written").count()
+
+
+def text_sum(text: Column) -> Column:
+    """A checksum that tells whether a second scan gives the same text; null for null."""
+    return F.crc32(text.cast("string").cast("binary"))
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that ``kept`` lists: ``row``, their monotonically increasing id, and ``sum``, their ``text_sum``.
+
+    ``docs`` must give the same rows in the same partitions again, as ``stable``
+    tables do; a row that differs is an error.
+    """
+    path = scratch_path(docs.sparkSession, "kept")
+    write_by_partition(kept.select("row", "sum"), path)
+    row, check = unused(docs, "_row", "_sum")
+    source = docs.select("*", F.monotonically_increasing_id().alias(row), text_sum(F.col(text_col)).alias(check))
+    n = len(docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sums = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            here = np.asarray(batch.column(n))
+            if rows is None:
+                name = f"{path}/{int(here[0]) >> 33:07d}.arrow"
+                table = files.read_block(name) if files.size_of(name) is not None else None
+                rows = np.zeros(0, np.int64) if table is None else np.asarray(table.column("row"))
+                sums = np.zeros(0) if table is None else table.column("sum").to_pandas().to_numpy(float)
+            at = np.searchsorted(rows, here)
+            hit = at < len(rows)
+            hit[hit] = rows[at[hit]] == here[hit]
+            found = batch.column(n + 1).to_pandas().to_numpy(float)[hit]
+            if not np.array_equal(found, sums[at[hit]], equal_nan=True):
+                raise ValueError("the documents differ from those that were compared; write them to a table first")
+            yield batch.filter(pa.array(hit)).select(list(range(n)))
+
+    return source.mapInArrow(run, docs.schema)
+
+
 def bound_arrow_batches(spark: SparkSession) -> None:
     """Bound the batches that Python workers get by bytes, as texts have no bounded length."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locuspark.llm.common import materialise
+from locuspark.llm.common import keep_rows, materialise, stable, text_sum
 from locuspark.llm.components import connected_components
 from locuspark.llm.simhash import _Forest
 
@@ -122,23 +122,25 @@ def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """doc_id, key of the shingle set, its size, fingerprint, and the set as 32-bit hashes."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """Row, text checksum, doc_id, key of the shingle set, its size, fingerprint, and the set as 32-bit hashes."""
+    source = docs.select(
+        F.monotonically_increasing_id().alias("row"), text_sum(F.col(text_col)).alias("sum"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, sizes, prints, sets = [], [], [], []
-            for text in batch.column(1):
+            for text in batch.column(3):
                 h = shingle_hashes(text.as_py(), shingle)
                 keys.append(xxhash.xxh3_64_intdigest(h.tobytes()))
                 sizes.append(len(h))
                 prints.append(wide_fingerprint(h).tobytes())
                 sets.append(np.unique(h.astype(np.uint32)).tobytes())
             key = pa.array(np.array(keys, np.uint64).view(np.int64))
-            columns = [batch.column(0), key, pa.array(sizes, pa.int32()), pa.array(prints, pa.binary()), pa.array(sets, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "size", "print", "members"])
+            columns = [*batch.columns[:3], key, pa.array(sizes, pa.int32()), pa.array(prints, pa.binary()), pa.array(sets, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "sum", "doc_id", "key", "size", "print", "members"])
 
-    return materialise(source.mapInArrow(run, "doc_id long, key long, size int, print binary, members binary"), "neardup")
+    return materialise(source.mapInArrow(run, "row long, sum long, doc_id long, key long, size int, print binary, members binary"), "neardup")
 
 
 def _dealt(classes: DataFrame, similarity: float, block_rows: int, extra: list[str]) -> DataFrame:
@@ -276,10 +278,18 @@ def near_duplicate_groups(
     one class as well, which links to no other.  Null ids keep their rows; a
     group whose ids are all null has a null component.
     """
-    radius, narrow = worst_radius(similarity, 64 * WORDS), worst_radius(similarity, 64)
     marked = _marked(docs, id_col, text_col, shingle)
+    grouped = _grouped(marked, similarity, block_rows, broadcast_keys)
+    least = grouped.groupBy("root").agg(F.min("first.doc_id").alias("component_id"))
+    named = grouped.select("key", "root").join(least, "root").select("key", "component_id")
+    return marked.select("doc_id", "key").join(named, "key").select("doc_id", "component_id")
+
+
+def _grouped(marked: DataFrame, similarity: float, block_rows: int, broadcast_keys: int) -> DataFrame:
+    """Key and root of every class of equal sets, and its first row by id, nulls last, and place."""
+    radius, narrow = worst_radius(similarity, 64 * WORDS), worst_radius(similarity, 64)
     few = F.when(F.col("size") <= SMALL / similarity + 1e-9, F.col("members"))
-    classes = marked.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("size").alias("size"), F.first("print").alias("print"), F.first(few).alias("members"))
+    classes = marked.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "sum")).alias("first"), F.first("size").alias("size"), F.first("print").alias("print"), F.first(few).alias("members"))
     classes = materialise(classes, "neardup-classes")
     at = ["ring", "home", "query", "near"]
 
@@ -333,26 +343,20 @@ def near_duplicate_groups(
     stars = _dealt(held, similarity, block_rows, ["members"]).groupBy(*at).applyInPandas(verified, "src long, dst long")
     roots = connected_components(stars)
     tied = roots.select(F.col("node").alias("key"), "root").union(roots.select(F.col("root").alias("key"), "root").distinct())
-    grouped = classes.select("key", "first_id").join(tied, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    least = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = grouped.select("key", "root").join(least, "root").select("key", "component_id")
-    return marked.select("doc_id", "key").join(named, "key").select("doc_id", "component_id")
+    return classes.select("key", "first").join(tied, "key", "left").withColumn("root", F.coalesce("root", "key"))
 
 
-def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_keys: int = BROADCAST_KEYS, **options) -> DataFrame:
-    """All columns of the rows to keep: of each group the document with the smallest id.
+def one_of_each_group(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, block_rows: int = BLOCK_ROWS, broadcast_keys: int = BROADCAST_KEYS
+) -> DataFrame:
+    """All columns of the rows to keep: of each group the row with the smallest id, null ids last, the first in the table of equals.
 
-    Rows that repeat a kept id stay once; an id with a row in a group that keeps
-    another goes with all its rows.  Rows without an id can't be named, and stay.
+    Rows are told apart by their place, not by id: copies without an id go, and
+    of rows that repeat an id each is judged by its own text.  ``docs`` is
+    scanned twice; what is not a scan of files is written to a table first.
     """
-    groups = materialise(near_duplicate_groups(docs, id_col, text_col, **options), "neardup-groups")
-    id_key = F.col(id_col).cast("long")
-    gone = groups.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    again = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    special = materialise(gone.withColumn("why", F.lit("gone")).union(again.withColumn("why", F.lit("again"))).groupBy("doc_id").agg(F.max("why").alias("why")), "neardup-special")
-    small = special.count() <= broadcast_keys
-    marked = docs.withColumn("_neardup_id", id_key).join((F.broadcast(special) if small else special).withColumnsRenamed({"doc_id": "_neardup_id", "why": "_neardup_why"}), "_neardup_id", "left")
-    kept = marked.where(F.col("_neardup_why").isNull())
-    once = marked.where(F.col("_neardup_why") == "again").dropDuplicates(["_neardup_id"]) if special.where("why = 'again'").limit(1).count() else None
-    out = kept if once is None else kept.unionByName(once)
-    return out.select(*docs.columns)
+    docs = stable(docs, "neardup-docs")
+    marked = _marked(docs, id_col, text_col, shingle)
+    grouped = _grouped(marked, similarity, block_rows, broadcast_keys)
+    kept = grouped.groupBy("root").agg(F.min("first").alias("first")).select("first.row", "first.sum")
+    return keep_rows(docs, kept, text_col)

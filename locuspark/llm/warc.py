@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locuspark.llm import files
-from locuspark.llm.common import materialise, scratch_path
+from locuspark.llm.common import materialise, scratch_path, stable, write_by_partition
 
 #: Payloads shorter than this are always written whole.
 LEAST_REVISIT_BYTES = 1000
@@ -95,17 +95,9 @@ def _write_decisions(rows: DataFrame, path: str, least_bytes: int) -> None:
     originals = long.groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1 and best is not null").drop("n")
     revisit = F.col("best").isNotNull() & (F.col("size") >= least_bytes) & (F.col("page_id").isNull() | (F.col("page_id") != F.col("best.page_id")))
     decided = headers.join(originals, "digest", "left").select(
-        F.shiftright("row", 33).alias("block"), "row", "digest", F.when(revisit, F.col("best.page_id")).alias("original"), F.when(revisit, F.negative(F.col("best.row"))).alias("original_row")
+        "row", "digest", F.when(revisit, F.col("best.page_id")).alias("original"), F.when(revisit, F.negative(F.col("best.row"))).alias("original_row")
     )
-    listed = decided.groupBy("block").agg(F.collect_list(F.struct("row", "digest", "original", "original_row")).alias("rows"))
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, found in zip(batch.column(0).to_pylist(), batch.column(1)):
-                files.write_block(f"{path}/{block:07d}.arrow", pa.Table.from_struct_array(found.values).sort_by("row"))
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64())], ["block"])
-
-    materialise(listed.mapInArrow(write, "block long"), "warc-decided").count()
+    write_by_partition(decided, path)
 
 
 def write_archives(pages: DataFrame, path: str, date: str = "2000-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES, least_bytes: int = LEAST_REVISIT_BYTES) -> DataFrame:
@@ -117,10 +109,10 @@ def write_archives(pages: DataFrame, path: str, date: str = "2000-01-01T00:00:00
     each has a record id of its own; rows that repeat an id with another
     payload are judged by their own payload.  Other columns are left out.
 
-    ``pages`` is scanned twice, to decide and to write.  It must give the same
-    rows in the same partitions, as scans do; pages that differ are an error.
+    ``pages`` is scanned twice, to decide and to write; what is not a scan of
+    files is written to a table first.
     """
-    rows = pages.select(
+    rows = stable(pages.select("page_id", "url", "html"), "warc-pages").select(
         F.monotonically_increasing_id().alias("row"),
         F.col("page_id").cast("long").alias("page_id"),
         F.col("url").cast("string").alias("url"),

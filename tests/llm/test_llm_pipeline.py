@@ -64,13 +64,18 @@ def test_groups_equal_brute_force(spark, block_rows):
 
 
 def test_one_of_each_group_stays(spark):
-    rows = corpus()
-    frame = spark.createDataFrame([(i, t, 1, "k") for i, t in rows], "doc_id long, text string, size int, key string")
-    groups = brute_groups(rows)
-    gone = {i for i, c in groups if i is not None and i != c}
+    rows = corpus() + [(None, "unique text of no id"), (9999, "unique text of no id"), (5, "another text under a known id")]
+    schema = "doc_id long, text string, _row int, _sum string, key string"
+    frame = spark.createDataFrame([(i, t, 1, "k", "x") for i, t in rows], schema).repartition(3)
+    label = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if label[i] != label[j] and jaccard(rows[i][1], rows[j][1]) >= 0.8 - 1e-9:
+            label = [label[i] if x == label[j] else x for x in label]
+    groups = [[rows[k][0] for k in range(len(rows)) if label[k] == g] for g in set(label)]
     kept = neardup.one_of_each_group(frame)
-    assert kept.columns == frame.columns
-    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([*{i for i, _ in rows if i is not None} - gone, None, None], key=str)
+    assert kept.columns == frame.columns and {(r["_row"], r["_sum"], r["key"]) for r in kept.collect()} == {(1, "k", "x")}
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted((min((i for i in g if i is not None), default=None) for g in groups), key=str)
+    assert neardup.one_of_each_group(frame.limit(0)).count() == 0
 
 
 def test_small_sets_lose_no_link(spark):
@@ -119,6 +124,51 @@ def test_stages_have_their_effect(spark, tmp_path):
     assert all(r["n_tokens"] == len(r["ids"] or []) for r in seen["pieces"].values())
 
 
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, _toxicity double, _leaked long, _neardup_id long, _row string, _sum string, row int, key string, score double, size int"
+
+
+@pytest.fixture(scope="module")
+def small_tables(spark, tmp_path_factory):
+    words = lambda seed, n=40: " ".join(f"v{x}" for x in np.random.default_rng(seed).integers(0, 300, n))
+    rows = [(i, words(i)) for i in range(60)] + [(100 + i, words(i) + " vileword") for i in range(60, 100)]
+    rows += [(None, words(3)), (None, words(999)), (None, words(999)), (None, words(555)), (7, words(8)), (200, None), (201, ""), (202, "x" * 20_000 + " " + words(202)), (203, words(203, 20_000))]
+    rest = ("en", "s", 5, 0.25, 7, 8, "r", "u", 9, "k", 0.75, 3)
+    d = str(tmp_path_factory.mktemp("small"))
+    spark.createDataFrame([(*r, *rest) for r in rows], CLASHING).repartition(3).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(100 <= (i or 0) < 200)) for i, _ in rows if i is None or i < 200], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, words(555))], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    return d
+
+
+def test_stages_keep_clashing_columns_and_judge_rows_without_an_id(spark, small_tables):
+    docs = spark.read.parquet(f"{small_tables}/documents.parquet")
+    stages = dict(pipeline.STAGES)
+    for name in ("toxicity", "near duplicates", "decontamination", "secrets"):
+        found = stages[name](spark, docs, small_tables)
+        assert found.columns == docs.columns
+        rows = found.collect()
+        assert rows and {tuple(r)[5:] for r in rows} == {(0.25, 7, 8, "r", "u", 9, "k", 0.75, 3)}, name
+        texts = [r["text"] for r in rows if r["doc_id"] is None]
+        if name == "near duplicates":
+            assert len(texts) == 2 and len(set(texts)) == 2  # the copy of a named document and one of two twins are gone
+            assert {200, 202, 203} <= {r["doc_id"] for r in rows} and not {201} & {r["doc_id"] for r in rows}
+        if name == "decontamination":
+            assert len(texts) == 3 and len(rows) == docs.count() - 1  # the item goes, though its row has no id
+        if name == "secrets":
+            assert len(rows) == docs.count()
+
+
+@pytest.mark.parametrize("name", [n for n, _ in pipeline.STAGES])
+def test_stages_of_empty_tables(spark, small_tables, tmp_path, name):
+    for t in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{small_tables}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    stage = dict(pipeline.STAGES)[name]
+    assert stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).count() == 0
+    docs = spark.read.parquet(f"{small_tables}/documents.parquet")
+    if name in ("toxicity", "decontamination"):  # without labels or items everything stays
+        assert stage(spark, docs, str(tmp_path)).count() == docs.count()
+
+
 @needs_tables
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, name):
