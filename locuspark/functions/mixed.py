@@ -29,10 +29,60 @@ class Components:
 
 @dataclass(frozen=True)
 class Spectrum:
-    """Eigenvalues and basis of K in the space that X leaves; holds for every phenotype."""
+    """Eigenvalues and basis of K in the space that X leaves; holds for every phenotype.
+
+    In the other directions of that space, of ``dimension`` in all, K is zero.
+    """
 
     values: np.ndarray
     basis: np.ndarray
+    dimension: int
+
+
+@dataclass(frozen=True)
+class Factor:
+    """A kinship of low rank by its spectrum: K = vectors diag(values) vectors', without an n x n matrix."""
+
+    vectors: np.ndarray
+    values: np.ndarray
+
+    @classmethod
+    def of(cls, factor: np.ndarray) -> Factor:
+        """K = factor factor'."""
+        vectors, sigma, _ = np.linalg.svd(factor, full_matrices=False)
+        keep = sigma > max(factor.shape) * np.finfo(float).eps * sigma.max(initial=0.0)
+        return cls(vectors[:, keep], sigma[keep] ** 2)
+
+    def __len__(self) -> int:
+        return len(self.vectors)
+
+    def times(self, b: np.ndarray) -> np.ndarray:
+        return self.vectors @ (self.values[:, None] * (self.vectors.T @ b.reshape(len(b), -1))).reshape(len(self.values), *b.shape[1:])
+
+    def solve(self, delta: float, b: np.ndarray) -> np.ndarray:
+        """(K + delta I)^-1 b."""
+        gain = 1 / (self.values + delta) - 1 / delta
+        return b / delta + self.vectors @ (gain[:, None] * (self.vectors.T @ b.reshape(len(b), -1))).reshape(len(gain), *b.shape[1:])
+
+    def block(self, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        return (self.vectors[rows] * self.values) @ self.vectors[columns].T
+
+
+@dataclass(frozen=True)
+class LowRankWhitener:
+    """The symmetric W with W (K + delta I) W = I, for a kinship by its factor."""
+
+    vectors: np.ndarray
+    gain: np.ndarray
+    scale: float
+
+    @classmethod
+    def of(cls, k: Factor, delta: float) -> LowRankWhitener:
+        return cls(k.vectors, 1 / np.sqrt(k.values + delta) - 1 / math.sqrt(delta), 1 / math.sqrt(delta))
+
+    def rows(self, g: np.ndarray) -> np.ndarray:
+        """Vectors in rows, whitened."""
+        return g * self.scale + ((g @ self.vectors) * self.gain) @ self.vectors.T
 
 
 def require_full_rank(x: np.ndarray) -> None:
@@ -43,6 +93,18 @@ def require_full_rank(x: np.ndarray) -> None:
         raise ValueError("the design's columns must be linearly independent")
 
 
+def checked_kinship(k: np.ndarray, n: int) -> np.ndarray:
+    """``k`` as a symmetric matrix, which must be finite, n x n and positive semidefinite up to rounding."""
+    k = np.asarray(k, float)
+    if k.shape != (n, n) or not np.isfinite(k).all() or not np.allclose(k, k.T, rtol=1e-10, atol=1e-12):
+        raise ValueError("kinship must be finite, square and symmetric")
+    k = 0.5 * (k + k.T)
+    least, most = np.linalg.eigvalsh(k)[[0, -1]]
+    if least < -n * np.finfo(float).eps * max(most, -least, 1.0):
+        raise ValueError("kinship must be positive semidefinite")
+    return k
+
+
 def spectrum(k: np.ndarray, x: np.ndarray) -> Spectrum:
     n, q = x.shape
     if k.shape != (n, n):
@@ -52,23 +114,33 @@ def spectrum(k: np.ndarray, x: np.ndarray) -> Spectrum:
     require_full_rank(x)
     basis = np.linalg.qr(x, mode="complete")[0][:, q:]
     values, vectors = np.linalg.eigh(basis.T @ ((k + k.T) / 2.0) @ basis)
-    return Spectrum(values, basis @ vectors)
+    return Spectrum(values, basis @ vectors, n - q)
 
 
 def factor_spectrum(factor: np.ndarray, x: np.ndarray) -> Spectrum:
-    """The spectrum of factor @ factor.T."""
-    return spectrum(factor @ factor.T, x)
+    """The spectrum of factor @ factor.T: as many values as the factor has columns, the others are zero."""
+    n, q = x.shape
+    if factor.shape[1] >= n - q:
+        return spectrum(factor @ factor.T, x)
+    require_full_rank(x)
+    basis = np.linalg.qr(x)[0]
+    vectors, sigma, _ = np.linalg.svd(factor - basis @ (basis.T @ factor), full_matrices=False)
+    keep = sigma > max(factor.shape) * np.finfo(float).eps * sigma.max(initial=0.0)
+    return Spectrum(sigma[keep] ** 2, vectors[:, keep], n - q)
+
 
+def likelihood(log_delta: np.ndarray, values: np.ndarray, coords: np.ndarray, rest: float = 0.0, zeros: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Restricted log-likelihood and its slope at each log delta.
 
-def likelihood(log_delta: np.ndarray, values: np.ndarray, coords: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Restricted log-likelihood and its slope at each log delta."""
-    delta = np.exp(np.atleast_1d(log_delta))[:, None]
-    width = values + delta
-    n = len(coords)
+    ``rest`` is the sum of squares in ``zeros`` further directions, where the kinship is zero.
+    """
+    delta = np.exp(np.atleast_1d(log_delta))
+    width = values + delta[:, None]
+    n = len(coords) + zeros
     ratio = coords**2 / width
-    sse = ratio.sum(axis=1)
-    value = 0.5 * (n * (math.log(n / (2 * math.pi)) - 1 - np.log(sse)) - np.log(width).sum(axis=1))
-    slope = 0.5 * delta[:, 0] * (n * (ratio / width).sum(axis=1) / sse - (1 / width).sum(axis=1))
+    sse = ratio.sum(axis=1) + rest / delta
+    value = 0.5 * (n * (math.log(n / (2 * math.pi)) - 1 - np.log(sse)) - np.log(width).sum(axis=1) - zeros * np.log(delta))
+    slope = 0.5 * delta * (n * ((ratio / width).sum(axis=1) + rest / delta**2) / sse - (1 / width).sum(axis=1) - zeros / delta)
     return value, slope
 
 
@@ -81,29 +153,45 @@ def reml(
             raise ValueError("incidence needs more columns than the fixed-effect design")
         k = z @ k @ z.T
     if known is None:
-        known = spectrum(k, x)
-    values, coords = known.values, known.basis.T @ y
+        known = factor_spectrum(k.vectors * np.sqrt(k.values), x) if isinstance(k, Factor) else spectrum(k, x)
+    values, coords, zeros, rest = known.values, known.basis.T @ y, known.dimension - len(known.values), 0.0
+    if zeros:
+        rest = max(float(((y - x @ np.linalg.lstsq(x, y, rcond=None)[0]) ** 2).sum() - coords @ coords), 0.0)
     at = np.linspace(low, high, grid + 1)
     with np.errstate(all="ignore"):
-        value, slope = likelihood(at, values, coords)
+        value, slope = likelihood(at, values, coords, rest, zeros)
     found: list[tuple[float, float]] = []
     if slope[0] < tolerance:
         found.append((value[0], low))
     if slope[-2] > -tolerance:  # the last but one grid point decides on the upper end
         found.append((value[-1], high))
     for i in np.nonzero((slope[:-1] > 0) & (slope[1:] < 0))[0]:
-        root = _falling_root(lambda d: likelihood(d, values, coords)[1][0], at[i], at[i + 1], tolerance)
-        found.append((likelihood(root, values, coords)[0][0], root))
+        root = _falling_root(lambda d: likelihood(d, values, coords, rest, zeros)[1][0], at[i], at[i + 1], tolerance)
+        found.append((likelihood(root, values, coords, rest, zeros)[0][0], root))
     if not found:
         best = int(np.nanargmax(value))
         found.append((value[best], at[best]))
     best = max(range(len(found)), key=lambda i: found[i][0])
     log_likelihood, log_delta = found[best]
     delta = math.exp(log_delta)
-    vg = float((coords**2 / (values + delta)).sum() / len(coords))
+    vg = float(((coords**2 / (values + delta)).sum() + rest / delta) / known.dimension)
     return Components(float(log_likelihood), delta, vg, vg * delta)
 
 
+def given(y: np.ndarray, x: np.ndarray, k: np.ndarray | Factor, h2: float, z: np.ndarray | None = None) -> Components:
+    """The fit at a heritability vg / (vg + ve) that is known: vg and likelihood follow from the data."""
+    if not 0 < h2 < 1:
+        raise ValueError("a given heritability must be between 0 and 1")
+    if z is not None:
+        k = z @ k @ z.T
+    delta = (1 - h2) / h2
+    known = factor_spectrum(k.vectors * np.sqrt(k.values), x) if isinstance(k, Factor) else spectrum(k, x)
+    coords, zeros = known.basis.T @ y, known.dimension - len(known.values)
+    rest = max(float(((y - x @ np.linalg.lstsq(x, y, rcond=None)[0]) ** 2).sum() - coords @ coords), 0.0) if zeros else 0.0
+    vg = float(((coords**2 / (known.values + delta)).sum() + rest / delta) / known.dimension)
+    return Components(float(likelihood(math.log(delta), known.values, coords, rest, zeros)[0][0]), delta, vg, vg * delta)
+
+
 def _falling_root(f, low: float, high: float, tolerance: float) -> float:
     """Where f, positive at low and negative at high, is zero."""
     while high - low > tolerance:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locuspark.functions import special
+from locuspark.functions import mixed, special
 from locuspark.functions.columns import rounded, t_pvalue
 from locuspark.operators.qc import with_maf
 from locuspark.operators.testing import benjamini_hochberg
@@ -85,23 +85,31 @@ class LeastSquares:
         return np.where(ok, special.t_two_sided(stat, df), 1.0), effect, se, stat
 
 
+def whitened(white: np.ndarray | mixed.LowRankWhitener, rows: np.ndarray) -> np.ndarray:
+    """Vectors in rows, whitened."""
+    return white.rows(rows) if isinstance(white, mixed.LowRankWhitener) else rows @ white.T
+
+
 @dataclass(frozen=True)
 class Whitened:
-    """Each marker after whitening with fixed variance components; the null model's vg gives standard errors."""
+    """Each marker after whitening with fixed variance components; the null model's vg gives standard errors.
 
-    white: np.ndarray
+    The kinship is sent along only where markers may have missing dosages.
+    """
+
+    white: np.ndarray | mixed.LowRankWhitener
     y: np.ndarray
     space: Projection
     vg: float
     raw_y: np.ndarray
     x: np.ndarray
-    k: np.ndarray
+    k: np.ndarray | mixed.Factor | None
     delta: float
 
     @classmethod
-    def of(cls, y: np.ndarray, x: np.ndarray, k: np.ndarray, white: np.ndarray, vg: float, delta: float) -> Whitened:
-        space = Projection.of(white @ x)
-        return cls(white, space.residual((white @ y)[None])[0], space, vg, y, x, k, delta)
+    def of(cls, y: np.ndarray, x: np.ndarray, k: np.ndarray | mixed.Factor | None, white: np.ndarray | mixed.LowRankWhitener, vg: float, delta: float) -> Whitened:
+        space = Projection.of(whitened(white, x.T).T)
+        return cls(white, space.residual(whitened(white, y[None]))[0], space, vg, y, x, k, delta)
 
     def __call__(self, index: np.ndarray, g: np.ndarray):
         n, df = len(self.y), len(self.y) - self.space.columns - 1
@@ -109,7 +117,7 @@ class Whitened:
         whole = np.isfinite(g).all(axis=1)
         use = np.nonzero(whole & (np.where(whole[:, None], g, 0.0).std(axis=1) >= 1e-8))[0]
         if len(use):
-            r = self.space.residual(g[use] @ self.white.T)
+            r = self.space.residual(whitened(self.white, g[use]))
             ss = np.einsum("ij,ij->i", r, r)
             with np.errstate(divide="ignore", invalid="ignore"):
                 error = np.sqrt(self.vg / ss)
@@ -128,7 +136,11 @@ class Whitened:
         x = np.column_stack([self.x[seen], g[seen]])
         if seen.sum() <= x.shape[1] or g[seen].std() < 1e-8:
             return
-        precision = np.linalg.pinv(self.k[np.ix_(seen, seen)] + self.delta * np.eye(int(seen.sum())))
+        if self.k is None:
+            raise ValueError("markers with missing dosages need the kinship")
+        at = np.nonzero(seen)[0]
+        k = self.k.block(at, at) if isinstance(self.k, mixed.Factor) else self.k[np.ix_(at, at)]
+        precision = np.linalg.pinv(k + self.delta * np.eye(int(seen.sum())))
         inverse = np.linalg.pinv(x.T @ precision @ x)
         error = float(np.sqrt(inverse[-1, -1] * self.vg))
         if error < 1e-12:

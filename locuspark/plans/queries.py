@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from locuspark.functions import mixed
 from locuspark.functions.columns import rounded
 from locuspark.operators import gram as G
 from locuspark.operators import ld, qc, testing, viz
@@ -390,14 +391,20 @@ def _whole(spark, d) -> tuple[Genotype, np.ndarray, np.ndarray]:
 
 
 def _dense(spark, d) -> tuple[Genotype, np.ndarray, np.ndarray, np.ndarray]:
-    """With the kinship of all samples; more than ``MAX_SAMPLES`` are refused."""
+    """With the kinship of all samples as a matrix; more than ``MAX_SAMPLES`` are refused."""
     g, y, x = _whole(spark, d)
     return g, y, x, G.vanraden(g)
 
 
+def _factored(spark, d) -> tuple[Genotype, np.ndarray, np.ndarray, mixed.Factor]:
+    """With the kinship of all samples by its factor, as there are fewer markers than samples."""
+    g, y, x = _whole(spark, d)
+    return g, y, x, G.kinship(g)
+
+
 @query()
 def mlm_scan(spark, d):
-    return M.mlm(*_dense(spark, d)).rows
+    return M.mlm(*_factored(spark, d)).rows
 
 
 @query()
@@ -429,7 +436,7 @@ def _predicted(spark, p: P.Prediction) -> DataFrame:
 
 @query()
 def gblup_pred(spark, d):
-    g, y, x, k = _dense(spark, d)
+    g, y, x, k = _factored(spark, d)
     return _predicted(spark, P.gblup(y, x, k, g.taxa))
 
 
@@ -441,7 +448,7 @@ def cblup_pred(spark, d):
 
 @query()
 def sblup_pred(spark, d):
-    g, y, x, k = _dense(spark, d)
+    g, y, x, k = _factored(spark, d)
     chosen = P.select_super(g, M.mlm(g, y, x, k).rows.persist(), y, x).markers
     return _predicted(spark, P.sblup(g, y, x, chosen, g.taxa))
 
@@ -499,7 +506,7 @@ def gblup_cv(spark, d):
 @query()
 def simulate_phenotype(spark, d):
     g = X.genotype(spark, d)
-    return spark.createDataFrame([(t, float(v)) for t, v in zip(g.taxa, P.simulate_phenotype(g))], "taxon string, y double")
+    return spark.createDataFrame([(t, float(v)) for t, v in zip(g.taxa, P.simulate_phenotype(g.persist()))], "taxon string, y double")
 
 
 # Whole runs.

@@ -164,6 +164,78 @@ def test_gblup_solves_henderson(data):
     assert grouped.method == "cBLUP" and np.isfinite(grouped.pev).all()
 
 
+def test_low_rank_kinship_equals_the_dense_one(data, spark):
+    geno, g, x, y = data
+    few = from_array(spark, g[:, :30])
+    dense, factor = G.vanraden(few), G.kinship(few)
+    assert isinstance(factor, mixed.Factor) and np.allclose(factor.block(np.arange(N), np.arange(N)), dense, atol=1e-10)
+    assert np.allclose(factor.times(y), dense @ y) and np.allclose(factor.solve(0.3, x), np.linalg.solve(dense + 0.3 * np.eye(N), x))
+    a, b = mixed.reml(y, x, dense), mixed.reml(y, x, factor)
+    assert (a.reml, a.vg, a.ve) == pytest.approx((b.reml, b.vg, b.ve), rel=1e-6)
+    for h2 in (None, 0.4):
+        one, two = (rows(M.mlm(geno, y, x, k, h2=h2).rows) for k in (dense, factor))
+        assert all(np.allclose(one[c], two[c], rtol=1e-5, atol=1e-8, equal_nan=True) for c in one)
+        one, two = (P.gblup(y, x, k, h2=h2) for k in (dense, factor))
+        assert np.allclose(one.blup, two.blup, atol=1e-5) and np.allclose(one.pev, two.pev, atol=1e-5) and np.allclose(one.blue, two.blue, atol=1e-5)
+    known = mixed.given(y, x, dense, 0.4)
+    assert known.h2 == pytest.approx(0.4) and known.reml <= a.reml + 1e-9
+
+
+def test_wide_genotypes_use_the_samples_side(data, spark):
+    _, g, _, y = data
+    wide = from_array(spark, g[:25])
+    assert G.narrow(wide) is None and isinstance(G.kinship(wide), np.ndarray)
+    found = G.pca(wide, 2, maf=0.0)
+    centred = g[:25] - g[:25].mean(axis=0)
+    u, s, _ = np.linalg.svd(centred, full_matrices=False)
+    assert np.allclose(np.abs(found.scores), np.abs(u[:, :2] * s[:2]), atol=1e-8)
+    fit = P.rrblup(wide, y[:25], 3.0)
+    effects = np.linalg.solve(centred.T @ centred + 3 * np.eye(MARKERS), centred.T @ (y[:25] - y[:25].mean()))
+    assert np.allclose([r["effect"] for r in fit.effects.orderBy("marker_idx").collect()], effects, atol=1e-9)
+
+
+def test_group_means_of_a_compressed_kinship(data):
+    geno = data[0]
+    k = G.vanraden(geno)
+    small, z = M.compress_kinship(k, 9)
+    assert np.allclose(small, np.linalg.inv(z.T @ z) @ z.T @ k @ z @ np.linalg.inv(z.T @ z)) and (z.sum(axis=1) == 1).all()
+
+
+def test_unit_kinship(data):
+    _, _, x, y = data
+    k = G.vanraden(data[0])
+    unit = M.UnitKinship.of(k)
+    p = np.eye(N) - 1 / N
+    assert np.trace(p @ unit.matrix @ p) == pytest.approx(N - 1)
+    best = -np.inf
+    for d in np.exp(np.linspace(-10, 10, 4001)):
+        v = unit.matrix + d * np.eye(N)
+        beta = np.linalg.solve(x.T @ np.linalg.solve(v, x), x.T @ np.linalg.solve(v, y))
+        left = y - x @ beta
+        s2 = left @ np.linalg.solve(v, left) / N
+        best = max(best, -0.5 * (N * np.log(2 * np.pi * s2) + np.linalg.slogdet(v)[1] + N))
+    assert unit.likelihood(y, x) == pytest.approx(best, abs=1e-4) and unit.likelihood(y, x) >= best - 1e-9
+    for bad in (-k, np.ones((N, N)), k + np.triu(np.ones((N, N)))):
+        with pytest.raises(ValueError):
+            M.UnitKinship.of(bad)
+
+
+def test_nth_markers(spark):
+    geno = from_array(spark, np.zeros((3, 40)))
+    odd = geno.with_packed(geno.packed.where("marker_idx % 2 = 1"))
+    assert P.nth_markers(odd, [19, 0, 7]) == [39, 1, 15]
+
+
+def test_spike_and_slab_keeps_its_score(data):
+    _, g, _, y = data
+    centred = y - y.mean()
+    chain = P.SpikeAndSlab(g.T @ g, g.T @ centred, float(centred @ centred), N, 0.9)
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        chain.sweep(rng)
+    assert np.allclose(chain.score, g.T @ (centred - g @ chain.beta)) and 0 < np.count_nonzero(chain.beta) < MARKERS
+
+
 def test_super_and_sblup(data):
     geno, _, x, y = data
     scanned = M.mlm(geno, y, x, G.vanraden(geno)).rows.persist()
