@@ -39,21 +39,25 @@ def ld_matrix(genotype: Genotype, max_snps: int = 500) -> DataFrame:
     return pairs.select("i", "j", r2.alias("r2"))
 
 
-def ld_decay(genotype: Genotype, chromosome: str | None = None, max_dist: float = 1_000_000) -> DataFrame:
-    """``distance`` and ``r2`` of the pairs of a chromosome within ``max_dist``, the first chromosome by default.
+def ld_decay(genotype: Genotype, chromosome: str | None = None, max_dist: float = 1_000_000, every: bool = False) -> DataFrame:
+    """``distance`` and ``r2`` of the pairs of a chromosome within ``max_dist``, the first chromosome by default, or of ``every`` one.
 
     A range join: positions are cut into cells of ``max_dist``, and a marker
-    meets only its own cell and the next.
+    meets its own cell and both neighbours, as maps need not be sorted.
     """
-    if chromosome is None:
-        row = genotype.packed.select("marker_idx", "chromosome").orderBy("marker_idx").limit(1).collect()
-        chromosome = row[0]["chromosome"] if row else ""
-    mine = genotype.packed.where(F.col("chromosome") == chromosome).select("marker_idx", "position", "dosages")
-    rows = _with_moments(mine, genotype.n).withColumn("cell", F.floor(F.col("position") / F.lit(float(max(max_dist, 1)))))
-    a = rows.select(F.col("marker_idx").alias("i"), F.col("position").alias("ap"), F.col("d").alias("ad"), F.col("ss").alias("ass"), F.explode(F.array(F.col("cell"), F.col("cell") + 1)).alias("cell"))
-    b = rows.select(F.col("marker_idx").alias("j"), F.col("position").alias("bp"), F.col("d").alias("bd"), F.col("ss").alias("bss"), "cell")
-    pairs = a.join(b, "cell").where((F.col("j") > F.col("i")) & (F.col("bp") - F.col("ap") <= max_dist) & (F.col("bp") >= F.col("ap")))
-    return pairs.select("i", "j", (F.col("bp") - F.col("ap")).alias("distance"), r_squared(F.col("ad"), F.col("ass"), F.col("bd"), F.col("bss")).alias("r2")).where("r2 is not null")
+    packed = genotype.packed
+    if not every:
+        if chromosome is None:
+            row = packed.select("marker_idx", "chromosome").orderBy("marker_idx").limit(1).collect()
+            chromosome = row[0]["chromosome"] if row else ""
+        packed = packed.where(F.col("chromosome") == chromosome)
+    rows = _with_moments(packed.select("marker_idx", "chromosome", "position", "dosages"), genotype.n).withColumn("cell", F.floor(F.col("position") / F.lit(float(max(max_dist, 1)))))
+    around = F.explode(F.array(*[F.col("cell") + F.lit(k) for k in (-1, 0, 1)]))
+    a = rows.select("chromosome", F.col("marker_idx").alias("i"), F.col("position").alias("ap"), F.col("d").alias("ad"), F.col("ss").alias("ass"), around.alias("cell"))
+    b = rows.select("chromosome", F.col("marker_idx").alias("j"), F.col("position").alias("bp"), F.col("d").alias("bd"), F.col("ss").alias("bss"), "cell")
+    distance = F.abs(F.col("bp") - F.col("ap"))
+    pairs = a.join(b, ["chromosome", "cell"]).where((F.col("j") > F.col("i")) & (distance <= max_dist))
+    return pairs.select("i", "j", distance.alias("distance"), r_squared(F.col("ad"), F.col("ass"), F.col("bd"), F.col("bss")).alias("r2")).where("r2 is not null")
 
 
 def ld_prune(values: np.ndarray, threshold: float = 0.7) -> list[int]:

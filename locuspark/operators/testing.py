@@ -98,13 +98,25 @@ def calibrate(rows: DataFrame, p: str) -> DataFrame:
     return rows.withColumn(p, F.least(F.lit(1.0), F.pow(F.col(p), F.lit(1.0 / c))))
 
 
-def qq(rows: DataFrame, p: str, tie: str, midpoint: bool = False) -> DataFrame:
+def ranked(rows: DataFrame, p: str, tie: str, out: str, n: int, single_sort: int = 2_000_000) -> DataFrame:
+    """``rows`` with the rank of each by p and tie, from 1; beyond ``single_sort`` rows by sorted ranges, of which one count each reaches the driver."""
+    if n <= single_sort:
+        return rows.withColumn(out, F.row_number().over(Window.orderBy(p, tie)))
+    ranged = rows.repartitionByRange(max(2, n // single_sort * 4), p, tie).withColumn("_range", F.spark_partition_id()).persist()
+    starts, total = {}, 0
+    for g, size in sorted(ranged.groupBy("_range").count().collect()):
+        starts[g], total = total, total + size
+    start = F.create_map(*[F.lit(v) for pair in starts.items() for v in pair])
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(p, tie))
+    return ranged.withColumn(out, within + start[F.col("_range")]).drop("_range")
+
+
+def qq(rows: DataFrame, p: str, tie: str, midpoint: bool = False, single_sort: int = 2_000_000) -> DataFrame:
     """Expected and observed -log10 p, by rank: i / n, or (i - 1/2) / n."""
     valid = rows.where((F.col(p) > 0) & (F.col(p) <= 1))
     n = valid.count()
-    rank = F.row_number().over(Window.orderBy(p, tie))
-    expected = (rank - 0.5) / n if midpoint else rank / n
-    return valid.select(tie, p, (-F.log10(expected)).alias("expected"), minus_log10(F.col(p)).alias("observed"))
+    expected = (F.col("_rank") - (0.5 if midpoint else 0.0)) / n
+    return ranked(valid, p, tie, "_rank", n, single_sort).select(tie, p, (-F.log10(expected)).alias("expected"), minus_log10(F.col(p)).alias("observed"))
 
 
 def bin_best(rows: DataFrame, p: str, bin_size: float, threshold: float | None = None) -> DataFrame:

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from locuspark.operators.qc import impute
 from locuspark.sources.genotype import Genotype, from_long
 
-#: Bound of the customer keys of LD and folds, as in their SQL.
-DENSE = 200
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,11 +25,9 @@ def markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.select("snp", "chromosome", place.alias("position"), index.alias("marker_idx"))
 
 
-def samples(spark: SparkSession, sf_dir: str, below: int | None = None) -> DataFrame:
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers: sample, sample_idx, y (account balance), nation, segment."""
     rows = table(spark, sf_dir, "customer")
-    if below is not None:
-        rows = rows.where(F.col("c_custkey") < below)
     index = F.row_number().over(Window.orderBy("c_custkey")) - 1
     return rows.select(F.col("c_custkey").alias("sample"), index.alias("sample_idx"), F.col("c_acctbal").alias("y"), F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"))
 
@@ -46,9 +41,26 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bought.select("sample", "snp", F.least(F.lit(2), "n").cast("double").alias("dosage"))
 
 
-def genotype(spark: SparkSession, sf_dir: str, below: int | None = None) -> Genotype:
+def families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All customers, pooled by nation and segment: 125 samples at any scale, with mean phenotypes."""
+    pooled = samples(spark, sf_dir).groupBy("nation", "segment").agg(F.count(F.lit(1)).alias("size"), F.avg("y").alias("y"))
+    index = F.row_number().over(Window.orderBy("nation", "segment")) - 1
+    return pooled.select(F.concat("nation", F.lit("/"), "segment").alias("sample"), index.alias("sample_idx"), "y", "nation", "segment", "size")
+
+
+def family_genotype(spark: SparkSession, sf_dir: str) -> Genotype:
+    """Mean dosages of the families, as of pooled samples."""
+    who, what = families(spark, sf_dir), markers(spark, sf_dir)
+    members = samples(spark, sf_dir).select("sample", "nation", "segment").join(F.broadcast(who.drop("sample", "y")), ["nation", "segment"])
+    cells = counts(spark, sf_dir).join(members, "sample").groupBy("sample_idx", "snp").agg((F.sum("dosage") / F.first("size")).alias("dosage"))
+    cells = cells.join(F.broadcast(what.select("snp", "marker_idx")), "snp")
+    taxa = [str(r[0]) for r in who.orderBy("sample_idx").select("sample").collect()]
+    return impute(from_long(cells.select("sample_idx", "marker_idx", "dosage"), what, taxa), "minor")
+
+
+def genotype(spark: SparkSession, sf_dir: str) -> Genotype:
     """Packed dosages; who bought nothing has 0."""
-    who, what = samples(spark, sf_dir, below), markers(spark, sf_dir)
+    who, what = samples(spark, sf_dir), markers(spark, sf_dir)
     cells = counts(spark, sf_dir).join(who.select("sample", "sample_idx"), "sample").join(F.broadcast(what.select("snp", "marker_idx")), "snp")
     taxa = [str(r[0]) for r in who.orderBy("sample_idx").select("sample").collect()]
     return impute(from_long(cells.select("sample_idx", "marker_idx", "dosage"), what, taxa), "minor")
@@ -60,8 +72,8 @@ def with_missing(g: Genotype) -> Genotype:
     return g.with_packed(g.packed.withColumn("dosages", gone))
 
 
-def phenotype(spark: SparkSession, sf_dir: str, below: int | None = None) -> dict[str, float]:
-    return {str(r["sample"]): r["y"] for r in samples(spark, sf_dir, below).orderBy("sample_idx").collect()}
+def phenotype(spark: SparkSession, sf_dir: str) -> dict[str, float]:
+    return {str(r["sample"]): r["y"] for r in samples(spark, sf_dir).orderBy("sample_idx").collect()}
 
 
 def p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,28 +89,41 @@ def p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = """
-with markers as (
+with recursive markers as materialized (
     select snp, chromosome, 100000.0 * row_number() over (partition by chromosome order by p_brand) as position,
            row_number() over (order by snp) - 1 as marker_idx
     from (select distinct p_brand || '_' || p_type as snp, p_type as chromosome, p_brand from part)),
-samples as (
+customers as materialized (
     select c_custkey as sample, row_number() over (order by c_custkey) - 1 as sample_idx,
            c_acctbal as y, c_nationkey as nation, c_mktsegment as segment
-    from customer{where}),
+    from customer),
 counts as (
     select o_custkey as sample, p_brand || '_' || p_type as snp, least(2, count(*)) as dosage
     from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey group by 1, 2),
-g as (
-    select s.sample, s.sample_idx, s.y, s.nation, k.marker_idx, k.snp, k.chromosome, k.position,
-           cast(coalesce(c.dosage, 0) as double) as dosage
-    from samples s cross join markers k left join counts c on c.sample = s.sample and c.snp = k.snp),
+{samples},
 p as (
     select cast(o_orderkey as bigint) as marker_idx, 'O' || cast(o_orderkey as varchar) as snp, o_orderpriority as chromosome,
            o_orderkey * 1000.0 as position, pow(((o_orderkey * 7919) % 9973 + 1) / 9974.0, 2) as p_value
     from orders)"""
 
+CUSTOMERS = """samples as (select * from customers),
+g as (
+    select s.sample, s.sample_idx, s.y, s.nation, k.marker_idx, k.snp, k.chromosome, k.position,
+           cast(coalesce(c.dosage, 0) as double) as dosage
+    from samples s cross join markers k left join counts c on c.sample = s.sample and c.snp = k.snp)"""
+
+FAMILIES = """samples as (
+    select nation || '/' || segment as sample, row_number() over (order by nation, segment) - 1 as sample_idx, avg(y) as y, nation, segment, count(*) as size
+    from customers group by nation, segment),
+pooled as (
+    select s.sample_idx, c.snp, sum(c.dosage) as total
+    from counts c join customers m on c.sample = m.sample join samples s on s.nation = m.nation and s.segment = m.segment group by 1, 2),
+g as (
+    select s.sample, s.sample_idx, s.y, s.nation, k.marker_idx, k.snp, k.chromosome, k.position,
+           coalesce(c.total, 0) / cast(s.size as double) as dosage
+    from samples s cross join markers k left join pooled c on c.sample_idx = s.sample_idx and c.snp = k.snp)"""
+
 
-def sql(body: str, below: int | None = None) -> str:
+def sql(body: str, families: bool = False) -> str:
     """SQL over the same tables: markers, samples, counts, g and p."""
-    where = "" if below is None else f" where c_custkey < {below}"
-    return SQL.format(where=where) + body
+    return SQL.format(samples=FAMILIES if families else CUSTOMERS) + body

@@ -24,11 +24,13 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None, below: int | None = None) -> Callable[[Query], Query]:
+def query(sql: str | None = None, families: bool = False) -> Callable[[Query], Query]:
+    """Register a query; its SQL is over all customers, or over their families."""
+
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLES[f.__name__] = X.sql(sql, below)
+            ORACLES[f.__name__] = X.sql(sql, families)
         return f
 
     return add
@@ -114,10 +116,10 @@ def align_inputs(spark, d):
     return qc.sample_index(pheno, [genotyped, covariate]).withColumnRenamed("taxon", "sample")
 
 
-@query("""select a.sample_idx as i, b.sample_idx as j, round(1.0 / (1 + abs(a.nation - b.nation)), 6) as k from samples a cross join samples b""", 60)
+@query("""select a.sample_idx as i, b.sample_idx as j, round(1.0 / (1 + abs(a.nation - b.nation)), 6) as k from samples a cross join samples b""", families=True)
 def incidence_kinship(spark, d):
     nations = [r[0] for r in X.table(spark, d, "nation").orderBy("n_nationkey").collect()]
-    who = X.samples(spark, d, 60)
+    who = X.families(spark, d)
     k = spark.createDataFrame([(a, b, 1.0 / (1 + abs(a - b))) for a in nations for b in nations], "a int, b int, k double")
     z = who.select(F.col("sample_idx").alias("i"), F.col("nation").alias("a"), F.lit(1.0).alias("z"))
     return qc.incidence_kinship_long(z, k).select("i", "j", r6("k", "k"))
@@ -128,15 +130,15 @@ z as (select g.sample_idx, g.marker_idx, g.dosage - 2 * f.f as z from g join f u
 gram as (select a.sample_idx as i, b.sample_idx as j, sum(a.z * b.z) as v from z a join z b using (marker_idx) group by 1, 2)"""
 
 
-@query(_CENTRED + " select i, j, round(v / (select sum(2 * f * (1 - f)) from f), 6) as k from gram", 60)
+@query(_CENTRED + " select i, j, round(v / (select sum(2 * f * (1 - f)) from f), 6) as k from gram", families=True)
 def kinship_vanraden(spark, d):
-    return G.square_to_long(spark, G.vanraden(X.genotype(spark, d, 60))).select("i", "j", r6("k", "k"))
+    return G.square_to_long(spark, G.vanraden(X.family_genotype(spark, d))).select("i", "j", r6("k", "k"))
 
 
 @query(_CENTRED + """, v as (select i, j, v / (select sum(2 * f * (1 - f)) from f) as k from gram)
-    select i, j, round(k / (select avg(k) from v where i = j), 6) as k from v""", 60)
+    select i, j, round(k / (select avg(k) from v where i = j), 6) as k from v""", families=True)
 def kinship_scaled(spark, d):
-    return G.square_to_long(spark, G.scale_kinship(G.vanraden(X.genotype(spark, d, 60)))).select("i", "j", r6("k", "k"))
+    return G.square_to_long(spark, G.scale_kinship(G.vanraden(X.family_genotype(spark, d)))).select("i", "j", r6("k", "k"))
 
 
 _ZHANG = _CENTRED + """,
@@ -149,27 +151,53 @@ _ZHANG = _CENTRED + """,
     select i, j, round(case when i <> j and most > top then k * top / most else k end, 6) as k from fixed cross join off"""
 
 
-@query(_ZHANG, 60)
+@query(_ZHANG, families=True)
 def kinship_zhang(spark, d):
-    return G.square_to_long(spark, G.zhang(X.genotype(spark, d, 60))).select("i", "j", r6("k", "k"))
+    return G.square_to_long(spark, G.zhang(X.family_genotype(spark, d))).select("i", "j", r6("k", "k"))
 
 
-@query()
+def _squared(name: str, of: str) -> str:
+    """Sixteen squarings of a symmetric matrix, scaled to its largest entry: what is left is its leading direction."""
+    return f""", {name}(k, m) as (select 0, m from {of}
+        union all select k + 1, list_transform(m, lambda a: list_transform(m, lambda b: list_inner_product(a, b))) from (
+            select k, list_transform(m, lambda a: list_transform(a, lambda x: x / t)) as m from (select k, m, list_max(list_transform(m, lambda a, i: a[i])) as t from {name} where k < 16)))"""
+
+
+def _leading(n: int) -> str:
+    """Direction and value of the leading component of cov{n}, and what is left without it as cov{n + 1}."""
+    return _squared(f"power{n}", f"cov{n}") + f""",
+    axis{n} as (select list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) as v from (
+        select m[list_position(d, list_max(d))] as v from (select m, list_transform(m, lambda a, i: a[i]) as d from power{n} where k = 16))),
+    pc{n} as (select v, list_inner_product(v, list_transform(m, lambda a: list_inner_product(a, v))) as value from axis{n} cross join cov{n}),
+    cov{n + 1} as (select list_transform(m, lambda a, i: list_transform(a, lambda x, j: x - value * v[i] * v[j])) as m from cov{n} cross join pc{n})"""
+
+
+_PCA = """, kept as (select marker_idx, mean, row_number() over (order by marker_idx) as place from (
+        select marker_idx, avg(dosage) as mean, sum(dosage) / (2 * count(*)) as f from g group by 1) where least(f, 1 - f) >= 0.05),
+    z as (select sample_idx, place, marker_idx, dosage - mean as z from g join kept using (marker_idx)),
+    cell as (select a.place as i, b.place as j, sum(a.z * b.z) / ((select count(*) from samples) - 1) as c from z a join z b using (sample_idx) group by 1, 2),
+    cov1 as (select list(r order by i) as m from (select i, list(c order by j) as r from cell group by 1)),
+    total as (select sum(c) as total from cell where i = j)""" + "".join(map(_leading, (1, 2, 3)))
+
+
+@query(_PCA + " select component, round(value, 6) as eigenvalue, round(value / total, 6) as explained from (" + " union all ".join(f"select {i - 1} as component, value from pc{i}" for i in (1, 2, 3)) + ") cross join total")
 def pca_eigenvalues(spark, d):
     found = G.pca(X.genotype(spark, d), 3)
-    return spark.createDataFrame([(i, float(v), float(e)) for i, (v, e) in enumerate(zip(found.eigenvalues, found.explained))], "component int, eigenvalue double, explained double")
+    rows = [(i, float(v), float(e)) for i, (v, e) in enumerate(zip(found.eigenvalues, found.explained))]
+    return spark.createDataFrame(rows, "component int, eigenvalue double, explained double").select("component", r6("eigenvalue", "eigenvalue"), r6("explained", "explained"))
 
 
-@query()
+@query(_PCA + " select sample_idx, " + ", ".join(f"round(abs(sum(z * (select v from pc{i})[place])), 6) as pc{i}" for i in (1, 2, 3)) + " from z group by 1")
 def pca_scores_abs(spark, d):
     found = G.pca(X.genotype(spark, d), 3)
-    return spark.createDataFrame([(i, *[abs(float(v)) for v in row]) for i, row in enumerate(found.scores)], "sample_idx int, pc1 double, pc2 double, pc3 double")
+    rows = [(i, *[abs(float(v)) for v in row]) for i, row in enumerate(found.scores)]
+    return spark.createDataFrame(rows, "sample_idx int, pc1 double, pc2 double, pc3 double").select("sample_idx", *[r6(f"pc{i}", f"pc{i}") for i in (1, 2, 3)])
 
 
-@query()
+@query(_PCA + " select marker_idx, " + ", ".join(f"round(abs((select v from pc{i})[place]), 6) as pc{i}" for i in (1, 2, 3)) + " from kept")
 def pca_loadings_abs(spark, d):
     found = G.pca(X.genotype(spark, d), 3)
-    return found.loadings.select("marker_idx", *[F.abs(F.col("loadings")[i]).alias(f"pc{i + 1}") for i in range(3)])
+    return found.loadings.select("marker_idx", *[r6(F.abs(F.col("loadings")[i]), f"pc{i + 1}") for i in range(3)])
 
 
 # Scans.
@@ -186,8 +214,8 @@ _EST = " select marker_idx, round(effect, 6) as effect, round(se, 6) as se, roun
 _PVALUES = " select marker_idx, round(effect, 6) as effect, round(se, 6) as se, round(greatest(p_value, 0), 6) as p_value from pv"
 
 
-def _y(spark, d, below=None) -> np.ndarray:
-    return np.array(list(X.phenotype(spark, d, below).values()), float)
+def _y(spark, d) -> np.ndarray:
+    return np.array(list(X.phenotype(spark, d).values()), float)
 
 
 def _every(g: Genotype) -> list[int]:
@@ -227,16 +255,66 @@ def glm_scan_cov(spark, d):
     return S.glm(X.genotype(spark, d), y, x).select("marker_idx", r6("effect", "effect"), r6("se", "se"))
 
 
-@query()
+def _without(name: str, of: str, basis: str) -> str:
+    """Vectors less their part along one column: y and every marker, by sample."""
+    return f""", {name} as (select a.sample_idx, a.marker_idx, a.v - b.v * s.c as v from {of} a join {basis} b using (sample_idx)
+        join (select a.marker_idx, sum(a.v * b.v) / sum(b.v * b.v) as c from {of} a join {basis} b using (sample_idx) group by 1) s using (marker_idx))"""
+
+
+def _given(cofactors: list[int]) -> str:
+    """Vectors after the intercept and cofactors, one after the other (Gram-Schmidt); the phenotype is marker -1."""
+    sql = """, v0 as (select sample_idx, marker_idx, dosage as v from g union all select sample_idx, -1, y from samples),
+        w0 as (select sample_idx, marker_idx, v - avg(v) over (partition by marker_idx) as v from v0)"""
+    for k, c in enumerate(cofactors):
+        sql += f", b{k} as (select sample_idx, v from w{k} where marker_idx = {c})" + _without(f"w{k + 1}", f"w{k}", f"b{k}")
+    return sql
+
+
+_COFACTORS = [3, 17]
+_ADDED = _given(_COFACTORS) + """, r as (select a.marker_idx, sum(a.v * a.v) as gg, sum(a.v * b.v) as gy, sum(b.v * b.v) as yy
+        from w2 a join (select sample_idx, v from w2 where marker_idx = -1) b using (sample_idx) where a.marker_idx >= 0 group by 1),
+    df as (select count(*) - 4 as df from samples)
+    select marker_idx, round(gy / gg, 6) as effect, round(sqrt((yy - gy * gy / gg) / df / gg), 6) as se from r cross join df where gg > 1e-6"""
+
+
+@query(_ADDED)
 def glm_cofactor_scan(spark, d):
     y = _y(spark, d)
-    return S.glm(X.genotype(spark, d), y, _ones(len(y)), [3, 17])
+    found = S.glm(X.genotype(spark, d), y, _ones(len(y)), _COFACTORS)
+    return found.where(~F.col("marker_idx").isin(_COFACTORS)).select("marker_idx", r6("effect", "effect"), r6("se", "se"))
 
 
-@query()
+def _substitutes(own: int, other: int) -> str:
+    """Largest |t| of one cofactor when each further marker joins the design: the cofactor comes last in the elimination."""
+    return f"""select {own} as marker_idx, max(abs(t)) as t from (
+        select gy / gg / sqrt((yy - gy * gy / gg) / df / gg) as t from (
+            select m.marker_idx, cc - cm * cm / mm as gg, cy - cm * my / mm as gy, yy - my * my / mm as yy from (
+                select a.marker_idx, sum(a.v * a.v) as mm, sum(a.v * c.v) as cm, sum(a.v * b.v) as my, sum(c.v * c.v) as cc, sum(c.v * b.v) as cy, sum(b.v * b.v) as yy
+                from only{own} a join (select * from only{own} where marker_idx = -1) b using (sample_idx) join (select * from only{own} where marker_idx = {own}) c using (sample_idx)
+                where a.marker_idx not in (-1, {own}, {other}) group by 1) m) cross join df)"""
+
+
+_REWARD = """, v0 as (select sample_idx, marker_idx, dosage as v from g union all select sample_idx, -1, y from samples),
+    w0 as (select sample_idx, marker_idx, v - avg(v) over (partition by marker_idx) as v from v0),
+    b17 as (select sample_idx, v from w0 where marker_idx = 17), b3 as (select sample_idx, v from w0 where marker_idx = 3)""" + _without("only3", "w0", "b17") + _without("only17", "w0", "b3") + """,
+    df as (select count(*) - 4 as df from samples),
+    joint as (""" + " union all ".join(f"""select {c} as marker_idx, gy / gg as effect, sqrt((yy - gy * gy / gg) / (df + 1) / gg) as se from (
+        select sum(a.v * a.v) as gg, sum(a.v * b.v) as gy, sum(b.v * b.v) as yy from only{c} a join only{c} b using (sample_idx) where a.marker_idx = {c} and b.marker_idx = -1) cross join df""" for c in _COFACTORS) + """),
+    t as (""" + _substitutes(3, 17) + " union all " + _substitutes(17, 3) + """),
+    est as (select marker_idx, df + 2 as n, effect, se, t as stat, t as a, df from t join joint using (marker_idx) cross join df)"""
+
+
+@query(_REWARD + """,
+    pv as (select *, case when df % 2 = 0 then
+        1 - a / sqrt(df + a * a) * (1 + coalesce((select sum(exp(lgamma(k + 0.5) - lgamma(0.5) - lgamma(k + 1) + k * ln(df / (df + a * a)))) from generate_series(1, cast(df / 2 as bigint) - 1) s(k)), 0))
+    else 1 - 2 / pi() * (atan(a / sqrt(df)) + a / sqrt(df + a * a) * coalesce((select sum(exp(lgamma(k + 1) + lgamma(1.5) - lgamma(k + 1.5) + (2 * k + 1) * 0.5 * ln(df / (df + a * a)))) from generate_series(0, cast((df - 3) / 2 as bigint)) s(k)), 0))
+    end as p_value from est)
+    select marker_idx, round(greatest(p_value, 0), 6) as p_value, round(effect, 6) as effect, round(se, 6) as se from pv""")
 def reward_update(spark, d):
+    """The rows that are replaced: the cofactors'."""
     y, g = _y(spark, d), X.genotype(spark, d).persist()
-    return S.reward(g, S.glm(g, y, _ones(len(y)), [3, 17]), y, _ones(len(y)), [3, 17])
+    found = S.reward(g, S.glm(g, y, _ones(len(y)), _COFACTORS), y, _ones(len(y)), _COFACTORS)
+    return found.where(F.col("marker_idx").isin(_COFACTORS)).select("marker_idx", r6("p_value", "p_value"), r6("effect", "effect"), r6("se", "se"))
 
 
 # Multiple testing, over the orders' p-values.
@@ -267,9 +345,24 @@ def significant_snps(spark, d):
     return testing.significant(X.p_values(spark, d), "p_value", method="fdr_bh").select("marker_idx", rounded(F.col("adjusted"), 9).alias("adjusted"), "significant")
 
 
-@query()
+# The median statistic of p-values is that of their median; a root of erf by halving, erf by its series.
+_ERF = "2 / sqrt(pi()) * list_sum(list_transform(range(60), lambda n: case when n % 2 = 0 then 1 else -1 end * exp((2 * n + 1) * ln({x}) - lgamma(n + 1)) / (2 * n + 1)))"
+
+
+def _median_root(p: str) -> str:
+    """Where the standard normal's absolute value has the tail probability p, from the table ``med``."""
+    return f"""select 0 as step, cast(1e-9 as double) as low, cast(5 as double) as high from med union all
+        select step + 1, case when inside then mid else low end, case when inside then high else mid end from (
+            select step, low, high, mid, 1 - {_ERF.format(x="(mid / sqrt(2))")} > {p} as inside from (select step, low, high, (low + high) / 2 as mid, {p} from half cross join med) where step < 60)"""
+
+
+@query(", chi as (select p_value from p where p_value > 0 and p_value < 1), mid as (select p_value, row_number() over (order by p_value) as r, count(*) over () as n from chi)," + """
+    ends as (select case when r <= (n + 1) / 2.0 then 'a' else 'b' end as e, p_value from mid where r in (cast(floor((n + 1) / 2.0) as bigint), cast(ceil((n + 1) / 2.0) as bigint))),
+    med as (select min(p_value) as pa from ends), med2 as (select max(p_value) as pb from ends),
+    half as (""" + _median_root("pa") + "), half2 as (" + _median_root("pb").replace("half", "half2").replace("med", "med2").replace("med22", "med2") + """)
+    select round((pow((select low from half where step = 60), 2) + pow((select low from half2 where step = 60), 2)) / 2 / 0.4549, 6) as lambda_gc""")
 def lambda_gc(spark, d):
-    return spark.createDataFrame([(testing.inflation(X.p_values(spark, d), "p_value"),)], "lambda_gc double")
+    return spark.createDataFrame([(testing.inflation(X.p_values(spark, d), "p_value"),)], "lambda_gc double").select(r6("lambda_gc", "lambda_gc"))
 
 
 @query(""", r as (select marker_idx, p_value, row_number() over (order by p_value, marker_idx) as i, count(*) over () as m from p),
@@ -366,17 +459,22 @@ _PAIRS = """ select a.marker_idx as i, b.marker_idx as j, {dist} round(case when
     from g a join g b on a.sample = b.sample and {on} group by 1, 2{more}"""
 
 
-@query(_PAIRS.format(dist="", on="a.snp <= b.snp and b.snp in (select snp from markers order by snp limit 40)", more=""), X.DENSE)
+@query(_PAIRS.format(dist="", on="a.snp <= b.snp", more=""))
 def ld_matrix(spark, d):
-    return ld.ld_matrix(X.genotype(spark, d, X.DENSE), 40).select("i", "j", r6("r2", "r2"))
+    return ld.ld_matrix(X.genotype(spark, d), 1000).select("i", "j", r6("r2", "r2"))
 
 
-@query(_PAIRS.format(dist="b.position - a.position as distance,", on="a.chromosome = b.chromosome and a.chromosome = (select chromosome from markers where marker_idx = 0) and b.marker_idx > a.marker_idx and b.position - a.position between 0 and 500000", more=", 3"), X.DENSE)
+@query(_PAIRS.format(dist="cast(abs(b.position - a.position) as double) as distance,", on="a.chromosome = b.chromosome and b.marker_idx > a.marker_idx and abs(b.position - a.position) <= 500000", more=", 3"))
 def ld_decay(spark, d):
-    return ld.ld_decay(X.genotype(spark, d, X.DENSE), max_dist=500_000).select("i", "j", "distance", r6("r2", "r2"))
+    return ld.ld_decay(X.genotype(spark, d), max_dist=500_000, every=True).select("i", "j", "distance", r6("r2", "r2"))
 
 
-@query()
+@query(""", r as (select a.marker_idx as i, b.marker_idx as j, abs(corr(a.dosage, b.dosage)) as r from g a join g b using (sample_idx) where a.marker_idx < b.marker_idx group by 1, 2),
+    close as (select j, list(i) as near from r where r > 0.15 group by 1),
+    steps as (select -1 as marker_idx, cast([] as bigint[]) as kept union all
+        select m.marker_idx, case when list_has_any(coalesce(near, []), kept) then kept else list_append(kept, m.marker_idx) end
+        from steps s join markers m on m.marker_idx = s.marker_idx + 1 left join close c on c.j = m.marker_idx)
+    select cast(unnest(kept) as integer) as marker_idx from steps where marker_idx = (select max(marker_idx) from markers)""")
 def ld_prune(spark, d):
     g = X.genotype(spark, d)
     return spark.createDataFrame([(i,) for i in ld.ld_prune(g.markers(_every(g)), 0.15)], "marker_idx int")
@@ -430,6 +528,124 @@ def blink_scan(spark, d):
     return M.blink(g, y, x, threshold=0.05).rows
 
 
+# Models at a known heritability or penalty, whose linear systems SQL solves by elimination.
+
+
+def _solved(system: str) -> str:
+    """Elimination of each system's matrix ``m``, rows of coefficients and right-hand sides; with the log determinant."""
+    return f""", steps as (select id, n, 0 as k, m, cast(0 as double) as logdet from ({system}) union all
+        select id, n, k + 1, list_transform(m, lambda a, i: case when i = k + 1 then unit else list_transform(list_zip(a, unit), lambda z: z[1] - a[k + 1] * z[2]) end), logdet
+        from (select id, n, k, m, list_transform(m[k + 1], lambda x: x / m[k + 1][k + 1]) as unit, logdet + ln(m[k + 1][k + 1]) as logdet from steps where k < n)),
+    solved as (select id, n, m, logdet from steps where k = n)"""
+
+
+#: Kinship of the families, as rows of a matrix.
+_KINSHIP = _CENTRED + """, kin as (select i, list(v / (select sum(2 * f * (1 - f)) from f) order by j) as r from gram group by 1),
+    who as (select count(*) as n from samples), ys as (select list(y order by sample_idx) as y from samples),
+    gs as (select sample_idx, list(dosage order by marker_idx) as g from g group by 1)"""
+_H2 = 0.4
+_DELTA = (1 - _H2) / _H2
+_GIVEN = _KINSHIP + _solved(f"""
+        select 0 as id, n, list(list_concat(list_transform(r, lambda x, j: x + case when j = i + 1 then {_DELTA!r} else 0 end), [1.0, y], g) order by i) as m
+        from kin join samples s on s.sample_idx = i join gs using (sample_idx) cross join who group by n""") + """,
+    v as (select s.sample_idx, s.y, g, m[s.sample_idx + 1][n + 1] as v1, m[s.sample_idx + 1][n + 2] as vy, m[s.sample_idx + 1][n + 3:] as vg from solved cross join samples s join gs using (sample_idx)),
+    base as (select sum(v1) as a, sum(vy) as d, sum(y * vy) as yy, count(*) as n from v),
+    sigma as (select (yy - d * d / a) / (n - 1) as vg from base)"""
+
+
+@query(_GIVEN + """,
+    parts as (select i as marker_idx, sum(vg[i + 1]) as b, sum(g[i + 1] * vg[i + 1]) as c, sum(g[i + 1] * vy) as e from v cross join range((select count(*) from markers)) r(i) group by 1)
+    select cast(marker_idx as integer) as marker_idx, round((e - b * d / a) / (c - b * b / a), 6) as effect, round(sqrt(vg / (c - b * b / a)), 6) as se
+    from parts cross join base cross join sigma""", families=True)
+def mlm_known_h2(spark, d):
+    """Mixed-model scan of the families at a known heritability."""
+    g, y, x, k = _families(spark, d)
+    return M.mlm(g, y, x, k, h2=_H2).rows.select("marker_idx", r6("effect", "effect"), r6("se", "se"))
+
+
+@query(_GIVEN + """,
+    blup as (select i as sample_idx, list_inner_product(r, (select list(vy - v1 * d / a order by sample_idx) from v cross join base)) as u from kin)
+    select sample as taxon, round(d / a, 4) as blue, round(u, 4) as blup, round(d / a + u, 4) as prediction from blup join samples using (sample_idx) cross join base""", families=True)
+def gblup_known_h2(spark, d):
+    """Breeding values of the families at a known heritability."""
+    g, y, x, k = _families(spark, d)
+    return P.gblup(y, x, k, g.taxa, h2=_H2).frame(spark).select(F.col("Taxa").alias("taxon"), F.col("BLUE").alias("blue"), F.col("BLUP").alias("blup"), F.col("Prediction").alias("prediction"))
+
+
+_TRAIN = "(select n * 3 // 4 from who)"
+
+
+@query(_KINSHIP + _solved(f"""
+        select 0 as id, {_TRAIN} as n, list(list_concat(list_transform(r[:{_TRAIN}], lambda x, j: x + case when j = i + 1 then {_DELTA!r} else 0 end), [1.0, y]) order by i) as m
+        from kin join samples s on s.sample_idx = i where i < {_TRAIN}""") + """,
+    v as (select unnest(list_transform(m, lambda a: a[n + 1])) as v1, unnest(list_transform(m, lambda a: a[n + 2])) as vy, unnest(range(n)) as i from solved),
+    w as (select list(vy - v1 * (select sum(vy) / sum(v1) from v) order by i) as w from v)
+    select sample as taxon, round(list_inner_product(r[:len(w)], w), 2) as blup from kin join samples on sample_idx = i cross join w where i >= len(w)""", families=True)
+def predict_new_known_h2(spark, d):
+    """Breeding values of a quarter of the families from the others."""
+    g, y, _, k = _families(spark, d)
+    train = len(y) * 3 // 4
+    fit = P.gblup(y[:train], _ones(train), k[:train, :train], h2=_H2)
+    new = P.predict_new(k[:train, :train], k[train:, :train], fit.blup)
+    return spark.createDataFrame([(t, float(v)) for t, v in zip(g.taxa[train:], new)], "taxon string, blup double").select("taxon", rounded(F.col("blup"), 2).alias("blup"))
+
+
+_PENALTY = 50.0
+
+
+@query(f""", z as (select sample_idx, marker_idx, dosage - avg(dosage) over (partition by marker_idx) as z from g),
+    cell as (select a.marker_idx as i, b.marker_idx as j, sum(a.z * b.z) as c from z a join z b using (sample_idx) group by 1, 2),
+    zy as (select marker_idx as i, sum(z * y) as zy from z join samples using (sample_idx) group by 1)""" + _solved(f"""
+        select 0 as id, cast(count(*) as bigint) as n, list(list_concat(r, [zy]) order by i) as m
+        from (select i, list(c + case when i = j then {_PENALTY!r} else 0 end order by j) as r from cell group by 1) join zy using (i)""") + """
+    select cast(unnest(range(n)) as integer) as marker_idx, round(unnest(list_transform(m, lambda a: a[n + 1])), 5) as effect from solved""")
+def ridge_effects(spark, d):
+    """Ridge regression of all customers on all markers at a known penalty."""
+    g, y, _ = _whole(spark, d)
+    return P.rrblup(g, y, _PENALTY).effects.select("marker_idx", rounded(F.col("effect"), 5).alias("effect"))
+
+
+@query(f""", fold as (select sample_idx, y, cast(ntile(5) over (order by sample_idx) - 1 as integer) as fold from samples),
+    mean as (select t.fold, marker_idx, avg(dosage) as mean from g join fold f using (sample_idx) join (select distinct fold from fold) t on f.fold <> t.fold group by 1, 2),
+    ybar as (select t.fold, avg(y) as ybar from fold f join (select distinct fold from fold) t on f.fold <> t.fold group by 1),
+    z as (select m.fold, f.fold = m.fold as test, sample_idx, marker_idx, f.y - ybar as y, dosage - mean as z from g join fold f using (sample_idx) join mean m using (marker_idx) join ybar b on b.fold = m.fold),
+    cell as (select a.fold, a.marker_idx as i, b.marker_idx as j, sum(a.z * b.z) as c from z a join z b using (fold, sample_idx) where not a.test group by 1, 2, 3),
+    zy as (select fold, marker_idx as i, sum(z * y) as zy from z where not test group by 1, 2)""" + _solved(f"""
+        select fold as id, cast(count(*) as bigint) as n, list(list_concat(r, [zy]) order by i) as m
+        from (select fold, i, list(c + case when i = j then {_PENALTY!r} else 0 end order by j) as r from cell group by 1, 2) join zy using (fold, i) group by fold""") + """,
+    effect as (select id as fold, unnest(range(n)) as marker_idx, unnest(list_transform(m, lambda a: a[n + 1])) as effect from solved),
+    predicted as (select z.fold, sample_idx, sum(z * effect) as p from z join effect using (fold, marker_idx) where test group by 1, 2)
+    select p.fold, round(corr(f.y, p), 6) as pearson_r, round(sqrt(avg(pow(f.y - ybar - p, 2))), 6) as rmse
+    from predicted p join fold f using (sample_idx) join ybar b on b.fold = p.fold group by 1""")
+def ridge_cv(spark, d):
+    """Cross-validated ridge regression at a known penalty."""
+    g, y, _ = _whole(spark, d)
+    return _validated(spark, P.cross_validate_rrblup(g, y, penalty=_PENALTY)).select("fold", r6("pearson_r", "pearson_r"), r6("rmse", "rmse"))
+
+
+_DELTAS = (-4.0, -2.0, 0.0, 2.0, 4.0)
+
+
+@query(_KINSHIP + _solved(f"""
+        select id, n, list(list_concat(list_transform(r, lambda x, j: x + case when j = i + 1 then exp(log_delta) else 0 end), [1.0, y]) order by i) as m
+        from (values {", ".join(f"({i}, {v})" for i, v in enumerate(_DELTAS))}) t(id, log_delta) cross join kin join samples s on s.sample_idx = i cross join who group by id, n""") + """,
+    v as (select id, n, logdet, list_sum(list_transform(m, lambda a: a[n + 1])) as a, list_sum(list_transform(m, lambda a: a[n + 2])) as d,
+                 list_inner_product(list_transform(m, lambda a: a[n + 2]), y) as yy from solved cross join ys)
+    select cast(id as integer) as id, round(0.5 * ((n - 1) * (ln((n - 1) / (2 * pi())) - 1 - ln(yy - d * d / a)) - (logdet + ln(a) - ln(n))), 6) as reml from v""", families=True)
+def reml_profile(spark, d):
+    """Restricted log-likelihood of the families' phenotype at five variance ratios."""
+    _, y, x, k = _families(spark, d)
+    found = [mixed.given(y, x, k, 1 / (1 + float(np.exp(v)))).reml for v in _DELTAS]
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(found)], "id int, reml double").select("id", r6("reml", "reml"))
+
+
+def _families(spark, d) -> tuple[Genotype, np.ndarray, np.ndarray, np.ndarray]:
+    """125 pooled samples, with their kinship."""
+    g = X.family_genotype(spark, d).persist()
+    y = np.array([r["y"] for r in X.families(spark, d).orderBy("sample_idx").collect()])
+    return g, y, _ones(len(y)), G.vanraden(g)
+
+
 def _predicted(spark, p: P.Prediction) -> DataFrame:
     return p.frame(spark)
 
@@ -474,17 +690,22 @@ def bayesb(spark, d):
     return P.bayes_b_chains(spark, y, g.markers(_every(g)), [1, 2], iterations=60, burn_in=20)
 
 
-@query("select sample_idx, ntile(5) over (order by sample_idx) - 1 as fold from samples", X.DENSE)
+@query(" select sample_idx, cast(ntile(5) over (order by sample_idx) - 1 as integer) as fold from samples")
 def cv_folds(spark, d):
-    ids = [r[0] for r in X.samples(spark, d, X.DENSE).orderBy("sample_idx").select("sample_idx").collect()]
-    return spark.createDataFrame([(i, int(f)) for i, f in zip(ids, P.folds(len(ids), 5))], "sample_idx int, fold int")
+    who = X.samples(spark, d).select("sample_idx")
+    return who.select("sample_idx", P.fold_of(F.col("sample_idx"), who.count(), 5).alias("fold"))
 
 
-@query()
+@query(""", sizes as (select nation, count(*) as n, row_number() over (order by count(*) desc, nation) as turn from samples group by 1),
+    dealt as (select 0 as turn, cast([0, 0, 0, 0] as bigint[]) as loads, cast(null as integer) as nation, cast(null as bigint) as fold
+        union all select turn, list_transform(loads, lambda v, i: case when i = fold + 1 then v + n else v end), nation, fold
+        from (select s.turn, s.n, s.nation, d.loads, list_position(d.loads, list_min(d.loads)) - 1 as fold from dealt d join sizes s on s.turn = d.turn + 1))
+    select sample_idx, cast(fold as integer) as fold from samples join dealt using (nation)""")
 def cv_grouped_folds(spark, d):
-    who = X.samples(spark, d).orderBy("sample_idx").collect()
-    found = P.folds(len(who), 4, groups=[r["nation"] for r in who])
-    return spark.createDataFrame([(r["sample_idx"], int(f)) for r, f in zip(who, found)], "sample_idx int, fold int")
+    who = X.samples(spark, d)
+    plan = P.group_plan(dict(who.groupBy("nation").count().collect()), 4)  # 25 nations
+    fold = F.create_map(*[F.lit(v) for pair in plan.items() for v in pair])
+    return who.select("sample_idx", fold[F.col("nation")].cast("int").alias("fold"))
 
 
 def _validated(spark, cv: P.CrossValidation) -> DataFrame:
