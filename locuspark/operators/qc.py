@@ -1,11 +1,13 @@
-"""Numericalisation, imputation, allele frequencies, alignment: expressions over packed rows."""
+"""Numericalisation, imputation, allele frequencies, alignment: expressions over packed rows, by Arrow batches where they code every cell."""
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +21,14 @@ MISSING_TWO = ("NN", "XX", "--", "++", "//", "00", "N", "NA", "NAN")
 IMPUTE_METHODS = ("middle", "major", "minor", "mean", "none")
 
 
-def _let(value: Column, body) -> Column:
-    return F.transform(F.array(value), body)[0]
+def _lists(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Ends of an array column's lists, from 0, and their elements; null lists are empty."""
+    sizes = np.asarray(column.value_lengths().fill_null(0)).astype(np.int32)
+    return np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), column.flatten()
+
+
+def _as_lists(column: pa.Array, ends: np.ndarray, values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.float64()), mask=column.is_null() if column.null_count else None)
 
 
 def numericalise(calls: Column, major_allele_zero: bool = False) -> Column:
@@ -28,71 +36,68 @@ def numericalise(calls: Column, major_allele_zero: bool = False) -> Column:
 
     Two states are 0 and 2, or 0 and 1 if one of them is heterozygous; three
     are 0, 1 and 2 with the heterozygote between; fewer or more give zeros.
-    ``major_allele_zero`` puts the more frequent homozygote first.
+    ``major_allele_zero`` puts the more frequent homozygote first.  A marker's
+    calls are counted by state; its few states get a dosage each, and all
+    calls are looked up at once.
     """
 
-    def by_width(values: Column) -> Column:
-        known = F.filter(values, lambda v: ~v.isin(*MISSING_ONE) & ~v.isin(*MISSING_TWO))
-        width = F.coalesce(F.array_max(F.transform(known, F.length)), F.lit(2))
-        return F.when(width == 1, _coded(values, HET_ONE, MISSING_ONE, True, major_allele_zero)).otherwise(_coded(values, HET_TWO, MISSING_TWO, False, major_allele_zero))
-
-    return _let(F.transform(calls, F.upper), by_width)
-
-
-def _coded(values: Column, hets: Sequence[str], missing: Sequence[str], one: bool, major_allele_zero: bool) -> Column:
-    # With one character, K sorts after every homozygote, as the other heterozygotes do among three states.
-    def normal(v: Column) -> Column:
-        v = F.when(v.isin(*missing) | v.isNull(), F.lit("N")).otherwise(v)
-        return F.when(v == "K", F.lit("Z")).otherwise(v) if one else v
-
-    def merged(vs: Column) -> Column:
-        """Both spellings of a heterozygote as the first of them."""
-        if one:
-            return vs
-        found = F.array_sort(F.array_distinct(F.filter(vs, lambda v: v.isin(*hets))))
-        return _let(found, lambda h: F.transform(vs, lambda v: F.when((F.size(h) > 1) & (v == F.get(h, F.lit(1))), F.get(h, F.lit(0))).otherwise(v)))
-
-    def coded(vs: Column) -> Column:
-        levels = F.array_sort(F.array_distinct(F.filter(vs, lambda v: v != "N")))
-        return _let(levels, lambda ls: states(vs, ls))
-
-    def states(vs: Column, ls: Column) -> Column:
-        three_hets = (*hets, "Z") if one else hets
-        count = lambda level: F.size(F.filter(vs, lambda v: v == level))
-        homs = lambda hs: F.filter(ls, lambda v: ~v.isin(*hs))
-
-        def ranked(hs: Sequence[str]) -> Column:
-            """Homozygotes by falling count, then by name."""
-            listed = F.array_sort(F.transform(homs(hs), lambda v: F.struct((-count(v)).alias("n"), v.alias("v"))))
-            return F.transform(listed, lambda s: s["v"])
-
-        one_het = F.size(F.filter(ls, lambda v: v.isin(*three_hets))) == 1
-        no_het = F.size(F.filter(ls, lambda v: v.isin(*hets))) == 0
-        if major_allele_zero:
-            two = F.when(no_het, ranked(hets)).otherwise(ls)
+    @F.arrow_udf("array<double>")
+    def coded(column: pa.Array) -> pa.Array:
+        ends, flat = _lists(column)
+        encoded = flat.fill_null("N").dictionary_encode()
+        names = [v.upper() for v in encoded.dictionary.to_pylist()]
+        codes = np.asarray(encoded.indices)
+        out = np.empty(len(codes))
+        for start, end in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            mine = codes[start:end]
+            counts: Counter = Counter()
+            for code, n in enumerate(np.bincount(mine, minlength=len(names)).tolist()):
+                if n:
+                    counts[names[code]] += n
+            values = state_dosages(counts, major_allele_zero)
+            out[start:end] = np.array([values.get(v, np.nan) for v in names])[mine]
+        return _as_lists(column, ends, out)
+
+    return coded(calls)
+
+
+def state_dosages(counts: dict[str, int], major_allele_zero: bool = False) -> dict[str, float]:
+    """Dosage of each upper-case call of a marker, from how often it occurs; missing ones are NaN."""
+    width = max((len(v) for v in counts if v not in MISSING_ONE and v not in MISSING_TWO), default=2)
+    one = width == 1
+    hets, missing = (HET_ONE, MISSING_ONE) if one else (HET_TWO, MISSING_TWO)
+    # Both spellings of a heterozygote are one state.  With one character, K sorts last, as heterozygotes do.
+    spelt = sorted(v for v in counts if v in hets)
+    state = {v: "Z" if one and v == "K" else spelt[0] if not one and v in spelt[:2] else v for v in counts if v not in missing}
+    seen: Counter = Counter()
+    for v, s in state.items():
+        seen[s] += counts[v]
+    levels = sorted(seen)
+    between = [v for v in levels if v in hets or one and v == "Z"]
+
+    def homozygotes(first: Sequence[str]) -> list[str]:
+        """Those that are not in ``first``, by falling count and name if the major one is zero."""
+        found = [v for v in levels if v not in first]
+        return sorted(found, key=lambda v: (-seen[v], v)) if major_allele_zero else found
+
+    if len(levels) == 2:
+        het = [v for v in levels if v in hets]
+        dosage = {v: float(v == het[0]) for v in levels} if het else dict(zip(homozygotes(()), (0.0, 2.0)))
+    elif len(levels) == 3:
+        if one and not (major_allele_zero and len(between) <= 1):
+            order = (levels[0], levels[2], levels[1])
+        elif one and between:
+            order = (*homozygotes(between), between[0])
+        elif one:
+            order = tuple(homozygotes(())[i] for i in (0, 2, 1))
+        elif len(between) == 1:
+            order = (homozygotes(between)[0], between[0], homozygotes(between)[1])
         else:
-            two = ls
-        het2 = F.filter(ls, lambda v: v.isin(*hets))
-        two_coded = _let(two, lambda t: F.transform(vs, lambda v: F.when(v == "N", F.lit(float("nan"))).when(
-            F.size(het2) > 0, (v == F.get(het2, F.lit(0))).cast("double")).otherwise((v == F.get(t, F.lit(1))).cast("double") * 2)))
-        # Three states as (0, 1, 2).
-        if one:
-            plain = F.array(F.get(ls, F.lit(0)), F.get(ls, F.lit(2)), F.get(ls, F.lit(1)))
-            # By count the order becomes homozygote, heterozygote, homozygote, then coded 0, 2, 1 as before.
-            by_count = F.array(F.get(ranked(three_hets), F.lit(0)), F.get(ranked(three_hets), F.lit(1)), F.get(F.filter(ls, lambda v: v.isin(*three_hets)), F.lit(0)))
-            no_hets = F.size(F.filter(ls, lambda v: v.isin(*three_hets))) == 0
-            ranks = F.array(*[F.get(ranked(three_hets), F.lit(i)) for i in (0, 2, 1)])
-            three = F.when(one_het, by_count).when(no_hets, ranks).otherwise(plain) if major_allele_zero else plain
-        else:
-            h = F.get(F.filter(ls, lambda v: v.isin(*hets)), F.lit(0))
-            source = ranked(hets) if major_allele_zero else homs(hets)
-            three = F.array(F.get(source, F.lit(0)), h, F.get(source, F.lit(1)))
-            three = F.when(one_het, three).otherwise(F.array(F.raise_error(F.lit("three states of two characters need one heterozygote")).cast("string")))
-        three_coded = _let(three, lambda t: F.transform(vs, lambda v: F.when(v == "N", F.lit(float("nan"))).when(v == F.get(t, F.lit(0)), F.lit(0.0)).when(v == F.get(t, F.lit(1)), F.lit(1.0)).otherwise(F.lit(2.0))))
-        zeros = F.transform(vs, lambda v: F.lit(0.0))
-        return F.when(F.size(ls) == 2, two_coded).when(F.size(ls) == 3, three_coded).otherwise(zeros)
-
-    return _let(merged(F.transform(values, normal)), coded)
+            raise ValueError("three states of two characters need one heterozygote")
+        dosage = dict(zip(order, (0.0, 1.0, 2.0)))
+    else:
+        return dict.fromkeys(counts, 0.0)
+    return {v: dosage[state[v]] if v in state else float("nan") for v in counts}
 
 
 def _missing(x: Column) -> Column:
@@ -100,17 +105,26 @@ def _missing(x: Column) -> Column:
 
 
 def imputed(dosages: Column, method: str) -> Column:
-    """Missing dosages as 1 (middle), 2 (major), 0 (minor), the marker's mean, or left as they are."""
+    """Missing dosages as 1 (middle), 2 (major), 0 (minor), the marker's mean, or left as NaN."""
     if method not in IMPUTE_METHODS:
         raise ValueError(f"impute method must be one of {', '.join(IMPUTE_METHODS)}; got {method!r}")
-    if method == "none":
-        return F.transform(dosages, lambda x: F.when(_missing(x), F.lit(float("nan"))).otherwise(x))
-    if method != "mean":
-        constant = F.lit({"middle": 1.0, "major": 2.0, "minor": 0.0}[method])
-        return F.transform(dosages, lambda x: F.when(_missing(x), constant).otherwise(x))
-    seen = F.size(F.filter(dosages, lambda x: ~_missing(x)))
-    mean = F.when(seen > 0, dosage_sum(dosages) / seen).otherwise(F.lit(1.0))
-    return _let(mean, lambda m: F.transform(dosages, lambda x: F.when(_missing(x), m).otherwise(x)))
+    constant = {"middle": 1.0, "major": 2.0, "minor": 0.0, "none": float("nan")}.get(method)
+
+    @F.arrow_udf("array<double>")
+    def filled(column: pa.Array) -> pa.Array:
+        ends, flat = _lists(column)
+        values = flat.to_numpy(zero_copy_only=False).astype(float)
+        gone = np.isnan(values)
+        if gone.any() and constant is not None:
+            values = np.where(gone, constant, values)
+        elif gone.any():
+            row = np.repeat(np.arange(len(column)), np.diff(ends))
+            seen = np.bincount(row[~gone], minlength=len(column))
+            mean = np.where(seen > 0, np.bincount(row[~gone], values[~gone], len(column)) / np.maximum(seen, 1), 1.0)
+            values = np.where(gone, mean[row], values)
+        return _as_lists(column, ends, values)
+
+    return filled(dosages)
 
 
 def impute(genotype: Genotype, method: str = "middle") -> Genotype:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from locuspark.operators.qc import impute
 from locuspark.sources.genotype import Genotype, from_long
 
 
@@ -55,7 +54,7 @@ def family_genotype(spark: SparkSession, sf_dir: str) -> Genotype:
     cells = counts(spark, sf_dir).join(members, "sample").groupBy("sample_idx", "snp").agg((F.sum("dosage") / F.first("size")).alias("dosage"))
     cells = cells.join(F.broadcast(what.select("snp", "marker_idx")), "snp")
     taxa = [str(r[0]) for r in who.orderBy("sample_idx").select("sample").collect()]
-    return impute(from_long(cells.select("sample_idx", "marker_idx", "dosage"), what, taxa), "minor")
+    return from_long(cells.select("sample_idx", "marker_idx", "dosage"), what, taxa, absent=0.0)
 
 
 def genotype(spark: SparkSession, sf_dir: str) -> Genotype:
@@ -63,7 +62,7 @@ def genotype(spark: SparkSession, sf_dir: str) -> Genotype:
     who, what = samples(spark, sf_dir), markers(spark, sf_dir)
     cells = counts(spark, sf_dir).join(who.select("sample", "sample_idx"), "sample").join(F.broadcast(what.select("snp", "marker_idx")), "snp")
     taxa = [str(r[0]) for r in who.orderBy("sample_idx").select("sample").collect()]
-    return impute(from_long(cells.select("sample_idx", "marker_idx", "dosage"), what, taxa), "minor")
+    return from_long(cells.select("sample_idx", "marker_idx", "dosage"), what, taxa, absent=0.0)
 
 
 def with_missing(g: Genotype) -> Genotype:

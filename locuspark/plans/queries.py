@@ -17,7 +17,10 @@ from locuspark.operators import predict as P
 from locuspark.operators import scan as S
 from locuspark.plans import fixture as X
 from locuspark.plans.pipeline import run
-from locuspark.sources.genotype import Genotype, dosage_sum, to_long
+from locuspark.session import shared_folder
+from locuspark.sources.genotype import Genotype, dosage_sum, from_array, to_long
+from locuspark.sources.readers import HAPMAP_COLUMNS, read_numeric, read_phenotype
+from locuspark.sources.store import import_hapmap, import_numeric, open_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -730,6 +733,122 @@ def simulate_phenotype(spark, d):
     return spark.createDataFrame([(t, float(v)) for t, v in zip(g.taxa, P.simulate_phenotype(g.persist()))], "taxon string, y double")
 
 
+# Files: the families' tables as text, read by the readers.
+
+
+def _text(spark, name: str, lines: list[str]) -> str:
+    """A text file of a few hundred lines in the shared folder."""
+    path = shared_folder(spark, name)
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(path)
+    return path
+
+
+def _family_files(spark, d) -> tuple[str, str]:
+    """The families' dosages and marker map as tab-separated text; every 17th cell is missing."""
+    g = X.family_genotype(spark, d)
+    rows = g.packed.orderBy("marker_idx").collect()  # 150 markers of 125 samples
+    cell = lambda i, r: "NA" if (i + r["marker_idx"]) % 17 == 0 else repr(r["dosages"][i])
+    gd = ["\t".join(["taxa", *(f'"{r["snp"]}"' for r in rows)])] + ["\t".join([t, *(cell(i, r) for r in rows)]) for i, t in enumerate(g.taxa)]
+    gm = ["SNP\tChromosome\tPosition"] + [f"{r['snp']}\t{r['chromosome']}\t{r['position']!r}" for r in rows]
+    return _text(spark, "gd", gd), _text(spark, "gm", gm)
+
+
+_FILLED = " select cast(marker_idx as integer) as marker_idx, snp, chromosome, cast(position as double) as position, cast(sample_idx as integer) as sample_idx, sample as taxon, round(case when (sample_idx + marker_idx) % 17 = 0 then {fill} else dosage end, 9) as dosage from g"
+
+
+def _cells(spark, g: Genotype) -> DataFrame:
+    """Every cell with its marker and sample."""
+    names = spark.createDataFrame(list(enumerate(g.taxa)), "sample_idx int, taxon string")
+    long = g.packed.select("marker_idx", "snp", "chromosome", "position", F.posexplode("dosages").alias("sample_idx", "dosage"))
+    return long.join(F.broadcast(names), "sample_idx").withColumn("dosage", rounded(F.col("dosage"), 9))
+
+
+@query(_FILLED.format(fill="1.0"), families=True)
+def numeric_files(spark, d):
+    """Dosage text and marker map, read and imputed."""
+    return _cells(spark, read_numeric(spark, *_family_files(spark, d)))
+
+
+@query(_FILLED.format(fill="avg(case when (sample_idx + marker_idx) % 17 <> 0 then dosage end) over (partition by marker_idx)"), families=True)
+def numeric_store(spark, d):
+    """The same imported into a store with means for missing cells, which is opened and read."""
+    path = shared_folder(spark, "store")
+    import_numeric(spark, path, *_family_files(spark, d), impute_method="mean", chunk=64)
+    return _cells(spark, open_store(spark, path).genotype)
+
+
+@query(""" select cast(marker_idx as integer) as marker_idx, snp, chromosome, cast(position as double) as position, cast(sample_idx as integer) as sample_idx, sample as taxon,
+    case when (sample_idx + marker_idx) % 17 = 0 then 1.0 when (sample_idx * 7 + marker_idx * 3) % 5 = 0 then 1.0 when (sample_idx * 7 + marker_idx * 3) % 5 < 3 then 0.0 else 2.0 end::double as dosage from g""", families=True)
+def hapmap_store(spark, d):
+    """HapMap text of calls that follow a rule, imported into a store."""
+    g = X.family_genotype(spark, d)
+    call = lambda i, m: "NN" if (i + m) % 17 == 0 else ("AT", "AA", "AA", "TT", "TT")[(i * 7 + m * 3) % 5]
+    rows = g.packed.drop("dosages").orderBy("marker_idx").collect()
+    lines = ["\t".join([*HAPMAP_COLUMNS, *g.taxa])]
+    lines += ["\t".join([r["snp"], "A/T", r["chromosome"], repr(r["position"]), *"......." , *(call(i, r["marker_idx"]) for i in range(g.n))]) for r in rows]
+    path = shared_folder(spark, "store")
+    return _cells(spark, import_hapmap(spark, path, _text(spark, "hapmap", lines)).genotype)
+
+
+@query(""" select sample as taxon, case when sample_idx % 7 = 0 then null else y end as balance, cast(size as double) as size from samples""", families=True)
+def phenotype_file(spark, d):
+    """Phenotype text with missing values in their spellings."""
+    rows = X.families(spark, d).orderBy("sample_idx").collect()
+    lines = ["taxa\tbalance\tsize"] + [f"{r['sample']}\t{('NA', 'NaN', 'N/A', '')[i // 7 % 4] if i % 7 == 0 else repr(r['y'])}\t{r['size']}" for i, r in enumerate(rows)]
+    return read_phenotype(spark, _text(spark, "pheno", lines)).frame.select("taxon", "balance", "size")
+
+
+@query(""", order_of as (select unnest([5, 0, 5, 17]) as parent, unnest([0, 1, 2, 3]) as place),
+    who as (select unnest([3, 1, 3]) as parent, unnest([0, 1, 2]) as place)
+    select o.place as marker_idx, snp, chromosome, cast(position as double) as position, w.place as sample_idx, sample as taxon, round(dosage, 9) as dosage
+    from g join order_of o on g.marker_idx = o.parent join who w on g.sample_idx = w.parent""", families=True)
+def genotype_view(spark, d):
+    """A view that orders and repeats markers and samples."""
+    g = X.family_genotype(spark, d).persist()
+    return _cells(spark, g.view(samples=[3, 1 - g.n, 3], markers=[5, 0, 5, 17]))
+
+
+@query(" select cast(i as integer) as marker_idx, count(*) as n, round(sum(x), 4) as total, round(sum(x * x), 4) as squares from (select unnest(embedding) as x, unnest(range(64)) as i from embeddings) group by 1")
+def embeddings_as_genotype(spark, d):
+    """All embeddings as samples of 64 real-valued markers, from a matrix in memory."""
+    rows = X.table(spark, d, "embeddings").orderBy("vec_id").select("embedding").collect()
+    g = from_array(spark, np.array([r[0] for r in rows], float))
+    total, squares = dosage_sum(F.col("dosages")), F.aggregate("dosages", F.lit(0.0), lambda s, x: s + x * x)
+    return g.packed.select("marker_idx", F.size("dosages").cast("long").alias("n"), rounded(total, 4).alias("total"), rounded(squares, 4).alias("squares"))
+
+
+@query(_CENTRED + " select i, j, round(v / (select sum(2 * f * (1 - f)) from f), 6) as k from gram", families=True)
+def kinship_from_factor(spark, d):
+    """VanRaden's kinship by the factor that models of many samples use."""
+    g = X.family_genotype(spark, d).persist()
+    factor = G.vanraden_factor(g.markers(_every(g)))
+    everyone = np.arange(g.n)
+    return G.square_to_long(spark, mixed.Factor.of(factor).block(everyone, everyone)).select("i", "j", r6("k", "k"))
+
+
+@query(" select round(regr_r2(y, nation), 9) as r2 from samples")
+def null_r2(spark, d):
+    """Share of the phenotype's variation that the covariate explains."""
+    who = X.samples(spark, d).orderBy("sample_idx").select("y", "nation").collect()
+    y, x = np.array([r["y"] for r in who]), np.array([[1.0, r["nation"]] for r in who])
+    return spark.createDataFrame([(float(S.null_r2(y, x)),)], "r2 double").select(rounded(F.col("r2"), 9).alias("r2"))
+
+
+@query(_FIT + """, n as (select count(*) as m from pv),
+    fdr as (select marker_idx, least(1, min(q) over (order by r desc rows unbounded preceding)) as fdr
+            from (select marker_idx, r, p_value * m / r as q from (select marker_idx, p_value, m, row_number() over (order by p_value, marker_idx) as r from pv cross join n))),
+    af as (select marker_idx, snp, least(sum(dosage) / (2 * count(*)), 1 - sum(dosage) / (2 * count(*))) as maf from g group by 1, 2)
+    select snp, round(greatest(p_value, 0), 6) as p_value, round_even(maf, 4) as maf, round(effect, 4) as effect, round(fdr, 6) as fdr
+    from pv join fdr using (marker_idx) join af using (marker_idx) where maf >= 0.05""")
+def result_files(spark, d):
+    """The GWAS file that a run writes, read back."""
+    folder = shared_folder(spark, "results")
+    result = run({"a/b": X.phenotype(spark, d)}, X.genotype(spark, d), "GLM", pca_total=0, maf_threshold=0.0, output=folder)["a/b_GLM"]
+    table = spark.read.option("header", True).csv(result.files.gwas)
+    number = lambda c: F.col(f"`{c}`").cast("double")
+    return table.where(number("maf") >= 0.05).select(F.col("SNP").alias("snp"), r6(number("P.value"), "p_value"), number("maf").alias("maf"), rounded(number("effect"), 4).alias("effect"), number("FDR.Adjusted.P.values").alias("fdr"))
+
+
 # Whole runs.
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 #: Conservative bound on the samples of one analysis: n x n objects live on the driver and in broadcasts.
@@ -25,6 +27,12 @@ def build_session(name: str = "locuspark", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path that the driver and all executors reach: where ``spark.checkpoint.dir`` says, else the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def batch_markers(n_samples: int, workspace_mib: float = 32.0, most: int = 4096) -> int:
     """Marker rows of an Arrow batch whose dosages take up the workspace at most."""
     if isinstance(workspace_mib, bool) or not isinstance(workspace_mib, (int, float)) or not workspace_mib > 0 or workspace_mib == float("inf"):

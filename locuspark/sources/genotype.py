@@ -50,19 +50,31 @@ class Genotype:
         return np.column_stack([by[i] for i in wanted])
 
     def view(self, samples: Sequence[int] | None = None, markers: Sequence[int] | None = None) -> Genotype:
-        """Lazy selection.  Samples keep the given order, may repeat, and negative ones count from the end.
+        """Lazy selection: both axes keep the given order, may repeat, and negative places count from the end.
 
-        Markers are filtered by index, which reaches the Parquet scan.
+        Markers are told by their place, 0 to count - 1, which is their index
+        in whole genotypes; the view's markers are numbered by their order in
+        it.  The wanted indexes reach the Parquet scan as a filter.
         """
         packed, taxa = self.packed, self.taxa
         if markers is not None:
-            packed = packed.where(F.col("marker_idx").isin(_indexes(markers, None)))
+            wanted = list(markers)
+            at = _indexes(wanted, self.count())
+            order = pa.table({"marker_idx": pa.array(at, pa.int32()), "_place": pa.array(range(len(at)), pa.int32())})
+            chosen = packed.where(F.col("marker_idx").isin(sorted(set(at))))
+            rows = chosen.join(F.broadcast(packed.sparkSession.createDataFrame(order)), "marker_idx")  # as many rows as were asked for
+            packed = rows.withColumn("marker_idx", F.col("_place")).select(*packed.columns)
         if samples is not None:
             at = _indexes(samples, self.n)
-            taxa = tuple(taxa[i] for i in at)
-            # One sort of the array's order, not a lookup for each sample of a long plan.
-            wanted = F.array(*[F.lit(i) for i in at]) if at else F.array().cast("array<int>")
-            packed = packed.withColumn("dosages", F.transform(wanted, lambda i: F.col("dosages")[i]))
+            taxa, order = tuple(taxa[i] for i in at), np.array(at, int)
+            n = self.n
+
+            @F.arrow_udf("array<double>")
+            def picked(column: pa.Array) -> pa.Array:
+                part = matrix(column, n)[:, order]
+                return pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * len(order), pa.int32()), pa.array(part.ravel()))
+
+            packed = packed.withColumn("dosages", picked("dosages"))
         return Genotype(packed, taxa)
 
     def blocks(self, start: int, stop: int) -> Genotype:
@@ -70,19 +82,15 @@ class Genotype:
         return self.with_packed(self.packed.where((F.col("marker_idx") >= start) & (F.col("marker_idx") < stop)))
 
 
-def _indexes(values: Iterable[int], size: int | None) -> list[int]:
+def _indexes(values: Iterable[int], size: int) -> list[int]:
     out = []
     for v in values:
         if isinstance(v, (bool, np.bool_)) or int(v) != v:
             raise TypeError("indexes must be whole numbers")
         v = int(v)
-        if size is not None:
-            if not -size <= v < size:
-                raise IndexError(f"index {v} is outside 0..{size - 1}")
-            v %= size
-        elif v < 0:
-            raise IndexError("marker indexes are not negative")
-        out.append(v)
+        if not -size <= v < size:
+            raise IndexError(f"index {v} is outside 0..{size - 1}")
+        out.append(v % size)
     return out
 
 
@@ -110,8 +118,8 @@ def _cast() -> list[str]:
     return [f"cast({name} as {kind}) as {name}" for name, kind in (f.split(" ", 1) for f in PACKED.split(", "))]
 
 
-def from_long(long: DataFrame, markers: DataFrame, taxa: Sequence[str]) -> Genotype:
-    """(sample_idx, marker_idx, dosage) and (marker_idx, snp, chromosome, position); absent cells are missing.
+def from_long(long: DataFrame, markers: DataFrame, taxa: Sequence[str], absent: float = float("nan")) -> Genotype:
+    """(sample_idx, marker_idx, dosage) and (marker_idx, snp, chromosome, position); absent cells are missing, or as told.
 
     The one transpose of an analysis: a shuffle by marker.  Cells come in any order and are put in their places.
     """
@@ -124,7 +132,7 @@ def from_long(long: DataFrame, markers: DataFrame, taxa: Sequence[str]) -> Genot
         for batch in batches:
             at, value = batch.column(4), batch.column(5)
             sizes = np.asarray(at.value_lengths().fill_null(0))
-            out = np.full((batch.num_rows, n), np.nan)
+            out = np.full((batch.num_rows, n), absent)
             out[np.repeat(np.arange(batch.num_rows), sizes), np.asarray(at.flatten())] = np.asarray(value.flatten())
             ends = pa.array(np.arange(batch.num_rows + 1) * n, pa.int32())
             dosages = pa.ListArray.from_arrays(ends, pa.array(out.ravel(), from_pandas=True))
