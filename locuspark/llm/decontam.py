@@ -5,14 +5,16 @@ of words.  Only windows that hold one of the item's shingles can be similar to
 it, so a scan first marks the documents' shingles that occur in the benchmark.
 The windows around these marks get SimHash fingerprints.  A multi-index of
 Hamming blocks then finds every item of the window's size within the radius:
-split into more blocks than half the radius, some block differs in one bit at
-most.  Candidates are verified by exact weighted Jaccard similarity of their
+split into more blocks than a third of the radius, some block differs in two
+bits at most.  Candidates are verified by exact weighted Jaccard similarity of their
 shingles, counted with repeats.  A document with fewer shingles than an item is
 one window itself; it is verified wherever it shares a shingle with the item.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +24,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Bits in which fingerprints of similar windows may differ.  At similarity 0.8 the mean is 10 and the deviation 3.
 RADIUS = 22
-#: Blocks of a fingerprint; with one bit of slack each they cover a radius below twice their number.
-BLOCKS = 16
+#: Blocks of a fingerprint; with two bits of slack each they cover a radius below three times their number.
+BLOCKS = 8
+SLACK = 2
 #: Distinct shingles of a benchmark that are sent to all tasks, as literals of the plan; beyond it a join shuffles.
 SENT_SHINGLES = 50_000
 
@@ -51,9 +54,11 @@ def _simhash(hashes: Column) -> Column:
     )
 
 
-def _block(fp: Column, i: int) -> Column:
+def _blocks(fp: Column) -> Column:
+    """Number and bits of each block of a fingerprint."""
     width = 64 // BLOCKS
-    return F.shiftrightunsigned(fp, i * width).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
+    bits = lambda i: F.call_function("shiftrightunsigned", fp, i * width).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda i: F.struct(i.alias("block"), bits(i).alias("bits")))
 
 
 def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -86,8 +91,8 @@ def contaminated(
     whole.  Items without words or id find nothing; rows that repeat an id
     are searched each, and answered once an id; null ids are answered as null.
     """
-    if radius >= 2 * BLOCKS:
-        raise ValueError(f"blocks guarantee a radius below {2 * BLOCKS}")
+    if radius >= (SLACK + 1) * BLOCKS:
+        raise ValueError(f"blocks guarantee a radius below {(SLACK + 1) * BLOCKS}")
     items = materialise(_items(benchmark, item_col, item_text_col), "decontam-items")
     sizes = [r[0] for r in items.select("k").distinct().collect()]  # five values at most
     marks = items.select("k", F.explode("item_hashes").alias("hash")).distinct()
@@ -138,12 +143,11 @@ def _matches(rows: DataFrame, items: DataFrame, k: int, similarity: float, radiu
     windows = starts.join(rows.select("row", "doc_id", "hashes", "text"), "row")
     windows = windows.select("row", "doc_id", "n", "start", F.slice("hashes", F.col("start") + 1, m).alias("window"))
     windows = materialise(windows.withColumn("fp", _simhash(F.col("window"))), "decontam-windows")
-    # Multi-index: a key for each block, with one bit of slack on the items' side.
-    slack = [0] + [1 << b for b in range(64 // BLOCKS)]
-    keys = F.array(*[F.struct(F.lit(i).alias("block"), _block(F.col("item_fp"), i).bitwiseXOR(F.lit(x)).alias("bits")) for i in range(BLOCKS) for x in slack])
-    index = items.select("item_id", "n", "item_fp", F.explode(keys).alias("key")).select("item_id", "n", "item_fp", "key.*")
-    probes = windows.select("n", "fp").distinct()
-    probes = probes.select("n", "fp", F.explode(F.array(*[F.struct(F.lit(i).alias("block"), _block(F.col("fp"), i).alias("bits")) for i in range(BLOCKS)])).alias("key"))
+    # Multi-index: a key for each block and each way to change a few of its bits, on the items' side.
+    slack = [sum(1 << b for b in bits) for size in range(SLACK + 1) for bits in combinations(range(64 // BLOCKS), size)]
+    index = items.select("item_id", "n", "item_fp", F.explode(_blocks(F.col("item_fp"))).alias("key")).select("item_id", "n", "item_fp", "key.*")
+    index = index.select("*", F.explode(F.array(*map(F.lit, slack))).alias("mask")).withColumn("bits", F.col("bits").bitwiseXOR(F.col("mask"))).drop("mask")
+    probes = windows.select("n", "fp").distinct().select("n", "fp", F.explode(_blocks(F.col("fp"))).alias("key"))
     close = probes.select("n", "fp", "key.*").join(index, ["n", "block", "bits"])
     close = close.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select("n", "fp", "item_id").distinct()
     pairs = windows.join(close, ["n", "fp"]).join(items.select("item_id", "n", "item_hashes"), ["item_id", "n"])

@@ -32,6 +32,9 @@ SHARD_ROWS = 1 << 16
 MAX_SHARDS = 4096
 #: Comparisons that one task of a shard should make before pruning.
 TASK_PAIRS = 1 << 33
+#: Fingerprints of several rows or with links that are sent to all tasks (17 bytes each); beyond it each is joined in so many parts.
+BROADCAST_CLASSES = 500_000
+SALTS = 16
 _SEED = 42
 _BLOCK = 1 << 22
 _UNSIGNED = np.uint64
@@ -270,7 +273,7 @@ def similar_fingerprints(
 
 
 def near_duplicate_classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, **shards: int
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, broadcast_classes: int = BROADCAST_CLASSES, **shards: int
 ) -> DataFrame:
     """``doc_id``, ``fp`` and ``component_id``: the smallest id that links reach from the row.
 
@@ -280,7 +283,7 @@ def near_duplicate_classes(
     null component.  An empty table gives no rows.
     """
     marked = materialise(fingerprints(docs, id_col, text_col, shingle), "simhash")
-    classes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
+    classes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "simhash-classes")
     roots = connected_components(similar_fingerprints(classes, radius, **shards))
     linked = classes.join(roots, classes["fp"] == roots["node"]).select("fp", "root", "first_id")
     least = linked.union(
@@ -288,5 +291,14 @@ def near_duplicate_classes(
     )
     best = least.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of = least.select("fp", "root").join(best, "root").select("fp", "component_id")
-    named = classes.join(of, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    # A fingerprint of one row without links needs no join; the others may be those of very many rows.
+    named = classes.join(of, "fp", "left").withColumn("component_id", F.coalesce("component_id", "first_id"))
+    named = materialise(named.where((F.col("n") > 1) | ~F.col("component_id").eqNullSafe(F.col("first_id"))).select("fp", "component_id"), "simhash-named")
+    if named.count() <= broadcast_classes:
+        joined = marked.join(F.broadcast(named.withColumn("found", F.lit(True))), "fp", "left")
+    else:
+        spread = marked.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+        copies = named.withColumn("found", F.lit(True)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = spread.join(copies, ["fp", "salt"], "left")
+    component = F.when(F.col("found"), F.col("component_id")).otherwise(F.col("doc_id"))
+    return joined.select("doc_id", "fp", component.alias("component_id"))

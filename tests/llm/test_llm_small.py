@@ -79,11 +79,12 @@ def test_similar_fingerprints(spark, radius, rows):
     assert len(set(zip(found, brute))) == len(set(found)) == len(set(brute))
 
 
-def test_near_duplicate_classes_of_odd_rows(spark):
+@pytest.mark.parametrize("sent", [500_000, 0])
+def test_near_duplicate_classes_of_odd_rows(spark, sent):
     rng = np.random.default_rng(0)
     text = prose(rng, 200)
     rows = [(5, text), (3, text), (3, text), (None, text), (9, None), (8, ""), (7, prose(rng, 200)), (None, "alone alone")]
-    found = sorted(simhash.near_duplicate_classes(docs(spark, rows)).collect(), key=str)
+    found = sorted(simhash.near_duplicate_classes(docs(spark, rows), broadcast_classes=sent).collect(), key=str)
     by = {(r["doc_id"], r["component_id"]) for r in found}
     assert len(found) == 8 and {(5, 3), (3, 3), (None, 3), (9, 8), (8, 8), (7, 7), (None, None)} == by
     assert simhash.near_duplicate_classes(docs(spark, [])).count() == 0
@@ -145,6 +146,14 @@ def test_decontamination(spark, sent):
     assert decontam.contaminated(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_blocks_guarantee_the_radius():
+    rng = np.random.default_rng(4)
+    width = 64 // decontam.BLOCKS
+    for _ in range(2000):
+        bits = rng.choice(64, decontam.RADIUS, replace=False)
+        assert np.bincount(bits // width, minlength=decontam.BLOCKS).min() <= decontam.SLACK
+
+
 def test_native_simhash_equals_the_plain_one(spark):
     rng = np.random.default_rng(1)
     h = [int(v) for v in rng.integers(-(2**63), 2**63 - 1, 33)]
