@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locuspark.sources.genotype import Genotype
+from locuspark.sources.genotype import Genotype, matrix
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -28,15 +31,32 @@ def r_squared(a_d: Column, a_ss: Column, b_d: Column, b_ss: Column) -> Column:
 def ld_matrix(genotype: Genotype, max_snps: int = 500) -> DataFrame:
     """``i``, ``j``, ``r2`` for i <= j among the first markers; 1 on the diagonal, null for markers that do not vary.
 
-    The join is on a constant block of at most ``max_snps`` rows: a bounded set, as asked for.
+    The first ``max_snps`` markers, a bounded block as asked for, are sent to
+    all tasks; each marker's row is one product with it.  Missing counts as 0.
     """
-    first = [r[0] for r in genotype.packed.select("marker_idx").orderBy("marker_idx").limit(max_snps).collect()]
-    rows = _with_moments(genotype.packed.where(F.col("marker_idx").isin(first)).select("marker_idx", "dosages"), genotype.n)
-    a = rows.toDF("i", "ad", "ass")
-    b = rows.toDF("j", "bd", "bss")
-    pairs = a.join(F.broadcast(b), F.col("i") <= F.col("j"))
-    r2 = F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(r_squared(F.col("ad"), F.col("ass"), F.col("bd"), F.col("bss")))
-    return pairs.select("i", "j", r2.alias("r2"))
+    first = sorted(r[0] for r in genotype.packed.select("marker_idx").orderBy("marker_idx").limit(max_snps).collect())
+    n = genotype.n
+    block = _centred_rows(genotype.markers(first).T) if first else np.zeros((0, n))
+    sent = genotype.packed.sparkSession.sparkContext.broadcast((np.array(first, np.int32), block, (block**2).sum(axis=1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, other, other_ss = sent.value
+        for batch in batches:
+            here, d = np.asarray(batch.column(0)), _centred_rows(matrix(batch.column(1), n))
+            scale = (d**2).sum(axis=1)[:, None] * other_ss
+            with np.errstate(divide="ignore", invalid="ignore"):
+                r2 = np.where(scale > 0, np.minimum(1.0, (d @ other.T) ** 2 / scale), np.nan)
+            r2[here[:, None] == index] = 1.0
+            i, j = np.nonzero(here[:, None] <= index)
+            yield pa.RecordBatch.from_arrays([pa.array(here[i]), pa.array(index[j]), pa.array(r2[i, j], from_pandas=True)], ["i", "j", "r2"])
+
+    rows = genotype.packed.where(F.col("marker_idx").isin(first)).select("marker_idx", "dosages")
+    return rows.mapInArrow(run, "i int, j int, r2 double")
+
+
+def _centred_rows(g: np.ndarray) -> np.ndarray:
+    g = np.nan_to_num(g)
+    return g - g.mean(axis=1, keepdims=True)
 
 
 def ld_decay(genotype: Genotype, chromosome: str | None = None, max_dist: float = 1_000_000, every: bool = False) -> DataFrame:
