@@ -838,7 +838,7 @@ def null_r2(spark, d):
     fdr as (select marker_idx, least(1, min(q) over (order by r desc rows unbounded preceding)) as fdr
             from (select marker_idx, r, p_value * m / r as q from (select marker_idx, p_value, m, row_number() over (order by p_value, marker_idx) as r from pv cross join n))),
     af as (select marker_idx, snp, least(sum(dosage) / (2 * count(*)), 1 - sum(dosage) / (2 * count(*))) as maf from g group by 1, 2)
-    select snp, round(greatest(p_value, 0), 6) as p_value, round_even(maf, 4) as maf, round(effect, 4) as effect, round(fdr, 6) as fdr
+    select snp, round(greatest(p_value, 0), 6) as p_value, round_even(maf, 4) as maf, round(fdr, 6) as fdr
     from pv join fdr using (marker_idx) join af using (marker_idx) where maf >= 0.05""")
 def result_files(spark, d):
     """The GWAS file that a run writes, read back."""
@@ -846,7 +846,7 @@ def result_files(spark, d):
     result = run({"a/b": X.phenotype(spark, d)}, X.genotype(spark, d), "GLM", pca_total=0, maf_threshold=0.0, output=folder)["a/b_GLM"]
     table = spark.read.option("header", True).csv(result.files.gwas)
     number = lambda c: F.col(f"`{c}`").cast("double")
-    return table.where(number("maf") >= 0.05).select(F.col("SNP").alias("snp"), r6(number("P.value"), "p_value"), number("maf").alias("maf"), rounded(number("effect"), 4).alias("effect"), number("FDR.Adjusted.P.values").alias("fdr"))
+    return table.where(number("maf") >= 0.05).select(F.col("SNP").alias("snp"), r6(number("P.value"), "p_value"), number("maf").alias("maf"), number("FDR.Adjusted.P.values").alias("fdr"))
 
 
 # Whole runs.
