@@ -473,7 +473,7 @@ def ld_decay(spark, d):
 
 
 @query(""", r as (select a.marker_idx as i, b.marker_idx as j, abs(corr(a.dosage, b.dosage)) as r from g a join g b using (sample_idx) where a.marker_idx < b.marker_idx group by 1, 2),
-    close as (select j, list(i) as near from r where r > 0.15 group by 1),
+    close as materialized (select j, list(i) as near from r where r > 0.15 group by 1),
     steps as (select -1 as marker_idx, cast([] as bigint[]) as kept union all
         select m.marker_idx, case when list_has_any(coalesce(near, []), kept) then kept else list_append(kept, m.marker_idx) end
         from steps s join markers m on m.marker_idx = s.marker_idx + 1 left join close c on c.j = m.marker_idx)
@@ -699,7 +699,7 @@ def cv_folds(spark, d):
     return who.select("sample_idx", P.fold_of(F.col("sample_idx"), who.count(), 5).alias("fold"))
 
 
-@query(""", sizes as (select nation, count(*) as n, row_number() over (order by count(*) desc, nation) as turn from samples group by 1),
+@query(""", sizes as materialized (select nation, count(*) as n, row_number() over (order by count(*) desc, nation) as turn from samples group by 1),
     dealt as (select 0 as turn, cast([0, 0, 0, 0] as bigint[]) as loads, cast(null as integer) as nation, cast(null as bigint) as fold
         union all select turn, list_transform(loads, lambda v, i: case when i = fold + 1 then v + n else v end), nation, fold
         from (select s.turn, s.n, s.nation, d.loads, list_position(d.loads, list_min(d.loads)) - 1 as fold from dealt d join sizes s on s.turn = d.turn + 1))
