@@ -164,28 +164,6 @@ class PieceModel:
             known = self._pairs[left, right] = self._merged(left + right) == [left, right]
         return known
 
-    def _last_piece(self, text: str, end: int, base: int, last: list[str]) -> str:
-        """The piece that ends the merges' path to ``end``: the one that stands next to the path before it."""
-        id_of, whole, pairs = self.id_of, self._whole, self._pairs
-        for size in self._ends.get(text[end - 3 : end] if end > 2 else text[:end], (2, 1)):
-            start = end - size
-            if start < base:
-                continue
-            piece = text[start:end]
-            if size > 1:
-                if piece not in id_of:
-                    continue
-                stands = whole.get(piece)
-                if not (self._stands(piece) if stands is None else stands):
-                    continue
-            before = last[start - base]
-            if not before:
-                return piece
-            beside = pairs.get((before, piece))
-            if self._adjacent(before, piece) if beside is None else beside:
-                return piece
-        return text[end - 1]  # equal scores leave the merges' order open
-
     def _best_piece(self, text: str, end: int, base: int, sums: list[float]) -> str:
         """The piece that ends the path to ``end`` with the largest sum of scores, which is appended to ``sums``."""
         chosen, best = "", None
@@ -210,27 +188,73 @@ class PieceModel:
             live |= 1 << (at - len(last[at]))
         return base + live.bit_length() - 1
 
+    def _commit(self, base: int, to: int, last: list[str]) -> list[str]:
+        """The pieces of the path from the committed boundary to another, whose backpointers are then forgotten."""
+        done, at = [], to
+        while at > base:
+            done.append(last[at - base])
+            at -= len(done[-1])
+        del last[: to - base]
+        return done[::-1]
+
     def paths(self, text: str) -> Iterator[list[str]]:
         """Pieces of the best path, as lists that end at each boundary on which all surviving paths were found to agree.
 
         ``last`` holds, for the committed boundary ``base`` and each position
         after it, the last piece of the best path to there: the backpointers.
         """
-        bpe, step = self.kind == _BPE, 2 * self.longest
-        base, last, sums, look, n = 0, [""], [0.0], step, len(text)
+        return self._merge_paths(text) if self.kind == _BPE else self._sum_paths(text)
+
+    def _merge_paths(self, text: str) -> Iterator[list[str]]:
+        """The path to a position ends in the longest piece that stands next to the path before it."""
+        id_of, whole, pairs, ends, default = self.id_of, self._whole, self._pairs, self._ends, (2, 1)
+        base, last, look, n = 0, [""], 2 * self.longest, len(text)
+        for end in range(1, n + 1):
+            chosen = text[end - 1]  # where equal scores leave the merges' order open
+            for size in ends.get(text[end - 3 : end] if end > 2 else text[:end], default):
+                start = end - size
+                if start < base:
+                    continue
+                piece = text[start:end]
+                if size > 1:
+                    stands = whole.get(piece)
+                    if stands is None:
+                        stands = piece in id_of and self._stands(piece)
+                    if not stands:
+                        continue
+                before = last[start - base]
+                if before:
+                    beside = pairs.get((before, piece))
+                    if beside is None:
+                        beside = self._adjacent(before, piece)
+                    if not beside:
+                        continue
+                chosen = piece
+                break
+            last.append(chosen)
+            if end == look and end < n:
+                to = self._meeting(base, end, last)
+                look = end + self.longest
+                if to > base:
+                    yield self._commit(base, to, last)
+                    base = to
+        if n:
+            yield self._commit(base, n, last)
+
+    def _sum_paths(self, text: str) -> Iterator[list[str]]:
+        """The path to a position has the largest sum of scores."""
+        base, last, sums, look, n = 0, [""], [0.0], 2 * self.longest, len(text)
         for end in range(1, n + 1):
-            last.append(self._last_piece(text, end, base, last) if bpe else self._best_piece(text, end, base, sums))
-            if end == look or end == n:
-                to = end if end == n else self._meeting(base, end, last)
+            last.append(self._best_piece(text, end, base, sums))
+            if end == look and end < n:
+                to = self._meeting(base, end, last)
                 look = end + self.longest
-                done, at = [], to
-                while at > base:
-                    done.append(last[at - base])
-                    at -= len(done[-1])
-                if done:
-                    yield done[::-1]
-                    del last[: to - base], sums[: to - base]
+                if to > base:
+                    yield self._commit(base, to, last)
+                    del sums[: to - base]
                     base = to
+        if n:
+            yield self._commit(base, n, last)
 
     def _ids(self, text: str) -> bytes:
         out, id_of = [], self.id_of
