@@ -125,9 +125,16 @@ SQL = {
         scored as (
             select rid, doc_id, held.item_id, n, s, sum(least(held.c, i.c)) as shared, n - k + 1 as m
             from held join (select item_id, gram, count(*) as c from item_grams group by all) i on i.item_id = held.item_id and i.gram = held.gram group by all),
+        whole as (
+            select rid, doc_id, c.item_id, total, sum(least(c.c, i.c)) as shared, total - c.k + 1 as size, c.n - c.k + 1 as m
+            from (select rid, doc_id, total, item_id, n, k, gram, count(*) as c from hits where total < n group by all) c
+            join (select item_id, gram, count(*) as c from item_grams group by all) i on i.item_id = c.item_id and i.gram = c.gram group by all),
         alike as (
             select doc_id, item_id, s - 1 as start, n as n_words, round(shared / (2 * m - shared), 6) as similarity
-            from scored where shared / (2 * m - shared) >= 0.8 - 1e-12)
+            from scored where shared / (2 * m - shared) >= 0.8 - 1e-12
+            union all
+            select doc_id, item_id, 0, total, round(shared / (size + m - shared), 6)
+            from whole where shared / (size + m - shared) >= 0.8 - 1e-12)
         select doc_id, item_id, cast(start as integer) as start, cast(n_words as integer) as n_words, similarity from (
             select *, row_number() over (partition by doc_id, item_id order by similarity desc, start) as r from alike) where r = 1""",
     "op8_substring_dedup": r"""

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from locuspark.llm import components, decontam, quality, rlz, secrets, simhash, spm, topk, toxicity, training_order, warc
+from locuspark.llm import components, decontam, quality, queries, rlz, secrets, simhash, spm, topk, toxicity, training_order, warc
 from locuspark.llm.common import let, scratch_path
 
 DOCS = "doc_id long, text string, fp string, shard int, score double"
@@ -172,6 +172,29 @@ def test_decontamination_finds_items_without_their_ends(spark):
         assert found == {(1, 0, 0, 28, round(24 / 26, 6)), (2, 1, 0, 8, 0.8), (3, 2, 0, 25, round(21 / 26, 6))}
 
 
+def test_decontamination_equals_its_sql_on_short_and_long_documents(spark):
+    duckdb = pytest.importorskip("duckdb")
+    pd = pytest.importorskip("pandas")
+    rng = np.random.default_rng(17)
+    items = [(i, prose(rng, n)) for i, n in enumerate((40, 25, 12, 6, 5, 3, 1))] + [(7, "a b a b a b a b a b a b"), (8, ""), (9, None)]
+    rows = [(None, items[0][1]), (900, None), (901, "")]
+    for i, text in items[:8]:
+        w = text.split()
+        for cut in range(5):
+            rows.append((100 * i + cut, " ".join(w[: len(w) - cut])))
+            rows.append((100 * i + 10 + cut, " ".join(w[cut:] + w[:cut])))
+            rows.append((100 * i + 20 + cut, prose(rng, 20) + " " + " ".join(w[: len(w) - cut]) + " " + prose(rng, 20)))
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": pd.array([r[0] for r in rows], "Int64"), "text": [r[1] for r in rows]}))
+    con.register("benchmark", pd.DataFrame(items, columns=["item_id", "text"]))
+    columns = ["doc_id", "item_id", "start", "n_words", "similarity"]
+    want = con.execute(f"select {', '.join(columns)} from ({queries.SQL['op2_benchmark_decontamination']})").fetchall()
+    found = decontam.contaminated(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    key = lambda r: [str(v) for v in r]
+    assert sorted(map(tuple, found.select(columns).collect()), key=key) == sorted(want, key=key)
+    assert any(n < 40 for _, item, _, n, _ in want if item == 0)
+
+
 # 3: toxicity.
 
 
