@@ -114,20 +114,20 @@ def _marked(source: DataFrame, marks: DataFrame, k: int, sent_shingles: int) ->
     """Documents with a shingle in ``marks``: row, doc_id, the hashes of all shingles, and the marked positions."""
     n = marks.count()
     if not n:
-        return source.limit(0).selectExpr("0L as row", "doc_id", "text", "array(0L) as hashes", "array(0) as at")
+        return source.limit(0).selectExpr("0L as row", "doc_id", "array(0L) as hashes", "array(0) as at")
     hashes = let(words(F.col("text")), lambda w: shingles(w, k))
     if n <= sent_shingles:
         values = [r[0] for r in marks.collect()]
         inside = lambda h: h.isin(values)
         # The filter decides on the scan's rows; the few that pass are hashed again.
-        rows = source.where(F.exists(hashes, inside)).select("doc_id", "text", hashes.alias("hashes"))
+        rows = source.where(F.exists(hashes, inside)).select("doc_id", hashes.alias("hashes"))
         rows = rows.withColumn("at", F.filter(F.transform("hashes", lambda h, i: F.when(inside(h), i)), lambda i: i.isNotNull()))
         rows = rows.withColumn("row", F.monotonically_increasing_id())
-        return materialise(rows.select("row", "doc_id", "text", "hashes", "at"), "decontam-rows")
+        return materialise(rows.select("row", "doc_id", "hashes", "at"), "decontam-rows")
     numbered = materialise(source.withColumn("row", F.monotonically_increasing_id()), "decontam-numbered")
     listed = numbered.select("row", F.posexplode(hashes).alias("i", "hash"))
     at = listed.join(marks, "hash").groupBy("row").agg(F.array_sort(F.collect_list("i")).alias("at"))
-    rows = numbered.join(at, "row").select("row", "doc_id", "text", hashes.alias("hashes"), "at")
+    rows = numbered.join(at, "row").select("row", "doc_id", hashes.alias("hashes"), "at")
     return materialise(rows, "decontam-rows")
 
 
@@ -140,7 +140,7 @@ def _matches(rows: DataFrame, items: DataFrame, k: int, similarity: float, radiu
     m = F.col("n") - (k - 1)
     near = hits.join(by_hash.select("n", "hash").distinct(), "hash").withColumn("from", F.greatest(F.lit(0), F.col("i") - m + 1)).withColumn("to", F.least(F.col("i"), F.col("total") - m))
     starts = near.where(F.col("to") >= F.col("from")).select("row", "n", F.explode(F.sequence("from", "to")).alias("start")).distinct()
-    windows = starts.join(rows.select("row", "doc_id", "hashes", "text"), "row")
+    windows = starts.join(rows.select("row", "doc_id", "hashes"), "row")
     windows = windows.select("row", "doc_id", "n", "start", F.slice("hashes", F.col("start") + 1, m).alias("window"))
     windows = materialise(windows.withColumn("fp", _simhash(F.col("window"))), "decontam-windows")
     # Multi-index: a key for each block and each way to change a few of its bits, on the items' side.
