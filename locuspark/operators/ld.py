@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locuspark.sources.genotype import Genotype, matrix
+from locuspark.operators.blocks import BlockKinship, SampleBlocks, correlations
+from locuspark.session import MAX_SAMPLES
+from locuspark.sources.genotype import Genotype
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -31,39 +33,41 @@ def r_squared(a_d: Column, a_ss: Column, b_d: Column, b_ss: Column) -> Column:
 def ld_matrix(genotype: Genotype, max_snps: int = 500) -> DataFrame:
     """``i``, ``j``, ``r2`` for i <= j among the first markers; 1 on the diagonal, null for markers that do not vary.
 
-    The first ``max_snps`` markers, a bounded block as asked for, are sent to
-    all tasks; each marker's row is one product with it.  Missing counts as 0.
+    Products of the first ``max_snps`` markers are summed over blocks of
+    samples, so only they reach the driver.  Missing counts as 0.
     """
     first = sorted(r[0] for r in genotype.packed.select("marker_idx").orderBy("marker_idx").limit(max_snps).collect())
-    n = genotype.n
-    block = _centred_rows(genotype.markers(first).T) if first else np.zeros((0, n))
-    sent = genotype.packed.sparkSession.sparkContext.broadcast((np.array(first, np.int32), block, (block**2).sum(axis=1)))
+    spark = genotype.packed.sparkSession
+    if not first:
+        return spark.createDataFrame([], "i int, j int, r2 double")
+    return _pairs(spark, first, correlations(products(genotype, first)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, other, other_ss = sent.value
-        for batch in batches:
-            here, d = np.asarray(batch.column(0)), _centred_rows(matrix(batch.column(1), n))
-            scale = (d**2).sum(axis=1)[:, None] * other_ss
-            with np.errstate(divide="ignore", invalid="ignore"):
-                r2 = np.where(scale > 0, np.minimum(1.0, (d @ other.T) ** 2 / scale), np.nan)
-            r2[here[:, None] == index] = 1.0
-            i, j = np.nonzero(here[:, None] <= index)
-            yield pa.RecordBatch.from_arrays([pa.array(here[i]), pa.array(index[j]), pa.array(r2[i, j], from_pandas=True)], ["i", "j", "r2"])
 
-    rows = genotype.packed.where(F.col("marker_idx").isin(first)).select("marker_idx", "dosages")
-    return rows.mapInArrow(run, "i int, j int, r2 double")
+def products(genotype: Genotype, markers: Sequence[int] | None = None) -> np.ndarray:
+    """Products of centred markers, in the order of their index; missing counts as 0."""
+    blocks = SampleBlocks.of(genotype, markers)
+    try:
+        return BlockKinship.over(blocks, 0.0).gram()
+    finally:
+        blocks.rows.unpersist()
 
 
-def _centred_rows(g: np.ndarray) -> np.ndarray:
-    g = np.nan_to_num(g)
-    return g - g.mean(axis=1, keepdims=True)
+def _pairs(spark: SparkSession, markers: Sequence[int], r: np.ndarray) -> DataFrame:
+    """Squared correlations of i <= j: a row of the matrix is sent for each marker."""
+    r2 = np.minimum(r**2, 1.0)
+    np.fill_diagonal(r2, 1.0)
+    values = [pa.array(row[i:], from_pandas=True) for i, row in enumerate(r2)]
+    table = pa.table({"i": pa.array(markers, pa.int32()), "js": pa.array([markers[i:] for i in range(len(markers))], pa.list_(pa.int32())), "r2": pa.array([v.to_pylist() for v in values], pa.list_(pa.float64()))})
+    cells = spark.createDataFrame(table).select("i", F.explode(F.arrays_zip("js", "r2")).alias("c"))
+    return cells.select("i", F.col("c.js").alias("j"), F.col("c.r2").alias("r2"))
 
 
 def ld_decay(genotype: Genotype, chromosome: str | None = None, max_dist: float = 1_000_000, every: bool = False) -> DataFrame:
     """``distance`` and ``r2`` of the pairs of a chromosome within ``max_dist``, the first chromosome by default, or of ``every`` one.
 
     A range join: positions are cut into cells of ``max_dist``, and a marker
-    meets its own cell and both neighbours, as maps need not be sorted.
+    meets its own cell and both neighbours, as maps need not be sorted.  Of
+    few markers, the correlations come from products over blocks of samples.
     """
     packed = genotype.packed
     if not every:
@@ -71,6 +75,9 @@ def ld_decay(genotype: Genotype, chromosome: str | None = None, max_dist: float
             row = packed.select("marker_idx", "chromosome").orderBy("marker_idx").limit(1).collect()
             chromosome = row[0]["chromosome"] if row else ""
         packed = packed.where(F.col("chromosome") == chromosome)
+    few = [r[0] for r in packed.select("marker_idx").limit(min(genotype.n, MAX_SAMPLES + 1)).collect()]
+    if 0 < len(few) < genotype.n and len(few) <= MAX_SAMPLES:
+        return _near(genotype.with_packed(packed), max_dist)
     rows = _with_moments(packed.select("marker_idx", "chromosome", "position", "dosages"), genotype.n).withColumn("cell", F.floor(F.col("position") / F.lit(float(max(max_dist, 1)))))
     around = F.explode(F.array(*[F.col("cell") + F.lit(k) for k in (-1, 0, 1)]))
     a = rows.select("chromosome", F.col("marker_idx").alias("i"), F.col("position").alias("ap"), F.col("d").alias("ad"), F.col("ss").alias("ass"), around.alias("cell"))
@@ -80,6 +87,38 @@ def ld_decay(genotype: Genotype, chromosome: str | None = None, max_dist: float
     return pairs.select("i", "j", distance.alias("distance"), r_squared(F.col("ad"), F.col("ass"), F.col("bd"), F.col("bss")).alias("r2")).where("r2 is not null")
 
 
+def _near(genotype: Genotype, max_dist: float) -> DataFrame:
+    """The pairs of few markers, whose map the driver holds."""
+    places = sorted(tuple(r) for r in genotype.packed.select("marker_idx", "chromosome", "position").collect())
+    r2 = np.minimum(correlations(products(genotype)) ** 2, 1.0)
+    at = np.array([np.nan if p[2] is None else p[2] for p in places], float)
+    names = {c: k for k, c in enumerate({p[1] for p in places} - {None})}
+    chromosome = np.array([names.get(p[1], -1) for p in places])
+    rows: list[np.ndarray] = []
+    for i in range(len(places) - 1):
+        j = np.arange(i + 1, len(places))
+        rows.append(j[(chromosome[j] == chromosome[i]) & (chromosome[i] >= 0) & (np.abs(at[j] - at[i]) <= max_dist) & np.isfinite(r2[i, j])])
+    first = np.repeat(np.arange(len(rows)), [len(j) for j in rows]).astype(int)
+    second = np.concatenate([*rows, np.zeros(0, int)]).astype(int)
+    index = np.array([p[0] for p in places], np.int32)
+    return genotype.packed.sparkSession.createDataFrame(pa.table({"i": index[first], "j": index[second], "distance": np.abs(at[second] - at[first]), "r2": r2[first, second]}))
+
+
+def prune_markers(genotype: Genotype, threshold: float = 0.7) -> list[int]:
+    """``ld_prune`` of all markers in the order of their index, whose products stand for the samples; few markers, any number of samples."""
+    index = sorted(r[0] for r in genotype.packed.select("marker_idx").collect())
+    gram = products(genotype)
+    spread = np.sqrt(np.diag(gram) / genotype.n)
+    r = np.abs(correlations(gram))
+    kept, left = [], np.arange(len(index))
+    while len(left):
+        ref, left = left[0], left[1:]
+        kept.append(index[ref])
+        if spread[ref] >= 1e-8:
+            left = left[(spread[left] >= 1e-8) & (r[ref, left] <= threshold)]
+    return kept
+
+
 def ld_prune(values: np.ndarray, threshold: float = 0.7) -> list[int]:
     """Positions of the columns kept: each, in order, drops later ones with a larger absolute correlation.
 
