@@ -4,21 +4,24 @@ from __future__ import annotations
 
 import time
 import warnings
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locuspark.functions import mixed
 from locuspark.operators import models as M
 from locuspark.operators import predict as P
 from locuspark.operators import scan as S
+from locuspark.operators.blocks import BlockKinship
 from locuspark.operators.gram import Components, design, gram, pca, scaled_gram, square_to_long, zhang_from
 from locuspark.operators.qc import Aligned, align, filter_maf
 from locuspark.operators.testing import bonferroni_threshold, inflation, qq
 from locuspark.operators.viz import manhattan
+from locuspark.session import MAX_SAMPLES
 from locuspark.sources.genotype import Genotype
 from locuspark.sources.sinks import OutputFiles, result_path, write_csv
 
@@ -120,13 +123,16 @@ class Prepared:
     """What the traits with the same missing values share."""
 
     genotype: Genotype
-    kinship: np.ndarray | None
+    kinship: np.ndarray | BlockKinship | None
     x: np.ndarray
     components: Components | None
     markers: int
     spectra: dict[str, mixed.Spectrum] = field(default_factory=dict)
 
-    def spectrum(self) -> mixed.Spectrum:
+    def spectrum(self) -> mixed.Spectrum | None:
+        """None where the kinship lies in blocks, which keep their own products."""
+        if isinstance(self.kinship, BlockKinship):
+            return None
         if "null" not in self.spectra:
             self.spectra["null"] = mixed.spectrum(self.kinship, self.x)
         return self.spectra["null"]
@@ -141,7 +147,7 @@ class Result:
     lambda_gc: float
     prediction: P.Prediction | None
     fit: M.ModelResult
-    kinship: np.ndarray | None
+    kinship: np.ndarray | BlockKinship | None
     components: Components | None
     taxa: tuple[str, ...]
     files: OutputFiles | None
@@ -158,17 +164,22 @@ def prepare(aligned: Aligned, y: np.ndarray, options: Options) -> Prepared:
     if not m:
         raise ValueError(f"no marker passes the frequency threshold {options.maf_threshold}")
     needs_kinship = options.needs_kinship() and aligned.kinship is None
-    shared = gram(kept, "mean") if needs_kinship or options.pca_total else None
+    blocks = kept.n > MAX_SAMPLES and (needs_kinship or options.pca_total > 0)
+    if blocks and needs_kinship and options.kinship != "VanRaden":
+        raise ValueError(f"Zhang's kinship takes {MAX_SAMPLES} samples at most")
+    shared = BlockKinship.of(kept) if blocks else gram(kept, "mean") if needs_kinship or options.pca_total else None
+    if blocks and shared.empty:
+        raise ValueError("no marker varies")
     if aligned.kinship is not None:
         k = aligned.kinship[np.ix_(seen, seen)]
     elif not needs_kinship:
         k = None  # fixed-effect scans have no use for an n x n matrix
     else:
-        # Markers are imputed here, so both centrings are one.
-        k = scaled_gram(shared, kept.n) if options.kinship == "VanRaden" else zhang_from(shared, kept.n)
+        # Above the bound, as a factor in blocks of samples.  Markers are imputed here, so both centrings are one.
+        k = shared if blocks else scaled_gram(shared, kept.n) if options.kinship == "VanRaden" else zhang_from(shared, kept.n)
     components = None
     if options.pca_total:
-        components = pca(kept, options.pca_total, known=shared if options.maf_threshold >= 0.05 else None)
+        components = pca(kept, options.pca_total, known=shared if blocks or options.maf_threshold >= 0.05 else None)
     cv = None if aligned.covariates is None else aligned.covariates[seen]
     return Prepared(kept, k, design(kept.n, None if components is None else components.scores, options.pca_total, cv), components, m)
 
@@ -178,6 +189,10 @@ def _constant(prepared: Prepared) -> DataFrame:
     return prepared.genotype.packed.select("marker_idx", *[F.lit(v).alias(c) for c, v in (("p_value", 1.0), ("effect", 0.0), ("se", 1.0), ("stat", 0.0))])
 
 
+def _blocks(k: np.ndarray | BlockKinship | None) -> BlockKinship | None:
+    return k if isinstance(k, BlockKinship) else None
+
+
 def run_model(name: str, prepared: Prepared, y: np.ndarray, options: Options, shared: dict[str, M.ModelResult]) -> tuple[M.ModelResult, P.Prediction | None]:
     """A model's scan and, where it has one, its own prediction."""
     g, x, k, taxa = prepared.genotype, prepared.x, prepared.kinship, prepared.genotype.taxa
@@ -205,8 +220,8 @@ def run_model(name: str, prepared: Prepared, y: np.ndarray, options: Options, sh
         return M.blink(g, y, x, options.max_loop, options.ld, None if by_fdr else threshold, alpha), None
     if name == "SBLUP":
         found = mlm()
-        chosen = P.select_super(g, found.rows, y, x, options.super_bin_size, options.super_counts).markers
-        fit = P.sblup(g, y, x, chosen, taxa)
+        chosen = P.select_super(g, found.rows, y, x, options.super_bin_size, options.super_counts, _blocks(k)).markers
+        fit = P.sblup(g, y, x, chosen, taxa, _blocks(k))
         return M.ModelResult(found.rows, "SBLUP", fit.vg, fit.ve, fit.h2, chosen), fit
     fit = P.gblup(y, x, k, taxa, prepared.spectrum()) if name == "GBLUP" else P.cblup(g, y, x, taxa, options.group_to)
     return M.ModelResult(_constant(prepared), name, fit.vg, fit.ve, fit.h2), fit
@@ -225,7 +240,7 @@ def predict(name: str, prepared: Prepared, y: np.ndarray, found: M.ModelResult,
     g, x = prepared.genotype, prepared.x
     try:
         if chosen == "SBLUP":
-            return P.sblup(g, y, x, found.selected, g.taxa)
+            return P.sblup(g, y, x, found.selected, g.taxa, _blocks(prepared.kinship))
         if chosen == "CBLUP":
             return P.cblup(g, y, x, g.taxa, options.group_to)
         return P.gblup(y, x, prepared.kinship, g.taxa)
@@ -287,18 +302,28 @@ def write_results(name: str, trait: str, prepared: Prepared, rows: DataFrame, ta
     pca_path = None
     if prepared.components is not None:
         scores = prepared.components.scores
-        frame = spark.createDataFrame([(t, *map(float, s)) for t, s in zip(prepared.genotype.taxa, scores)], ["Taxa", *[f"PC{i + 1}" for i in range(scores.shape[1])]])
+        frame = spark.createDataFrame(pa.table({"Taxa": pa.array(prepared.genotype.taxa), **{f"PC{i + 1}": scores[:, i] for i in range(scores.shape[1])}}))
         pca_path = write_csv(frame, at("PCA"))
     return OutputFiles(
         gwas=write_csv(table.drop("marker_idx"), at("GWAS.Results", name)),
         prediction=None if prediction is None else write_csv(prediction.frame(spark), at("Prediction", name)),
-        kinship=write_csv(square_to_long(spark, prepared.kinship, prepared.genotype.taxa), at("Kinship")),
+        kinship=_write_kinship(spark, prepared, at),
         pca=pca_path,
         manhattan=write_csv(manhattan(placed).tables["points"], at("Manhattan", name)),
         qq=write_csv(qq(rows, "p_value", "marker_idx"), at("QQ", name)),
     )
 
 
+def _write_kinship(spark: SparkSession, prepared: Prepared, at: Callable[[str], str]) -> str:
+    """In long form; where it lies in blocks, as its factor F with a column for each marker, as F F' has n x n cells."""
+    k = prepared.kinship
+    if not isinstance(k, BlockKinship):
+        return write_csv(square_to_long(spark, k, prepared.genotype.taxa), at("Kinship"))
+    names = dict(prepared.genotype.packed.select("marker_idx", "snp").collect())
+    used = [int(i) for i in k.blocks.markers[k.columns]]
+    return write_csv(k.factor_frame(prepared.genotype.taxa, [f"{names[i]}" for i in used]), at("KinshipFactor"))
+
+
 def multiple_tables(results: dict[str, Result], trait: str) -> dict[str, DataFrame]:
     """A trait's GWAS tables by model, without those that only predict, for joint plots."""
     return {r.model: r.gwas for r in results.values() if r.trait == trait and r.model not in ("GBLUP", "CBLUP")}
