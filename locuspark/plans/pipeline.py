@@ -223,7 +223,7 @@ def run_model(name: str, prepared: Prepared, y: np.ndarray, options: Options, sh
         chosen = P.select_super(g, found.rows, y, x, options.super_bin_size, options.super_counts, _blocks(k)).markers
         fit = P.sblup(g, y, x, chosen, taxa, _blocks(k))
         return M.ModelResult(found.rows, "SBLUP", fit.vg, fit.ve, fit.h2, chosen), fit
-    fit = P.gblup(y, x, k, taxa, prepared.spectrum()) if name == "GBLUP" else P.cblup(g, y, x, taxa, options.group_to)
+    fit = P.gblup(y, x, k, taxa, prepared.spectrum()) if name == "GBLUP" else P.cblup(g, y, x, taxa, options.group_to, _blocks(k))
     return M.ModelResult(_constant(prepared), name, fit.vg, fit.ve, fit.h2), fit
 
 
@@ -242,7 +242,7 @@ def predict(name: str, prepared: Prepared, y: np.ndarray, found: M.ModelResult,
         if chosen == "SBLUP":
             return P.sblup(g, y, x, found.selected, g.taxa, _blocks(prepared.kinship))
         if chosen == "CBLUP":
-            return P.cblup(g, y, x, g.taxa, options.group_to)
+            return P.cblup(g, y, x, g.taxa, options.group_to, _blocks(prepared.kinship))
         return P.gblup(y, x, prepared.kinship, g.taxa)
     except (ValueError, np.linalg.LinAlgError) as error:
         warnings.warn(f"prediction failed: {error}", stacklevel=2)
