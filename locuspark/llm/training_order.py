@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -83,6 +83,9 @@ def record_type(sequence: int, id_bytes: int) -> np.dtype:
 #: Fixed value: how byte-level vocabularies of this kind cut texts before merging.
 CUTS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: The same cuts without ways back, which are found faster.
+_CUTS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+
 
 def read_ranks(path: str) -> bytes:
     """A vocabulary file's lines, each a piece in base64 and its rank, which tasks get as they are (about 1 MB)."""
@@ -94,15 +97,22 @@ def vocabulary_size(ranks: bytes) -> int:
     return len(ranks.split(b"\n")) - ranks.endswith(b"\n")
 
 
+def encoder(ranks: bytes) -> Callable[[str], bytes]:
+    """Packed ids of a text, which never are Python numbers."""
+    known = {base64.b64decode(piece): int(rank) for piece, rank in (line.split() for line in ranks.splitlines())}
+    # The library looks for special pieces on this way, and without any it would find empty ones; this one is not allowed, so it is plain text.
+    encoding = Encoding("byte-level", pat_str=_CUTS, mergeable_ranks=known, special_tokens={"<|end|>": max(known.values()) + 1})
+    return lambda text: encoding.encode_to_numpy(text, disallowed_special=()).astype("<i4", copy=False).tobytes()
+
+
 def tokenise(docs: DataFrame, ranks: bytes, text_col: str = "text") -> DataFrame:
     """``doc_id`` and packed ``ids`` by byte-level merges.  Null texts have null ids."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {base64.b64decode(piece): int(rank) for piece, rank in (line.split() for line in ranks.splitlines())}
-        encode = Encoding("byte-level", pat_str=CUTS, mergeable_ranks=known, special_tokens={}).encode_ordinary
+        encode = encoder(ranks)
         for batch in batches:
-            ids = [None if t is None else np.array(encode(t), "<i4").tobytes() for t in batch.column(1).to_pylist()]
+            ids = [None if t is None else encode(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return source.mapInArrow(run, "doc_id long, ids binary")

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tiktoken import Encoding
 
 from locuspark.llm import components, decontam, quality, queries, rlz, secrets, simhash, spm, topk, toxicity, training_order, warc
 from locuspark.llm.common import let, scratch_path
@@ -773,3 +774,17 @@ def test_byte_level_ids_decode_to_the_text(spark):
     rows = training_order.tokenise(docs(spark, list(enumerate(texts))), ranks).collect()
     found = [None if r["ids"] is None else b"".join(pieces[i] for i in np.frombuffer(r["ids"], "<i4")).decode() for r in sorted(rows)]
     assert found == texts
+
+
+@pytest.mark.skipif(not os.path.exists("/opt/tokenizers/byte_bpe_50k.tiktoken"), reason="no vocabulary file")
+def test_op6_ids_are_those_of_the_plain_cuts(monkeypatch):
+    """Ids come as a buffer, cut by a faster form of the same expression, and equal the plain form's on odd texts."""
+    ranks = training_order.read_ranks("/opt/tokenizers/byte_bpe_50k.tiktoken")
+    pieces = {base64.b64decode(p): int(r) for p, r in (line.split() for line in ranks.splitlines())}
+    plain = Encoding("plain", pat_str=training_order.CUTS, mergeable_ranks=pieces, special_tokens={}).encode_ordinary
+    rng, parts = np.random.default_rng(4), [*" \n\t\r  ​　'sStdmvrel19²Ⅷ.,!<|>_é汉字ß😀́￾\x00\x85", "  ", "'ll", "'re", " '", "<|end|>", "<|endoftext|>", "word", "\n\n\n"]
+    texts = ["".join(parts[i] for i in rng.integers(0, len(parts), n)) for n in rng.integers(0, 40, 4000)] + [" " * 5000 + "x", "\n" * 5000, "a" * 5000, "<|end|>" * 50]
+    expected = [plain(t) for t in texts]
+    monkeypatch.setattr(Encoding, "encode_ordinary", lambda *_: pytest.fail("ids as a list"))
+    encode = training_order.encoder(ranks)
+    assert [np.frombuffer(encode(t), "<i4").tolist() for t in texts] == expected
