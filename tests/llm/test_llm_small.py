@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -784,7 +785,8 @@ def test_op6_ids_are_those_of_the_plain_cuts(monkeypatch):
     plain = Encoding("plain", pat_str=training_order.CUTS, mergeable_ranks=pieces, special_tokens={}).encode_ordinary
     rng, parts = np.random.default_rng(4), [*" \n\t\r  ​　'sStdmvrel19²Ⅷ.,!<|>_é汉字ß😀́￾\x00\x85", "  ", "'ll", "'re", " '", "<|end|>", "<|endoftext|>", "word", "\n\n\n"]
     texts = ["".join(parts[i] for i in rng.integers(0, len(parts), n)) for n in rng.integers(0, 40, 4000)] + [" " * 5000 + "x", "\n" * 5000, "a" * 5000, "<|end|>" * 50]
+    texts += ["a" + chr(i) + chr(j) + "b" for i in (*range(0x100), 0x1680, *range(0x1FFF, 0x2070), 0x3000, 0xFEFF) for j in (32, i)]
     expected = [plain(t) for t in texts]
     monkeypatch.setattr(Encoding, "encode_ordinary", lambda *_: pytest.fail("ids as a list"))
-    encode = training_order.encoder(ranks)
-    assert [np.frombuffer(encode(t), "<i4").tolist() for t in texts] == expected
+    found = training_order.encoder(ranks)(pa.array([*texts, None]))
+    assert found.pop() is None and [np.frombuffer(b, "<i4").tolist() for b in found] == expected
