@@ -373,6 +373,40 @@ def test_random_streams_equal_the_library():
             assert found == library.encode(t) if t else found, repr(t[:50])
 
 
+@needs_pieces
+def test_search_steps_along_the_text_without_slicing_it():
+    """Candidates come from an automaton: the text is not cut anew for each size that a piece may have."""
+
+    class Counted(str):
+        cuts = 0
+
+        def __getitem__(self, at):
+            Counted.cuts += 1
+            return str.__getitem__(self, at)
+
+    model = spm.PieceModel(spm.read_model(PIECES))
+    text = " thetioninganderstation" * 40
+    assert "".join(p for part in model.paths(Counted(text)) for p in part) == text
+    assert Counted.cuts <= len(text) // 4
+
+
+@needs_pieces
+def test_small_memories_and_marks_after_words_change_no_id(monkeypatch):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    for name, size in (("_CACHE_STEPS", 7), ("_CACHE_PAIRS", 5), ("CACHE_SEGMENTS", 3)):
+        monkeypatch.setattr(spm, name, size)
+    model = spm.PieceModel(spm.read_model(PIECES))
+    rng = np.random.default_rng(8)
+    some = [p for p in model.id_of if len(p) > 1]
+    marks = list("abn.,;:!?)('\"/-_²'éß1\n\t ") + ["...", "n't", ".com", "\r\n", "日", "𝔸", "\u0301"]
+    for n in (1, 2, 5, 30, 200):
+        for _ in range(8):
+            for t in ("".join(rng.choice(some, n)), "".join(rng.choice(marks, n)), "".join(rng.choice(some + marks * 200, n))):
+                assert model.encode(t) == library.encode(t), repr(t)
+
+
 def test_meeting_of_backpointers():
     model = spm.PieceModel.__new__(spm.PieceModel)
     model.longest = 3
