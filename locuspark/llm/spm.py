@@ -25,7 +25,7 @@ import re
 import struct
 from bisect import bisect_left
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -350,9 +350,22 @@ class PieceModel:
         return self.pieces.index("</s>") if "</s>" in self.pieces else None
 
 
-@lru_cache(maxsize=2)
-def _loaded(data: bytes) -> PieceModel:
-    return PieceModel(data)
+class _Sent:
+    """A vocabulary for tasks: a worker makes its search once, and drops it with the broadcast as soon as other tasks come."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data = data
+
+    def __reduce__(self) -> tuple:
+        return _Sent, (self.data,)
+
+    @cached_property
+    def pieces(self) -> PieceModel:
+        return PieceModel(self.data)
+
+    def __del__(self) -> None:
+        if "pieces" in self.__dict__:
+            self.pieces._forget()
 
 
 def read_model(path: str) -> bytes:
@@ -370,9 +383,10 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", out_col: str =
     source = docs.drop(out_col).withColumn(text_col, F.col(text_col).cast("string"))
     at = source.columns.index(text_col)
     schema = source.withColumn(out_col, F.lit(None).cast("binary" if packed else "array<int>")).schema
+    sent = docs.sparkSession.sparkContext.broadcast(_Sent(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _loaded(model)
+        pieces = sent.value.pieces
         for batch in batches:
             found = [None if t is None else pieces.encode_bytes(t) for t in (x.as_py() for x in batch.column(at))]
             ids = pa.array(found, pa.binary())
@@ -391,9 +405,10 @@ def decode(rows: DataFrame, model: bytes, ids_col: str = "ids", out_col: str = "
     source = rows.drop(out_col)
     at = source.columns.index(ids_col)
     schema = source.withColumn(out_col, F.lit(None).cast("string")).schema
+    sent = rows.sparkSession.sparkContext.broadcast(_Sent(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _loaded(model)
+        pieces = sent.value.pieces
         for batch in batches:
             texts = []
             for x in batch.column(at):

@@ -31,7 +31,7 @@ MAX_ROWS_PER_CLASS = 12_000
 ORDER = 5
 WINDOW = 8
 DISCOUNT = 0.75
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 100_000
 _WORD = re.compile(r"[^\W_]+")
 #: Longer runs of letters and digits are scored in pieces of about a word's length, each after the history before it.
 LONGEST_WORD = 64

@@ -407,6 +407,31 @@ def test_small_memories_and_marks_after_words_change_no_id(monkeypatch):
                 assert model.encode(t) == library.encode(t), repr(t)
 
 
+@needs_pieces
+def test_a_sent_vocabulary_leaves_nothing_behind():
+    """Once its broadcast goes, a worker is free of the search and its memories, without waiting for a cyclic collection."""
+    import gc
+    import pickle
+    import weakref
+
+    sent = pickle.loads(pickle.dumps(spm._Sent(spm.read_model(PIECES))))
+    sent.pieces.encode("the nations and their stations")
+
+    class Mark:
+        pass
+
+    mark, steps = Mark(), sent.pieces._nodes[" t"][0]
+    seen = weakref.ref(mark)
+    steps["mark"] = mark
+    del mark, steps
+    gc.disable()
+    try:
+        del sent
+        assert seen() is None
+    finally:
+        gc.enable()
+
+
 def test_meeting_of_backpointers():
     model = spm.PieceModel.__new__(spm.PieceModel)
     model.longest = 3
