@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from locuspark.operators.blocks import BlockKinship, SampleBlocks, correlations
 from locuspark.session import MAX_SAMPLES
-from locuspark.sources.genotype import Genotype
+from locuspark.sources.genotype import Genotype, matrix
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -30,17 +30,52 @@ def r_squared(a_d: Column, a_ss: Column, b_d: Column, b_ss: Column) -> Column:
     return F.when((a_ss > 0) & (b_ss > 0), F.least(F.lit(1.0), F.pow(_dot(a_d, b_d), F.lit(2.0)) / (a_ss * b_ss)))
 
 
-def ld_matrix(genotype: Genotype, max_snps: int = 500) -> DataFrame:
-    """``i``, ``j``, ``r2`` for i <= j among the first markers; 1 on the diagonal, null for markers that do not vary.
+#: Markers whose products the driver holds; pairs of more come from tiles of markers. Bytes of a tile.
+MAX_SQUARE, TILE_BYTES = 2000, 1 << 24
 
-    Products of the first ``max_snps`` markers are summed over blocks of
-    samples, so only they reach the driver.  Missing counts as 0.
+
+def ld_matrix(genotype: Genotype, max_snps: int | None = None) -> DataFrame:
+    """``i``, ``j``, ``r2`` for i <= j; 1 on the diagonal, null for markers that do not vary.
+
+    All markers, or the first ``max_snps`` if a caller asks for those.  Up to
+    ``MAX_SQUARE`` of them, their products are summed over blocks of samples and
+    reach the driver; the pairs of more are made on the executors.  Missing counts as 0.
     """
-    first = sorted(r[0] for r in genotype.packed.select("marker_idx").orderBy("marker_idx").limit(max_snps).collect())
-    spark = genotype.packed.sparkSession
-    if not first:
+    spark, packed = genotype.packed.sparkSession, genotype.packed
+    if max_snps is not None:
+        first = [r[0] for r in packed.select("marker_idx").orderBy("marker_idx").limit(max_snps).collect()]
+        packed = packed.where(F.col("marker_idx").isin(first))
+    wanted = sorted(r[0] for r in packed.select("marker_idx").limit(MAX_SQUARE + 1).collect())
+    if not wanted:
         return spark.createDataFrame([], "i int, j int, r2 double")
-    return _pairs(spark, first, correlations(products(genotype, first)))
+    if len(wanted) > MAX_SQUARE:
+        return _tiled(genotype.with_packed(packed))
+    return _pairs(spark, wanted, correlations(products(genotype, wanted)))
+
+
+def _tiled(genotype: Genotype) -> DataFrame:
+    """The pairs of any number of markers: each pair of tiles meets in one task, and nothing is collected."""
+    n = genotype.n
+    tiles = -(-genotype.count() // max(1, min(512, TILE_BYTES // (8 * max(1, n)))))
+
+    def squared(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        index, tile = np.asarray(table.column("marker_idx")), np.asarray(table.column("tile"))
+        g = np.nan_to_num(matrix(table.column("dosages").combine_chunks(), n), copy=False)
+        g -= g.mean(axis=1, keepdims=True)
+        spread = np.sqrt((g**2).sum(axis=1))
+        here, there = (np.nonzero(tile == k.as_py())[0] for k in key)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            scale = np.outer(spread[here], spread[there])
+            r2 = np.where(scale > 0, np.minimum((g[here] @ g[there].T / scale) ** 2, 1.0), np.nan)
+        i, j = np.repeat(index[here], len(there)), np.tile(index[there], len(here))
+        r2 = np.where(i == j, 1.0, r2.ravel())
+        keep = i <= j if key[0] == key[1] else np.ones(len(i), bool)
+        return pa.table({"i": pa.array(np.minimum(i, j)[keep], pa.int32()), "j": pa.array(np.maximum(i, j)[keep], pa.int32()), "r2": pa.array(r2[keep], from_pandas=True)})
+
+    rows = genotype.packed.select("marker_idx", "dosages", F.pmod(F.xxhash64("marker_idx"), F.lit(tiles)).cast("int").alias("tile"))
+    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    met = met.withColumn("a", F.least("tile", "other")).withColumn("b", F.greatest("tile", "other")).drop("other")
+    return met.groupBy("a", "b").applyInArrow(squared, "i int, j int, r2 double")
 
 
 def products(genotype: Genotype, markers: Sequence[int] | None = None) -> np.ndarray:
