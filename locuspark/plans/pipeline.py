@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 import warnings
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -157,7 +157,7 @@ class Result:
 def prepare(aligned: Aligned, y: np.ndarray, options: Options) -> Prepared:
     """Mask, frequency filter, one Gram job for kinship and components, design."""
     seen = np.nonzero(~np.isnan(y))[0]
-    part = aligned.genotype if len(seen) == aligned.genotype.n else aligned.genotype.view(samples=seen.tolist())
+    part = aligned.genotype if len(seen) == aligned.genotype.n else aligned.genotype.view(samples=seen)
     kept = filter_maf(part, options.maf_threshold)
     kept = kept.with_packed(kept.packed.drop("maf")).persist()
     m = kept.count()
@@ -250,7 +250,7 @@ def predict(name: str, prepared: Prepared, y: np.ndarray, found: M.ModelResult,
 
 
 def run(
-    traits: dict[str, dict[str, float | None]],
+    traits: dict[str, Mapping[str, float | None]],
     genotype: Genotype,
     model: str | Sequence[str] = "BLINK",
     covariates: dict[str, Sequence[float]] | None = None,
